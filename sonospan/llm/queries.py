@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
 from sonospan.llm.quality_rules import quality_rules
 from sonospan.llm.token_counts import token_counts
@@ -28,10 +29,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_budget_mix": op3_budget_mix,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
