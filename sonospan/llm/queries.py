@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
+from sonospan.llm.jaccard_join import jaccard_groups
 from sonospan.llm.quality_rules import quality_rules
 from sonospan.llm.token_counts import token_counts
 
@@ -33,11 +34,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_budget_mix": op3_budget_mix,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
