@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
+from sonospan.llm.html_text import page_texts
 from sonospan.llm.jaccard_join import jaccard_groups
 from sonospan.llm.quality_rules import quality_rules
 from sonospan.llm.token_counts import token_counts
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_budget_mix": op3_budget_mix,
     "op4_exact_topk": op4_exact_topk,
     "op5_token_counts": op5_token_counts,
