@@ -12,6 +12,7 @@ from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
 from sonospan.llm.html_text import page_texts
 from sonospan.llm.jaccard_join import jaccard_groups
+from sonospan.llm.line_dedup import line_dedup
 from sonospan.llm.quality_rules import quality_rules
 from sonospan.llm.token_counts import token_counts
 from sonospan.llm.vector_topk import top_k
@@ -25,6 +26,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_line_dedup": op2_line_dedup,
     "op3_budget_mix": op3_budget_mix,
     "op4_exact_topk": op4_exact_topk,
     "op5_token_counts": op5_token_counts,
