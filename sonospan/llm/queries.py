@@ -12,6 +12,7 @@ from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
 from sonospan.llm.html_text import page_texts
 from sonospan.llm.jaccard_join import jaccard_groups
+from sonospan.llm import license_scan as licenses
 from sonospan.llm.line_dedup import line_dedup
 from sonospan.llm.quality_rules import quality_rules
 from sonospan.llm.token_counts import token_counts
@@ -62,6 +63,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -77,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
+    "op8_license_scan": licenses.oracle_sql(),
 }
