@@ -15,6 +15,7 @@ from sonospan.llm.jaccard_join import jaccard_groups
 from sonospan.llm import license_scan as licenses
 from sonospan.llm.line_dedup import line_dedup
 from sonospan.llm.quality_rules import quality_rules
+from sonospan.llm.suffix_dedup import suffix_dedup
 from sonospan.llm.token_counts import token_counts
 from sonospan.llm.vector_topk import top_k
 
@@ -59,6 +60,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_budget_mix": op3_budget_mix,
     "op4_exact_topk": op4_exact_topk,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
