@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,41 @@ def written(df: DataFrame) -> DataFrame:
 def n_words(col):
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, packed: those that the leading bits of a long column name are set.
+
+    Tasks and the driver see tables of that size, whatever the number of rows.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            table[leading(batch.column(0), bits)] = True
+        parts = np.packbits(table).reshape(64, -1)
+        full = np.flatnonzero(parts.any(axis=1))
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["part", "marks"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(m.as_py(), dtype=np.uint8)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["part", "marks"])
+
+    found = np.zeros((64, (1 << bits) // 512), dtype=np.uint8)
+    for r in hashes.mapInArrow(mark, "part int, marks binary").repartition("part").mapInArrow(add, "part int, marks binary").collect():  # 2 ** bits bits in all
+        found[r["part"]] = np.frombuffer(r["marks"], dtype=np.uint8)
+    return found.reshape(-1)
+
+
+def leading(hashes: pa.Array, bits: int) -> np.ndarray:
+    return hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+
+
+def marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bits of a packed table are set."""
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0

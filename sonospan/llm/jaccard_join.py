@@ -27,17 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonospan.llm.common import written
+from sonospan.llm.common import bit_table, leading, marked, written
 from sonospan.llm.components import components
 from sonospan.llm.shingles import SIZE, fingerprint, shingle_set
 
 #: 80 of 100.
 SIMILAR = (80, 100)
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 CHUNK_BITS = 14
+MARK_BITS = 24
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 2_000_000
 
@@ -64,23 +66,30 @@ def count_table(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """Counts of hashed shingles over all documents, in 2 ** bits cells: tasks add up tables of that size, never shingles."""
     chunk = min(CHUNK_BITS, bits)
 
+    def packed(cells: np.ndarray) -> bytes:
+        """Byte planes, so that the empty upper bytes of small counts cost nothing."""
+        return zstandard.compress(cells.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+    def unpacked(cells: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(cells), dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, dtype=np.int64)
+        cells = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for text in batch.column(0):
                 hashes = shingle_set(text.as_py(), size)
                 np.add.at(cells, (hashes & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         if cells.any():
-            yield parts({k: c for k, c in enumerate(cells.reshape(-1, 1 << chunk))})
+            yield parts({k: c for k, c in enumerate(cells.reshape(-1, 1 << chunk)) if c.any()})
 
     def parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([a.astype("<i8").tobytes() for a in arrays.values()], pa.binary())], ["part", "cells"])
+        return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([packed(a) for a in arrays.values()], pa.binary())], ["part", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(cells.as_py(), dtype="<i8")
+                total[k] = total.get(k, 0) + unpacked(cells.as_py())
         if total:
             yield parts(total)
 
@@ -88,14 +97,14 @@ def count_table(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     rows = docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()  # 2 ** bits cells in all
     table = np.zeros((1 << (bits - chunk), 1 << chunk), dtype=np.int64)
     for r in rows:
-        table[r["part"]] += np.frombuffer(r["cells"], dtype="<i8")
+        table[r["part"]] += unpacked(r["cells"])
     return table.reshape(-1)
 
 
 def frequency_classes(table: np.ndarray) -> np.ndarray:
-    """0 for cells near the mean, then one class for each doubling above 4 times the mean."""
+    """0 for cells near the mean, then two classes for each doubling above twice the mean."""
     mean = max(table.mean(), 1.0)
-    return np.log2(np.maximum(table / (4 * mean), 0.5)).clip(-1).astype(np.int64).clip(0, 60).astype(np.uint8)
+    return (2 * np.log2(np.maximum(table / (1.4 * mean), 1))).astype(np.int64).clip(0, 200).astype(np.uint8)
 
 
 def with_sets(docs: DataFrame, classes, size: int) -> DataFrame:
@@ -134,11 +143,11 @@ def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges that connect each list's candidates.  Lists arrive sorted by (h, n, node) and are never held.
 
-    A row is compared with up to 8 rows before it in its list, by length and
+    A row is compared with up to 16 rows before it in its list, by length and
     position; where the list is longer than that, with the row just before it by
     length alone, which keeps every candidate connected.
     """
-    reach = 8
+    reach = 16
     tail = [np.zeros(0, dtype=np.int64)] * 4
     for batch in batches:
         cols = [np.concatenate([t, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, t in enumerate(tail)]
@@ -251,29 +260,59 @@ def block_edges(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
 
 
-def family_links(members: DataFrame) -> DataFrame:
-    """Links that connect the groups of every family.  ``members``: family, node, n, hashes, written."""
-    parts = members.groupBy("family").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    rows = written(members.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+def member_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``nodes`` with ``hashes``: the set of one document of each node.  Of the texts, only those of marked ids are shuffled."""
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("id")), MARK_BITS))
+    kind = texts.schema["id"].dataType.simpleString()
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(marked(table.value, leading(batch.column(2), MARK_BITS))))
+            if batch.num_rows:
+                yield batch.select([0, 1])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [shingle_set(t.as_py(), size) for t in part.column(0)]
+                right = pa.array([len(s) > 0 and fingerprint(s) == node for s, node in zip(found, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], [*part.schema.names[1:], "hashes"]).filter(right)
+
+    some = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(near, f"id {kind}, text string")
+    return some.join(nodes.hint("shuffle_hash"), "id").select("text", *nodes.columns).mapInArrow(hashed, ", ".join([*own, "hashes binary"]))
+
+
+def block_counts(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("family").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias(name))
+
+
+def family_links(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Links that connect the groups of every family.  ``nodes``: node, family, id (of one of its documents), n."""
+    nodes = written(nodes.join(block_counts(nodes, "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     every = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    edges = rows.filter("size > 1").select("family", "node", "hashes", F.lit(True).alias("probe"), F.explode(every).alias("part")).groupBy("family", "part").applyInPandas(block_edges, "u long, v long")
-    edges = written(edges)
-    large = rows.filter("blocks > 1")
+    edges = written(member_sets(texts, nodes, size).select("family", "node", "hashes", F.lit(True).alias("probe"), F.explode(every).alias("part")).groupBy("family", "part").applyInPandas(block_edges, "u long, v long"))
+    large = nodes.filter("blocks > 1")
     if large.isEmpty():
         return edges
     roots = components(edges.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
     large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = large.groupBy("family", "root").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    large = written(large.join(sizes, "family"))
-    rest = large.filter("root <> main")
-    rests = rest.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("rests"))
-    probes = rest.join(rests, "family").select("family", "node", "hashes", F.lit(True).alias("probe"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    others = large.join(rests, "family").select("family", "node", "hashes", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("r"), F.col("block").alias("part"))
+    large = large.join(sizes, "family").withColumn("rest", F.col("root") != F.col("main"))
+    # where nothing is left outside the largest group, nothing is left to compare
+    large = written(large.join(block_counts(large.filter("rest"), "rests").drop("size"), "family"))
+    if large.isEmpty():
+        return edges
+    sets = member_sets(texts, large.select("id", "node", "family", "n", "block", "blocks", "rest", "rests"), size)
+    as_probe = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(True).alias("probe"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).alias("r"), k.alias("part"))))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: F.struct(F.lit(False).alias("probe"), k.alias("r"), F.col("block").alias("part")))
+    dealt = sets.select("family", "node", "hashes", F.explode(F.concat(as_other, F.coalesce(as_probe, F.slice(as_other, 1, 0)))).alias("x")).select("family", "node", "hashes", "x.*")
 
     def later(rows: pd.DataFrame) -> pd.DataFrame:
         return block_edges(rows.sort_values("probe", ascending=False))
 
-    return edges.unionByName(probes.unionByName(others).groupBy("family", "r", "part").applyInPandas(later, "u long, v long"))
+    return edges.unionByName(dealt.groupBy("family", "r", "part").applyInPandas(later, "u long, v long"))
 
 
 def jaccard_groups(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -284,18 +323,10 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     lists = sets.filter("n > 0").select("n", "node", "prefix").mapInArrow(postings, "h long, n int, node long, at int")
     edges = lists.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, "u long, v long").distinct()
     families = components(edges)
-    first = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"))
-    chosen = families.join(first, "node").select("node", F.col("root").alias("family"), F.col("first").alias("id"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), size) for t in batch.column(2)]
-            right = pa.array([len(s) > 0 and fingerprint(s) == node for s, node in zip(found, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["family", "node", "n", "hashes"]).filter(right)
-
-    members = texts.join(chosen.hint("shuffle_hash"), "id").select("family", "node", "text").mapInArrow(hashed, "family long, node long, n long, hashes binary")
-    groups = components(family_links(members.dropDuplicates(["node"])))
+    first = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    nodes = families.join(first, "node").select("node", F.col("root").alias("family"), "id", "n")
+    groups = components(family_links(texts, nodes, size))
     least = first.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = least.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = least.groupBy("root").agg(F.min("id").alias("component_id"))
     of_node = least.join(named, "root").select("node", "component_id")
     return sets.join(of_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
