@@ -33,40 +33,38 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonospan.llm.common import written
-from sonospan.llm.rule_stats import mixed
-from sonospan.llm.shingles import word_hashes
+from sonospan.llm.common import bit_table, leading, marked, written
+from sonospan.llm.rule_stats import SPACES, mixed
+from sonospan.llm.wordhash import powers, word_hashes
 
 LEAST_WORDS = 5
 NEAR_WORDS = 10
 MARK_BITS = 24
-BASE = 0xD1342543DE82EF95
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            _powers[k] = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(2 * n, base, dtype=np.uint64)]))
-    return _powers[0], _powers[1]
+#: Texts hashed together, in bytes.
+TOGETHER = 1 << 18
 
 
 class Lines:
-    """Line hashes of a text."""
-
-    def __init__(self, text: str | None):
-        self.lines = (text or "").split("\n") if text else []
-        words = [x.encode("utf-8", "surrogatepass").split() for x in self.lines]
-        self.n = np.array([len(w) for w in words], dtype=np.int64)
+    """Line hashes of some texts; lines are numbered through."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join(texts)
+        words, start = word_hashes(data)
+        breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+        self.per_text = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+        self.first = np.cumsum(self.per_text) - self.per_text
+        self.text = np.repeat(np.arange(len(texts)), self.per_text)
+        self.n = np.bincount(np.searchsorted(breaks, start), minlength=len(self.text))
         self.end = np.cumsum(self.n)
         self.start = self.end - self.n
-        w = mixed(word_hashes([x for line in words for x in line]))
-        up, self.down = powers(len(w) + 2)
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
+        up, self.down = powers(len(words) + 2)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
         self.hash = named(self.part(self.start, self.end), self.n)
 
+    def number(self, at: np.ndarray) -> np.ndarray:
+        """Line numbers inside the texts."""
+        return at - self.first[self.text[at]]
+
     def part(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hashes of runs of words, wherever they stand."""
         return (self.sums[hi] - self.sums[lo]) * self.down[lo]
@@ -77,111 +75,131 @@ class Lines:
         out = []
         for shorter in (n, np.maximum(n - 1, 1)):
             half = shorter // 2
-            out += [mixed(named(self.part(lo, lo + half), 2 * shorter)), mixed(named(self.part(hi - half, hi), 2 * shorter + 1))]
+            out += [named(self.part(lo, lo + half), 2 * shorter), named(self.part(hi - half, hi), 2 * shorter + 1)]
         return np.stack(out, axis=1)
 
-    def variants(self, i: int) -> np.ndarray:
-        """Line i, then line i less each of its words."""
-        lo, hi = self.start[i], self.end[i]
-        at = np.arange(lo, hi)
-        less = (self.sums[at] - self.sums[lo] + (self.sums[hi] - self.sums[at + 1]) * self.down[1]) * self.down[lo]
-        return np.concatenate([self.hash[i : i + 1], named(less, np.full(hi - lo, hi - lo - 1))])
+    def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(variant, place of the missing word or -1, index into ``at``): every line, and every line less each of its words."""
+        n = self.n[at]
+        owner = np.repeat(np.arange(len(at)), n)
+        lo, hi = self.start[at][owner], self.end[at][owner]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        w = lo + place
+        less = (self.sums[w] - self.sums[lo] + (self.sums[hi] - self.sums[w + 1]) * self.down[1]) * self.down[lo]
+        return np.concatenate([self.hash[at], named(less, hi - lo - 1)]), np.concatenate([np.full(len(at), -1), place]), np.concatenate([np.arange(len(at)), owner])
 
 
 def named(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mixed(h + mixed(n.astype(np.uint64) + np.uint64(0x1234567)))
 
 
-def text_key(text: str | None) -> int:
-    h = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+def bytes_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def text_key(data: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(data)
     return h - (1 << 64) if h >> 63 else h
 
 
-def marks(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of the keys that two different lines have: tasks send tables of that size."""
-    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
+def together(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(position of the first, texts) in runs of about ``TOGETHER`` bytes."""
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        data = bytes_of(text.as_py())
+        held.append(data)
+        size += len(data)
+        if size >= TOGETHER:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, dtype=bool)
-        for batch in batches:
-            table[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
-        parts = np.packbits(table).reshape(64, -1)
-        full = np.flatnonzero(parts.any(axis=1))
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["part", "marks"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, np.uint8(0)) | np.frombuffer(m.as_py(), dtype=np.uint8)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["part", "marks"])
 
-    found = np.zeros((64, (1 << bits) // 512), dtype=np.uint8)
-    for r in shared.mapInArrow(mark, "part int, marks binary").repartition("part").mapInArrow(add, "part int, marks binary").collect():  # 2 ** bits bits in all
-        found[r["part"]] = np.frombuffer(r["marks"], dtype=np.uint8)
-    return found.reshape(-1)
+def marks(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of the keys that two different lines have."""
+    return bit_table(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key"), bits)
 
 
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """A row for each document with lines: id, t, and packed line numbers, line hashes, half keys and the lines that own those."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in together(batch.column(1)):
+                found = Lines(texts)
+                use = np.flatnonzero(found.n >= LEAST_WORDS)
+                near = np.flatnonzero(found.n >= NEAR_WORDS)
+                packed = [found.number(use).astype("<i4"), found.hash[use], found.half_keys(near), found.hash[near]]
+                cuts = [np.searchsorted(found.text[x], np.arange(len(texts) + 1)) for x in (use, use, near, near)]
+                columns = [pa.array([p[c[k] : c[k + 1]].tobytes() for k in range(len(texts))], pa.binary()) for p, c in zip(packed, cuts, strict=True)]
+                keys = pa.array([text_key(x) for x in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), keys, *columns], ["id", "t", "lines", "hashes", "keys", "owners"]).filter(pa.array(np.diff(cuts[0]) > 0))
+
+    return docs.mapInArrow(run, f"id {kind}, t long, lines binary, hashes binary, keys binary, owners binary")
+
+
+def unpack(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of packed arrays one after another, and how many each row has."""
+    arrays = [np.frombuffer(x.as_py(), dtype=dtype) for x in column]
+    return np.concatenate(arrays) if arrays else np.zeros(0, dtype=dtype), np.array([len(a) for a in arrays], dtype=np.int64)
+
+
 def dropped_lines(docs: DataFrame, near: bool = True, mark_bits: int = MARK_BITS) -> DataFrame:
     """(id, t, drop): line numbers to drop, for the documents that lose any.  ``docs``: id, text."""
     kind = docs.schema["id"].dataType.simpleString()
+    found = written(scanned(docs))
 
     def all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, t, line, h = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                found = Lines(text)
-                use = np.flatnonzero(found.n >= LEAST_WORDS)
-                at.append(np.full(len(use), i))
-                t.append(np.full(len(use), text_key(text) if len(use) else 0))
-                line.append(use)
-                h.append(found.hash[use])
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(t)), pa.array(np.concatenate(line).astype(np.int32)), signed(np.concatenate(h))], ["id", "t", "line", "h"])
+            lines, size = unpack(batch.column(2), "<i4")
+            at = np.repeat(np.arange(len(size)), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(batch.column(1).to_numpy()[at]), pa.array(lines), pa.array(unpack(batch.column(3), "<i8")[0])], ["id", "t", "line", "h"])
 
     def half_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                keys, lines = [], []
-                for text in batch.column(1).slice(lo, 64):
-                    found = Lines(text.as_py())
-                    use = np.flatnonzero(found.n >= NEAR_WORDS)
-                    keys.append(found.half_keys(use).reshape(-1))
-                    lines.append(np.repeat(found.hash[use], 4))
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(lines))], ["key", "h"])
-
-    lines = docs.mapInArrow(all_lines, f"id {kind}, t long, line int, h long").withColumn("place", F.struct("id", "t", "line"))
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(batch.column(0), "<i8")[0]), pa.array(np.repeat(unpack(batch.column(1), "<i8")[0], 4))], ["key", "h"])
+
+    lines = found.mapInArrow(all_lines, f"id {kind}, t long, line int, h long").withColumn("place", F.struct("id", "t", "line"))
     first = lines.groupBy("h").agg(F.min("place").alias("first"))
     gone = None
     if near:
-        table = docs.sparkSession.sparkContext.broadcast(marks(docs.mapInArrow(half_keys, "key long, h long"), mark_bits))
+        table = docs.sparkSession.sparkContext.broadcast(marks(found.select("keys", "owners").mapInArrow(half_keys, "key long, h long"), mark_bits))
+
+        def with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, size = unpack(batch.column(0), "<u8")
+                hit = np.repeat(np.arange(len(size)), size)[marked(table.value, keys >> np.uint64(64 - mark_bits))]
+                yield batch.select([1]).take(pa.array(np.unique(hit)))
+
+        texts = docs.sparkSession.sparkContext.broadcast(bit_table(found.select("keys", "t").mapInArrow(with_marks, "t long"), mark_bits))
 
         def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            marked = np.unpackbits(table.value).view(bool)
             for batch in batches:
-                for b, text in enumerate(batch.column(1)):
-                    text = text.as_py()
-                    found = Lines(text)
-                    use = np.flatnonzero(found.n >= NEAR_WORDS)
-                    use = use[marked[found.half_keys(use) >> np.uint64(64 - mark_bits)].any(axis=1)] if len(use) else use
-                    use = [i for i in use if found.hash[i] not in seen]
-                    if not use:
+                for start, data in together(batch.column(1)):
+                    t = np.array([text_key(x) for x in data], dtype=np.int64)
+                    some = np.flatnonzero(marked(texts.value, leading(pa.array(t), mark_bits)))
+                    if not len(some):
+                        continue
+                    lines = Lines([data[k] for k in some])
+                    use = np.flatnonzero(lines.n >= NEAR_WORDS)
+                    use = use[marked(table.value, lines.half_keys(use) >> np.uint64(64 - mark_bits)).any(axis=1)] if len(use) else use
+                    use = use[np.sort(np.unique(lines.hash[use], return_index=True)[1])]
+                    use = use[[h not in seen for h in lines.hash[use].tolist()]] if len(use) else use
+                    if not len(use):
                         continue
                     if len(seen) < 500_000:
-                        seen.update(found.hash[use])
-                    v = [found.variants(i) for i in use]
-                    size = np.array([len(x) for x in v])
-                    place = np.concatenate([np.arange(-1, k - 1) for k in size]).astype(np.int32)
+                        seen.update(lines.hash[use].tolist())
+                    v, place, own = lines.variants(use)
+                    at = some[lines.text[use]]
                     yield pa.RecordBatch.from_arrays(
-                        [signed(np.concatenate(v)), pa.array(place), signed(np.repeat(found.hash[use], size)), batch.column(0).take(pa.array(np.full(size.sum(), b))), pa.array(np.full(size.sum(), text_key(text))), pa.array(np.repeat(use, size).astype(np.int32))],
+                        [signed(v), pa.array(place.astype(np.int32)), signed(lines.hash[use][own]), batch.column(0).take(pa.array(start + at[own])), pa.array(t[at][own]), pa.array(lines.number(use)[own].astype(np.int32))],
                         ["v", "without", "h", "id", "t", "line"],
                     )
 
@@ -206,7 +224,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(x.as_py()) for x in batch.column(at)], pa.int64())], [*batch.schema.names, "t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(bytes_of(x.as_py())) for x in batch.column(at)], pa.int64())], [*batch.schema.names, "t"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in inner.schema]
     joined = inner.mapInArrow(keyed, ", ".join([*fields, "t long"])).alias("d").join(drop.alias("x"), F.col(f"d.c{own.index(id_col)}").eqNullSafe(F.col("x.id")) & (F.col("d.t") == F.col("x.t")), "left").select(*[f"d.c{i}" for i in range(len(own))], "x.drop")
@@ -217,7 +235,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, drop in zip(batch.column(at), batch.column(len(own)), strict=True):
                 text, drop = text.as_py(), set(drop.as_py() or ())
                 lines = text.split("\n") if text else []
-                n_lines.append(sum(1 for x in lines if x.encode("utf-8", "surrogatepass").split()))
+                n_lines.append(sum(1 for x in lines if x.strip(SPACES)))
                 n_removed.append(len(drop))
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
             columns = [*batch.columns[: len(own)], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
