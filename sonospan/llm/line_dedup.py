@@ -180,8 +180,18 @@ def dropped_lines(docs: DataFrame, near: bool = True, mark_bits: int = MARK_BITS
         texts = docs.sparkSession.sparkContext.broadcast(bit_table(found.select("keys", "t").mapInArrow(with_marks, "t long"), mark_bits))
 
         def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            seen: dict[int, tuple] = {}
+
+            def earlier(h: int, place: tuple) -> bool:
+                """Whether this is the earliest place of a line so far in this task."""
+                if h in seen and seen[h] <= place:
+                    return False
+                if h in seen or len(seen) < 500_000:
+                    seen[h] = place
+                return True
+
             for batch in batches:
+                ids = batch.column(0).to_pylist()
                 for start, data in together(batch.column(1)):
                     t = np.array([text_key(x) for x in data], dtype=np.int64)
                     some = np.flatnonzero(marked(texts.value, leading(pa.array(t), mark_bits)))
@@ -190,12 +200,10 @@ def dropped_lines(docs: DataFrame, near: bool = True, mark_bits: int = MARK_BITS
                     lines = Lines([data[k] for k in some])
                     use = np.flatnonzero(lines.n >= NEAR_WORDS)
                     use = use[marked(table.value, lines.half_keys(use) >> np.uint64(64 - mark_bits)).any(axis=1)] if len(use) else use
-                    use = use[np.sort(np.unique(lines.hash[use], return_index=True)[1])]
-                    use = use[[h not in seen for h in lines.hash[use].tolist()]] if len(use) else use
+                    places = zip(lines.hash[use].tolist(), some[lines.text[use]].tolist(), lines.number(use).tolist(), strict=True)
+                    use = use[[earlier(h, (ids[start + k] is not None, ids[start + k] or 0, int(t[k]), line)) for h, k, line in places]] if len(use) else use
                     if not len(use):
                         continue
-                    if len(seen) < 500_000:
-                        seen.update(lines.hash[use].tolist())
                     v, place, own = lines.variants(use)
                     at = some[lines.text[use]]
                     yield pa.RecordBatch.from_arrays(
