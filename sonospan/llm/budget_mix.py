@@ -51,18 +51,20 @@ def targets(sizes: list[int], weights=WEIGHTS, share: Fraction = SHARE, most: in
     return [float(x) for x in found]
 
 
-def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+def knapsack(lengths: list[int], counts: list[int], budget: int, above: int = 0) -> list[int]:
     """How many of each length to take so that their sum is the largest that is at most ``budget``.
 
+    With ``above``, the smallest sum from ``budget`` to ``budget + above`` instead, if there is one.
     Sums are bits of one integer; counts are split into powers of two.  Each
     step keeps the sums it reached first, which is enough to walk back.
     """
     taken = [0] * len(lengths)
-    if budget <= 0:
+    most = budget + above
+    if most <= 0:
         return taken
-    mask, reached, steps = (1 << (budget + 1)) - 1, 1, []
+    mask, reached, steps = (1 << (most + 1)) - 1, 1, []
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        left, part = min(counts[i], budget // lengths[i]) if lengths[i] else 0, 1
+        left, part = min(counts[i], most // lengths[i]) if lengths[i] else 0, 1
         while left > 0 and not reached >> budget & 1:
             part = min(part, left)
             grown = (reached << (part * lengths[i])) & mask
@@ -70,7 +72,8 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
                 steps.append((i, part, new))
                 reached |= new
             left, part = left - part, part * 2
-    at = reached.bit_length() - 1
+    over = reached >> budget
+    at = budget + (over & -over).bit_length() - 1 if over else reached.bit_length() - 1
     for i, part, new in reversed(steps):
         if new >> at & 1:
             taken[i] += part
@@ -84,16 +87,24 @@ def fit_counts(lengths: list[int], counts: list[int], goal: int) -> tuple[int, l
     if total <= 0 or goal <= 0:
         return 0, [0] * len(lengths)
     passes, rest = divmod(goal, total)
-    taken = [c * rest // total for c in counts]
+    # the rest that the program fits is kept large, so that long documents have their chance
+    share = max(0, rest - 2 * DP_WORDS)
+    taken = [c * share // total for c in counts]
     rest -= sum(n * k for n, k in zip(lengths, taken, strict=True))
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= DP_WORDS:
+        if rest <= 4 * DP_WORDS:
             break
         if lengths[i]:
-            more = min(counts[i] - taken[i], (rest - DP_WORDS // 2) // lengths[i])
+            more = min(counts[i] - taken[i], (rest - DP_WORDS) // lengths[i])
             taken[i] += more
             rest -= more * lengths[i]
-    extra = knapsack(lengths, [c - k for c, k in zip(counts, taken, strict=True)], min(rest, DP_WORDS * 4))
+    left = [c - k for c, k in zip(counts, taken, strict=True)]
+    extra = knapsack(lengths, left, min(rest, 4 * DP_WORDS))
+    short = rest - sum(n * k for n, k in zip(lengths, extra, strict=True))
+    if 1 < short <= 4 * DP_WORDS:  # a sum above may be nearer
+        other = knapsack(lengths, left, rest, short - 1)
+        if sum(n * k for n, k in zip(lengths, other, strict=True)) > rest:
+            extra = other
     return passes, [k + e for k, e in zip(taken, extra, strict=True)]
 
 
