@@ -104,7 +104,10 @@ def count_table(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 def frequency_classes(table: np.ndarray) -> np.ndarray:
     """0 for cells near the mean, then two classes for each doubling above twice the mean."""
     mean = max(table.mean(), 1.0)
-    return (2 * np.log2(np.maximum(table / (1.4 * mean), 1))).astype(np.int64).clip(0, 200).astype(np.uint8)
+    out = np.empty(len(table), dtype=np.uint8)
+    for lo in range(0, len(table), 1 << 20):  # in parts: the driver's memory is small
+        out[lo : lo + (1 << 20)] = (2 * np.log2(np.maximum(table[lo : lo + (1 << 20)] / (1.4 * mean), 1))).astype(np.int64).clip(0, 200)
+    return out
 
 
 def with_sets(docs: DataFrame, classes, size: int) -> DataFrame:
