@@ -110,7 +110,8 @@ def test_packing_is_a_partition_into_full_sequences(docs, corpus):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(sequences) <= -(-sum(r.length for r in got) // 64) + 2
+    counts = Counter(r.length for r in got)
+    assert best_fit_packing.lower_bound(counts, 64) <= len(sequences) <= best_fit_packing.lower_bound(counts, 64) + 1
 
 
 def test_packing_of_no_rows(none):
@@ -245,7 +246,7 @@ def test_mix(docs, corpus):
     for r in got:
         assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(aims[source[r.doc_id]])
     for s in order:  # repeated rows share a decision
-        assert abs(taken[s] - aims[s]) <= 260
+        assert abs(taken[s] - aims[s]) <= 130
     assert sorted(map(tuple, got)) == sorted(map(tuple, budget_mix.budget_mix(docs.repartition(5)).collect()))
     rows = Counter(r.doc_id for r in budget_mix.mixed(docs).collect())
     assert rows == Counter({r.doc_id: 0 for r in got}) + Counter({k: v for k, v in sum((Counter({r.doc_id: r.taken // max(r.size, 1)}) for r in got), Counter()).items() if v})
@@ -378,7 +379,8 @@ def test_quality_rules(spark, docs, corpus, none):
     assert quality_rules.quality_rules(none, labels).collect() == []
     unlabelled = quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(unlabelled) == len(corpus) and all(x.kept == (not x.base_failed) for x in unlabelled)
-    assert [f.tolist() for f in (model.forest.cut, model.thresholds)] == [f.tolist() for f in ((again := quality_rules.fit(table.repartition(4), labels)).forest.cut, again.thresholds)]
+    again = quality_rules.fit(table.repartition(4), labels)
+    assert again.forest.cut.tolist() == model.forest.cut.tolist() and again.thresholds.tolist() == model.thresholds.tolist()
 
 
 # 8: licences
