@@ -371,3 +371,8 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = view.table(spark, sf_dir, "events").select(F.col("user_id").alias("bundle_id"), F.col("event_id").alias("id"), F.col("event_type").alias("processor"))
     known = spark.createDataFrame([("click", "Ref A", "10.1/a", None), ("view", "Ref B", None, "https://b.example")], "processor string, reference string, doi string, url string")
     return campaign.citations(runs, known, ["bundle_id"]).select("bundle_id", "processor", "reference", "weblink", "position")
+
+
+from sonospan import audio_queries  # noqa: E402
+
+QUERIES |= audio_queries.QUERIES
