@@ -22,9 +22,10 @@ def tones(spark: SparkSession, n: int, seconds: float, rate: int = RATE) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                t = np.arange(int(seconds * rate)) / rate
+                t = np.arange(rate) / rate  # whole hertz repeat every second
                 f0 = 100 + 17 * (b % 12)
                 x = sum(np.sin(2 * np.pi * f0 * k * t) / k for k in range(1, 16)) * 0.1 + np.random.default_rng(b).normal(0, 0.002, len(t))
+                x = np.resize(x, int(seconds * rate))
                 yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([rate], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], ["bundle_id", "sample_rate", "samples"])
 
     return spark.range(n).mapInArrow(run, "bundle_id long, sample_rate int, samples array<double>")
