@@ -238,17 +238,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = inner.mapInArrow(keyed, ", ".join([*fields, "t long"])).alias("d").join(drop.alias("x"), F.col(f"d.c{own.index(id_col)}").eqNullSafe(F.col("x.id")) & (F.col("d.t") == F.col("x.t")), "left").select(*[f"d.c{i}" for i in range(len(own))], "x.drop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_lines, n_removed = [], [], []
-            for text, drop in zip(batch.column(at), batch.column(len(own)), strict=True):
-                text, drop = text.as_py(), set(drop.as_py() or ())
-                lines = text.split("\n") if text else []
-                n_lines.append(sum(1 for x in lines if x.strip(SPACES)))
-                n_removed.append(len(drop))
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-            columns = [*batch.columns[: len(own)], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: len(own)], "n_lines", "n_removed"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):  # few texts at a time: a batch may hold many MB
+                batch = whole.slice(lo, 500)
+                texts, n_lines, n_removed = [], [], []
+                for text, drop in zip(batch.column(at), batch.column(len(own)), strict=True):
+                    text, drop = text.as_py(), set(drop.as_py() or ())
+                    lines = text.split("\n") if text else []
+                    n_lines.append(sum(1 for x in lines if x.strip(SPACES)))
+                    n_removed.append(len(drop))
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
+                columns = [*batch.columns[: len(own)], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: len(own)], "n_lines", "n_removed"])
 
     out = joined.mapInArrow(cut, ", ".join([*fields, "n_lines long", "n_removed long"]))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *[c for c in ("n_lines", "n_removed") if c not in own])

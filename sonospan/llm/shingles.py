@@ -5,19 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from sonospan.llm.pretokens import TwoTier
 from sonospan.llm.rule_stats import mixed
+from sonospan.llm.wordhash import word_hashes
 
 SIZE = 5
-_word_hash: TwoTier | None = None
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word; frequent words are hashed once in a worker."""
-    global _word_hash
-    if _word_hash is None:
-        _word_hash = TwoTier({}, xxhash.xxh3_64_intdigest, 1_000_000)
-    return np.fromiter(map(_word_hash.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def chained(h: np.ndarray, size: int) -> np.ndarray:
@@ -34,10 +25,10 @@ def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
 
     A-Z are lower-cased; a word is ``[^\\x20\\x09-\\x0D]+``.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    words, _ = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    return np.unique(chained(word_hashes(words), min(size, len(words))))
+    return np.unique(chained(words, min(size, len(words))))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
