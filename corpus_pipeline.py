@@ -21,6 +21,8 @@ from sonospan.llm.line_dedup import line_dedup
 from sonospan.llm.quality_rules import fit, with_quality
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows an Arrow batch: texts are long, and a worker and its executor hold a few batches at a time.
+BATCH_ROWS = 1000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +55,22 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        rows = int(spark.conf.get(name))
+        spark.conf.set(name, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", quality),
-    ("line dedup", lines),
-    ("n-gram Jaccard join", near_copies),
-    ("mixing sources to target weights", mix),
-    ("best-fit packing", sequences),
+    ("quality rules", in_small_batches(quality)),
+    ("line dedup", in_small_batches(lines)),
+    ("n-gram Jaccard join", in_small_batches(near_copies)),
+    ("mixing sources to target weights", in_small_batches(mix)),
+    ("best-fit packing", in_small_batches(sequences)),
 ]
 
 #: The forest, the knapsack and the packing search are not expressible in SQL.

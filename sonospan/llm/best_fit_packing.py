@@ -36,6 +36,8 @@ from sonospan.llm.common import written
 CAPACITY = 2048
 BUCKET_ROWS = 10_000
 NODES = 8_000
+#: Words whose ids a worker keeps.
+WORDS_HELD = 100_000
 
 Filling = tuple[tuple[int, int], ...]
 Pattern = tuple[int, Filling]
@@ -49,7 +51,7 @@ def token_packer(path: str):
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    ids = pretokens.TwoTier({}, lambda t: packed(pretokens.model_ids(tok, t))).__getitem__
+    ids = pretokens.TwoTier({}, lambda t: packed(pretokens.model_ids(tok, t)), room=WORDS_HELD).__getitem__
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special) or (not text.isascii() and pretokens.UNSURE.search(text)):
