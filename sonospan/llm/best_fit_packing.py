@@ -37,13 +37,13 @@ CAPACITY = 2048
 BUCKET_ROWS = 10_000
 NODES = 8_000
 #: Words whose ids a worker keeps.
-WORDS_HELD = 100_000
+WORDS_HELD = 400_000
 
 Filling = tuple[tuple[int, int], ...]
 Pattern = tuple[int, Filling]
 
 
-def token_packer(path: str):
+def token_packer(path: str, words_held: int = WORDS_HELD):
     """A function from a text to its ids as little-endian 32-bit bytes, the closing id 0 not included."""
     tok = pretokens.tokenizer(path)
     special = [s for s in pretokens.special_strings(path) if s]
@@ -51,7 +51,7 @@ def token_packer(path: str):
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    ids = pretokens.TwoTier({}, lambda t: packed(pretokens.model_ids(tok, t)), room=WORDS_HELD).__getitem__
+    ids = pretokens.TwoTier({}, lambda t: packed(pretokens.model_ids(tok, t)), room=words_held).__getitem__
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special) or (not text.isascii() and pretokens.UNSURE.search(text)):
@@ -63,12 +63,12 @@ def token_packer(path: str):
     return encode
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", words_held: int = WORDS_HELD) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_packer(path)
+        encode = token_packer(path, words_held)
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -283,9 +283,9 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return rows.join(starts, ["length", "bucket"]).withColumn("number", F.col("before") + F.row_number().over(rank) - 1)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, words_held: int = WORDS_HELD) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, path, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
+    pieces = written(token_pieces(docs, path, capacity, id_col, text_col, words_held).withColumn("uid", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     slots = docs.sparkSession.sparkContext.broadcast(Slots.of(bin_completion(counts, capacity, nodes)))
 
