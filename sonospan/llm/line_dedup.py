@@ -1,15 +1,18 @@
 """Removing lines that repeat an earlier line up to one word, by a deletion-neighbourhood join.
 
-Lines are runs between newlines; the edit distance is counted in words.  The
-bound is 1 for lines of ``NEAR_WORDS`` words or more, 0 for lines of
-``LEAST_WORDS`` or more; shorter lines stay.  Order is (id, text, line number).
-A line goes when an earlier line equals it, or lies within the bound of it.
+Lines are runs between newlines.  Every line with a word takes part.  The edit
+distance is counted in words for lines of ``NEAR_WORDS`` words or more, and in
+characters for lines of fewer words that have ``NEAR_CHARS`` characters or more
+(white space between words is one), such as unspaced scripts, addresses and code;
+the bound is 1.  It is 0 for shorter lines, and between lines counted differently.
+Order is (id, text, line number).  A line goes when an earlier line equals it, or
+lies within the bound of it.
 
 1. Lines whose first or last half nobody else has can have no neighbour.  Half
    keys seen with two different lines are marked in a bit table of fixed size; a
    wrong mark only costs rows.
 2. Marked lines emit all variants within the bound: the line, and the line less
-   each word, as hashes.  Equal variants meet.  The edit distance is verified by
+   each word or character, as hashes.  Equal variants meet.  The edit distance is verified by
    place: two lines of one length are a substitution apart only if they miss the
    same place; a line that equals another's variant is an insertion away.
 3. The earliest line of every variant stays; later ones are dropped wherever
@@ -37,36 +40,29 @@ from sonospan.llm.common import bit_table, leading, marked, written
 from sonospan.llm.rule_stats import SPACES, mixed
 from sonospan.llm.wordhash import powers, word_hashes
 
-LEAST_WORDS = 5
-NEAR_WORDS = 10
+LEAST_WORDS = 1
+NEAR_WORDS = 5
+NEAR_CHARS = 20
 MARK_BITS = 24
 #: Texts hashed together, in bytes.
 TOGETHER = 1 << 18
+#: Sets hashes of characters apart from those of words.
+CHARACTERS = 0x6A09E667F3BCC909
 
 
-class Lines:
-    """Line hashes of some texts; lines are numbered through."""
+class Parts:
+    """Lines as runs of hashed parts, which are words or characters."""
 
-    def __init__(self, texts: list[bytes]):
-        data = b"\n".join(texts)
-        words, start = word_hashes(data)
-        breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-        self.per_text = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
-        self.first = np.cumsum(self.per_text) - self.per_text
-        self.text = np.repeat(np.arange(len(texts)), self.per_text)
-        self.n = np.bincount(np.searchsorted(breaks, start), minlength=len(self.text))
-        self.end = np.cumsum(self.n)
-        self.start = self.end - self.n
-        up, self.down = powers(len(words) + 2)
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-        self.hash = named(self.part(self.start, self.end), self.n)
-
-    def number(self, at: np.ndarray) -> np.ndarray:
-        """Line numbers inside the texts."""
-        return at - self.first[self.text[at]]
+    def __init__(self, parts: np.ndarray, n: np.ndarray, salt: int = 0):
+        self.n, self.salt = n, np.uint64(salt)
+        self.end = np.cumsum(n)
+        self.start = self.end - n
+        up, self.down = powers(len(parts) + 2)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(parts * up[: len(parts)], dtype=np.uint64)])
+        self.hash = named(self.part(self.start, self.end), n) ^ self.salt
 
     def part(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of runs of words, wherever they stand."""
+        """Hashes of runs of parts, wherever they stand."""
         return (self.sums[hi] - self.sums[lo]) * self.down[lo]
 
     def half_keys(self, at: np.ndarray) -> np.ndarray:
@@ -76,17 +72,59 @@ class Lines:
         for shorter in (n, np.maximum(n - 1, 1)):
             half = shorter // 2
             out += [named(self.part(lo, lo + half), 2 * shorter), named(self.part(hi - half, hi), 2 * shorter + 1)]
-        return np.stack(out, axis=1)
+        return np.stack(out, axis=1) ^ self.salt
 
     def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(variant, place of the missing word or -1, index into ``at``): every line, and every line less each of its words."""
+        """(variant, place of the missing part or -1, index into ``at``): every line, and every line less each of its parts."""
         n = self.n[at]
         owner = np.repeat(np.arange(len(at)), n)
         lo, hi = self.start[at][owner], self.end[at][owner]
         place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         w = lo + place
         less = (self.sums[w] - self.sums[lo] + (self.sums[hi] - self.sums[w + 1]) * self.down[1]) * self.down[lo]
-        return np.concatenate([self.hash[at], named(less, hi - lo - 1)]), np.concatenate([np.full(len(at), -1), place]), np.concatenate([np.arange(len(at)), owner])
+        return np.concatenate([self.hash[at], named(less, hi - lo - 1) ^ self.salt]), np.concatenate([np.full(len(at), -1), place]), np.concatenate([np.arange(len(at)), owner])
+
+
+class Lines(Parts):
+    """Line hashes of some texts; lines are numbered through."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join(texts)
+        words, start = word_hashes(data)
+        breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+        self.per_text = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
+        self.first = np.cumsum(self.per_text) - self.per_text
+        self.text = np.repeat(np.arange(len(texts)), self.per_text)
+        super().__init__(words, np.bincount(np.searchsorted(breaks, start), minlength=len(self.text)))
+        self.short, self.chars = self.characters(data, np.concatenate([[-1], breaks]) + 1, np.concatenate([breaks, [len(data)]]))
+        #: Lines that can have near ones.
+        self.near = np.union1d(np.flatnonzero(self.n >= NEAR_WORDS), self.short)
+
+    def characters(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, Parts]:
+        """Lines of few words but ``NEAR_CHARS`` characters or more, and their characters."""
+        at = np.flatnonzero((self.n > 0) & (self.n < NEAR_WORDS) & (end - begin >= NEAR_CHARS))
+        texts = [b" ".join(data[lo:hi].split()).decode("utf-8", "surrogatepass") for lo, hi in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        use = n >= NEAR_CHARS
+        codes = np.frombuffer("".join(t for t, u in zip(texts, use.tolist(), strict=True) if u).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return at[use], Parts(mixed(codes.astype(np.uint64) + np.uint64(1)), n[use], CHARACTERS)
+
+    def number(self, at: np.ndarray) -> np.ndarray:
+        """Line numbers inside the texts."""
+        return at - self.first[self.text[at]]
+
+    def near_keys(self, at: np.ndarray) -> np.ndarray:
+        """Half keys of lines that can have near ones."""
+        out, few = self.half_keys(at), self.n[at] < NEAR_WORDS
+        out[few] = self.chars.half_keys(np.searchsorted(self.short, at[few]))
+        return out
+
+    def near_variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Variants of lines that can have near ones."""
+        few = self.n[at] < NEAR_WORDS
+        v, place, own = self.variants(at[~few])
+        cv, cplace, cown = self.chars.variants(np.searchsorted(self.short, at[few]))
+        return np.concatenate([v, cv]), np.concatenate([place, cplace]), np.concatenate([np.flatnonzero(~few)[own], np.flatnonzero(few)[cown]])
 
 
 def named(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -134,8 +172,8 @@ def scanned(docs: DataFrame) -> DataFrame:
             for first, texts in together(batch.column(1)):
                 found = Lines(texts)
                 use = np.flatnonzero(found.n >= LEAST_WORDS)
-                near = np.flatnonzero(found.n >= NEAR_WORDS)
-                packed = [found.number(use).astype("<i4"), found.hash[use], found.half_keys(near), found.hash[near]]
+                near = found.near
+                packed = [found.number(use).astype("<i4"), found.hash[use], found.near_keys(near), found.hash[near]]
                 cuts = [np.searchsorted(found.text[x], np.arange(len(texts) + 1)) for x in (use, use, near, near)]
                 columns = [pa.array([p[c[k] : c[k + 1]].tobytes() for k in range(len(texts))], pa.binary()) for p, c in zip(packed, cuts, strict=True)]
                 keys = pa.array([text_key(x) for x in texts], pa.int64())
@@ -198,13 +236,13 @@ def dropped_lines(docs: DataFrame, near: bool = True, mark_bits: int = MARK_BITS
                     if not len(some):
                         continue
                     lines = Lines([data[k] for k in some])
-                    use = np.flatnonzero(lines.n >= NEAR_WORDS)
-                    use = use[marked(table.value, lines.half_keys(use) >> np.uint64(64 - mark_bits)).any(axis=1)] if len(use) else use
+                    use = lines.near
+                    use = use[marked(table.value, lines.near_keys(use) >> np.uint64(64 - mark_bits)).any(axis=1)] if len(use) else use
                     places = zip(lines.hash[use].tolist(), some[lines.text[use]].tolist(), lines.number(use).tolist(), strict=True)
                     use = use[[earlier(h, (ids[start + k] is not None, ids[start + k] or 0, int(t[k]), line)) for h, k, line in places]] if len(use) else use
                     if not len(use):
                         continue
-                    v, place, own = lines.variants(use)
+                    v, place, own = lines.near_variants(use)
                     at = some[lines.text[use]]
                     yield pa.RecordBatch.from_arrays(
                         [signed(v), pa.array(place.astype(np.int32)), signed(lines.hash[use][own]), batch.column(0).take(pa.array(start + at[own])), pa.array(t[at][own]), pa.array(lines.number(use)[own].astype(np.int32))],

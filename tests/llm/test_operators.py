@@ -204,6 +204,17 @@ def test_line_dedup_equals_brute_force(docs, corpus):
     assert sum(map(len, drop.values())) > 5
 
 
+def test_short_and_unspaced_lines_are_deduplicated(spark):
+    chinese = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    repeated = ["Les.", "two words", "one two three four", "x" * 19, "five words make a line", chinese, "😀" * 25 + "é", "http://a.example/a/long/path?of=one&word=0"]
+    near = [("one of five words here", "one of 5 words here"), ("now six words are in it", "now six words are in"), ("字" + chinese[1:], None), (chinese[:-1], None), ("http://a.example/a/long/path?of=one&word=1", None), ("all in twentychars ok", "all in twentychars  ok!")]
+    apart = ["les.", "two word", "a2b", "x" * 18, "one two three five", "", "  ", "fve words make line", chinese[2:] + "ab"]
+    texts = [(0, "\n".join(repeated + [a for a, _ in near if a[0] in "ona"])), (1, "\n".join(["Les.", *repeated, *(b or a for a, b in near), *apart, "  two\twords "]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[0] == (texts[0][1], 0)
+    assert got[1] == ("\n".join(apart), 1 + len(repeated) + len(near) + 1)
+
+
 def test_line_dedup_of_no_rows(none):
     assert line_dedup.line_dedup(none).collect() == []
 
