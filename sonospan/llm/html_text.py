@@ -1,6 +1,9 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of a host meet in chunks of at most ``CHUNK_PAGES``.  A page is a sequence
+Pages of a host meet in chunks of ``CHUNK_PAGES`` different pages, in the order
+of a hash of their html, so that chunks don't change between runs; the last chunk
+of a host, or of a part of a hot one, has up to one page less than twice as many,
+and none has fewer unless the host has.  A page is a sequence
 of tokens: opening tags with their place, and whole text blocks with their place.
 Tokens that share an occurrence vector (how often each page of the chunk has
 them) form an equivalence class.  A class is valid when it is large and frequent
@@ -10,8 +13,9 @@ are the slots.  A slot is article text unless its place says otherwise: menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like, and
 everything outside ``article`` or ``main`` where a page has one.
 
-Inside an article a template text goes only where the pages are otherwise
-different, so copies of a page do not erase each other.  A lone page, and a host
+Inside an article the template is that of pages with different articles: of
+pages that share over half of their article's blocks only one counts, so copies
+and near copies of a page do not erase each other.  A lone page, and a host
 with few pages, is judged by places alone.
 
 Null html is empty; a null url is a host of its own.  Repeated rows give
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_PAGES = 64
+#: Rows of one result batch at most.
+OUT_ROWS = 1000
 #: Hosts with more than this share of all pages are dealt to several tasks.
 HOT_SHARE = 1000
 LEAST_PAGES = 4
@@ -201,11 +207,40 @@ def template_texts(pages: list[Page]) -> set[tuple]:
     return found
 
 
-def main_text(page: Page, template: set[tuple], varied: bool) -> str:
-    """Slots that are article text, joined by one space."""
+def article(page: Page) -> list[tuple]:
+    """Text tokens of a page's article, where it names one."""
+    return [("text", b.place, b.text) for b in page.blocks if b.inside and not b.outside]
+
+
+def different(pages: list[Page]) -> list[Page]:
+    """The pages with an article, less those that share over half of its blocks with one before."""
+    found: list[tuple[Page, int]] = []
+    holders: dict[tuple, list[int]] = defaultdict(list)
+    for page in pages:
+        blocks = set(article(page))
+        shared: dict[int, int] = defaultdict(int)
+        for b in blocks:
+            for k in holders[b]:
+                shared[k] += 1
+        if not blocks or any(2 * n > max(len(blocks), found[k][1]) for k, n in shared.items()):
+            continue
+        for b in blocks:
+            holders[b].append(len(found))
+        found.append((page, len(blocks)))
+    return [page for page, _ in found]
+
+
+def is_varied(pages: list[Page], template: set[tuple]) -> bool:
+    """Whether less than half of the pages' article blocks are template."""
+    blocks = [t for p in pages for t in article(p)]
+    return bool(template) and 10 * sum(t in template for t in blocks) < 5 * len(blocks)
+
+
+def main_text(page: Page, template: set[tuple], varied: bool, within: set[tuple]) -> str:
+    """Slots that are article text, joined by one space; ``within`` is the template inside articles."""
     inside = [b for b in page.blocks if b.inside and not b.outside]
     if inside:
-        kept = [b for b in inside if not varied or ("text", b.place, b.text) not in template]
+        kept = [b for b in inside if ("text", b.place, b.text) not in within]
     else:
         kept = [b for b in page.blocks if not b.outside and ("text", b.place, b.text) not in template]
         kept = kept or [b for b in page.blocks if not b.outside and not varied]
@@ -217,43 +252,65 @@ def extracted(sources: list[str | None]) -> list[str]:
     pages = [parsed(s) if s else Page() for s in sources]
     distinct = list({tuple(p.tokens): p for p in pages if p.tokens}.values())
     template = template_texts(distinct)
-    blocks = [("text", b.place, b.text) for p in distinct for b in p.blocks if b.inside and not b.outside]
-    varied = bool(template) and 10 * sum(t in template for t in blocks) < 5 * len(blocks)
-    return [main_text(p, template, varied) for p in pages]
+    apart = different(distinct)
+    within = template_texts(apart)
+    within = within if is_varied(apart, within) else set()
+    varied = is_varied(distinct, template)
+    return [main_text(p, template, varied, within) for p in pages]
+
+
+def chunked(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Chunks of (html, [(id, url), ...]) from (id, url, html, key, hash) rows in order of key and hash.
+
+    A key's chunks have ``CHUNK_PAGES`` pages and its last one the rest, fewer than twice as many.
+    """
+    held: list[tuple] = []
+    key = last = None
+    for i, url, html, k, h in rows:
+        if held and k != key:
+            yield held
+            held = []
+        if held and h == last and html == held[-1][0]:
+            held[-1][1].append((i, url))
+            continue
+        if len(held) >= 2 * CHUNK_PAGES - 1:
+            yield held[:CHUNK_PAGES]
+            held = held[CHUNK_PAGES:]
+        key, last = k, h
+        held.append((html, [(i, url)]))
+    if held:
+        yield held
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(html_col).alias("hash"))
+    counts = rows.groupBy("host").agg(F.count_distinct("hash").alias("n"))
     total = pages.count()
     most = max(8 * CHUNK_PAGES, total // HOT_SHARE)
     hot = {r["host"]: -(-r["n"] // most) for r in counts.filter(F.col("n") > most).collect()}  # at most HOT_SHARE hosts
     salts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col("host")] if hot else F.lit(1)
-    salt = F.pmod(F.xxhash64("id", "html"), F.coalesce(salts, F.lit(1)))
+    salt = F.pmod(F.xxhash64("hash"), F.coalesce(salts, F.lit(1)))
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-
-        def done() -> pa.RecordBatch:
-            texts = extracted([h for _, _, h in held])
-            out = [pa.array([r[0] for r in held], ids), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(out, ["id", "url", "text", "n_chars"])
-
-        for batch in batches:
-            ids = batch.schema.field(0).type
-            for i in range(batch.num_rows):
-                row = [c[i].as_py() for c in batch.columns]
-                if held and (row[3:] != key or len(held) >= CHUNK_PAGES):
-                    yield done()
-                key = row[3:]
-                held.append((row[0], row[1], row[2]))
-        if held:
-            yield done()
-
-    dealt = rows.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt")
+        ids = pa.null()
+
+        def each() -> Iterator[tuple]:
+            nonlocal ids
+            for batch in batches:
+                ids = batch.schema.field(0).type
+                for i in range(batch.num_rows):
+                    row_id, url, html, name, page_hash, part = (c[i].as_py() for c in batch.columns)
+                    yield row_id, url, html, (name, part), page_hash
+
+        for held in chunked(each()):
+            out = [(i, url, text) for (_, same), text in zip(held, extracted([html for html, _ in held]), strict=True) for i, url in same]
+            for lo in range(0, len(out), OUT_ROWS):
+                found = out[lo : lo + OUT_ROWS]
+                columns = [pa.array([r[0] for r in found], ids), *[pa.array([r[k] for r in found], pa.string()) for k in (1, 2)], pa.array([len(r[2]) for r in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "url", "text", "n_chars"])
+
+    dealt = rows.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "hash")
     return dealt.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

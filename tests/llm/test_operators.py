@@ -155,6 +155,25 @@ def test_templates_are_deduced_where_places_say_nothing():
     assert same == ["a copied page"] * 9
 
 
+def test_near_copies_on_a_host_keep_their_article():
+    page = lambda blocks: "<body><nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    copies = [[f"copy {k}", "shared one", "shared two", "shared three", "shared four"] for k in range(40)]
+    others = [[f"page {k} block {j}" for j in range(10)] for k in range(24)]
+    assert html_text.extracted([page(b) for b in copies + others]) == [" ".join(b) for b in copies + others]
+    boiler = [[*b, "Share this story", "All our stories"] for b in copies + others]
+    assert html_text.extracted([page(b) for b in boiler]) == [" ".join(b) for b in copies + others]
+
+
+def test_no_page_of_a_host_is_left_without_its_template(spark):
+    make = lambda k: f"<body><div class=x1>Welcome to our site</div><div class=x2><p>story {k}</p><p>more {k}</p></div><div class=x3>All rights reserved</div></body>"
+    rows = [(k, "http://a.example/", make(k)) for k in range(2 * html_text.CHUNK_PAGES + 1)]
+    rows += [rows[0]] * 200 + [(1000 + k, "http://b.example/", make(k)) for k in range(html_text.CHUNK_PAGES + 2)]
+    want = Counter((i, f"story {i % 1000} more {i % 1000}") for i, _, _ in rows)
+    for parts in (1, 5):
+        got = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
+        assert Counter((r.page_id, r.text) for r in got.collect()) == want
+
+
 def test_malformed_pages_never_fail():
     r = random.Random(5)
     parts = ["<", ">", "<p", "<!--", "-->", "<nav>", "</nav>", "<article>", "</div>", "text", '"', "'", "<a href='", "<script>", "</script", "&amp", "<![CDATA[", "]]>", "\x00", "<div class=ad>"]
