@@ -3,7 +3,7 @@
 A source's documents are counted by exact length in words.  Its target is met
 by whole passes over the source and a subset for the rest: a proportional part
 of every length's count, then a bounded-knapsack dynamic program over the counts
-left for the small budget that remains.  Inside a length, documents are taken in
+left for the budget that remains, which spans several of the longest documents.  Inside a length, documents are taken in
 seeded hash order up to a cut, so the decision for a row needs only its source,
 length and id, and reruns agree.
 
@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST = 2
 BUCKET_ROWS = 10_000
-#: The dynamic program's largest budget in words; greedy steps bring a larger rest below it.
+#: Greedy steps bring a rest below four times this or four of the longest documents, whichever is more; the dynamic program fits that exactly.
 DP_WORDS = 1 << 16
 
 
@@ -56,7 +56,8 @@ def knapsack(lengths: list[int], counts: list[int], budget: int, above: int = 0)
 
     With ``above``, the smallest sum from ``budget`` to ``budget + above`` instead, if there is one.
     Sums are bits of one integer; counts are split into powers of two.  Each
-    step keeps the sums it reached first, which is enough to walk back.
+    step keeps the sums it reached first, from the least of them on, which is
+    enough to walk back.
     """
     taken = [0] * len(lengths)
     most = budget + above
@@ -69,13 +70,14 @@ def knapsack(lengths: list[int], counts: list[int], budget: int, above: int = 0)
             part = min(part, left)
             grown = (reached << (part * lengths[i])) & mask
             if new := grown & ~reached:
-                steps.append((i, part, new))
+                least = (new & -new).bit_length() - 1
+                steps.append((i, part, least, new >> least))
                 reached |= new
             left, part = left - part, part * 2
     over = reached >> budget
     at = budget + (over & -over).bit_length() - 1 if over else reached.bit_length() - 1
-    for i, part, new in reversed(steps):
-        if new >> at & 1:
+    for i, part, least, new in reversed(steps):
+        if at >= least and new >> (at - least) & 1:
             taken[i] += part
             at -= part * lengths[i]
     return taken
@@ -87,21 +89,22 @@ def fit_counts(lengths: list[int], counts: list[int], goal: int) -> tuple[int, l
     if total <= 0 or goal <= 0:
         return 0, [0] * len(lengths)
     passes, rest = divmod(goal, total)
+    unit = max(DP_WORDS, *(n for n, c in zip(lengths, counts, strict=True) if c))
     # the rest that the program fits is kept large, so that long documents have their chance
-    share = max(0, rest - 2 * DP_WORDS)
+    share = max(0, rest - 2 * unit)
     taken = [c * share // total for c in counts]
     rest -= sum(n * k for n, k in zip(lengths, taken, strict=True))
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= 4 * DP_WORDS:
+        if rest <= 4 * unit:
             break
         if lengths[i]:
-            more = min(counts[i] - taken[i], (rest - DP_WORDS) // lengths[i])
+            more = min(counts[i] - taken[i], (rest - unit) // lengths[i])
             taken[i] += more
             rest -= more * lengths[i]
     left = [c - k for c, k in zip(counts, taken, strict=True)]
-    extra = knapsack(lengths, left, min(rest, 4 * DP_WORDS))
+    extra = knapsack(lengths, left, rest)  # no document is longer than the unit, so the rest is at most four of it
     short = rest - sum(n * k for n, k in zip(lengths, extra, strict=True))
-    if 1 < short <= 4 * DP_WORDS:  # a sum above may be nearer
+    if short > 1:  # a sum above may be nearer
         other = knapsack(lengths, left, rest, short - 1)
         if sum(n * k for n, k in zip(lengths, other, strict=True)) > rest:
             extra = other

@@ -261,6 +261,26 @@ def test_subset_sums_are_the_best_reachable():
         assert sum(n * k for n, k in zip(lengths, taken, strict=True)) == max(s for s in sums if s <= budget)
 
 
+def test_fit_of_very_long_documents():
+    assert budget_mix.fit_counts([450_000], [2], 500_000) == (0, [1])
+    assert budget_mix.fit_counts([900_000], [1], 540_000) == (0, [1])
+    assert budget_mix.fit_counts([900_000], [1], 440_000) == (0, [0])
+    assert budget_mix.fit_counts([200_000, 300_000], [2, 1], 400_000) == (0, [2, 0])
+    r = random.Random(7)
+    for _ in range(20):
+        lengths = sorted(r.sample(range(60_000, 900_000), 5))
+        counts = [r.randint(1, 2) for _ in lengths]
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        goal = r.randrange(min(max(sums), 3 * lengths[-1]))
+        passes, taken = budget_mix.fit_counts(lengths, counts, goal)
+        assert passes == 0 and all(0 <= k <= c for k, c in zip(taken, counts, strict=True))
+        got = abs(sum(n * k for n, k in zip(lengths, taken, strict=True)) - goal)
+        # within four of the longest the program alone decides
+        assert got == min(abs(s - goal) for s in sums) if goal <= 2 * lengths[-1] else got <= lengths[-1]
+
+
 def test_mix(docs, corpus):
     got = budget_mix.budget_mix(docs).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len((t or "").encode().split())) for d, t, *_ in corpus)
