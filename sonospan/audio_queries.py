@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,15 +86,32 @@ def clinical_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syllable ranges of the first word of every document, letter by letter."""
+    """Syllable ranges of every word of every document, letter by letter; words are numbered from 0."""
+    return syllables_of(view.table(spark, sf_dir, "documents"))
+
+
+def syllables_of(docs: DataFrame) -> DataFrame:
+    types = {"doc_id": pa.int64(), "word": pa.int32(), "syllable": pa.int32(), "first": pa.int32(), "end": pa.int32(), "text": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, i, a, b, w[a:b]) for d, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, (a, b) in enumerate(align.syllabify(list(w or "")))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "syllable", "first", "end", "text"])
+        ranges = lru_cache(20_000)(lambda w: align.syllabify(list(w)))
 
-    word = F.regexp_extract(F.lower("text"), r"(\p{L}+)", 1)
-    return view.table(spark, sf_dir, "documents").select("doc_id", word.alias("word")).mapInArrow(run, "doc_id long, syllable int, first int, end int, text string")
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], list(types))
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for d, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for k, w in enumerate(words.as_py() or ()):
+                    rows += [(d, k, i, a, b, w[a:b]) for i, (a, b) in enumerate(ranges(w))]
+                    if len(rows) >= 20_000:  # few at a time: a batch of documents has millions
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    return docs.select("doc_id", words.alias("words")).mapInArrow(run, "doc_id long, word int, syllable int, first int, end int, text string")
 
 
 def align_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ VOWELS = "iyɨʉɯuɪʏʊeøɘɵɤoəɛœɜɞʌɔæɐaɶɑɒɚɝ"
 SCALE = {9: "jwɥɰ", 8: "rɾɹɻʀʁɽ", 7: "lɫɭʎʟ", 6: "mɱnɳɲŋɴ", 5: "vzʒðβʐʑʝɣʕɦɮ", 4: "fsʃθɸʂɕçxχħhɬ", 3: "bdɖɟgɡɢ"}
 RANK = {c: r for r, chars in SCALE.items() for c in chars} | dict.fromkeys(VOWELS, 10)
 SYLLABIC = "̩̍"
+NUCLEI = frozenset(VOWELS)
 
 
 def base(phone: str) -> str | None:
@@ -23,7 +24,7 @@ def sonority(phone: str) -> int:
 
 
 def is_nucleus(phone: str) -> bool:
-    return any(c in SYLLABIC for c in phone) or base(phone) in set(VOWELS)
+    return any(c in SYLLABIC for c in phone) or base(phone) in NUCLEI
 
 
 def syllabify(phones: list[str]) -> list[tuple[int, int]]:

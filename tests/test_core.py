@@ -311,3 +311,11 @@ def test_queries_equal_sql(spark, oracle, name):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES and not n.endswith("300s")])
 def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_syllables_of_every_word(spark):
+    from sonospan import audio_queries
+
+    docs = spark.createDataFrame([(1, "Katapult 12 st, BANANA"), (2, None), (3, " 7 ")], "doc_id long, text string")
+    got = sorted(map(tuple, audio_queries.syllables_of(docs).collect()))
+    assert got == [(1, 0, 0, 0, 2, "ka"), (1, 0, 1, 2, 4, "ta"), (1, 0, 2, 4, 8, "pult"), (1, 1, 0, 0, 2, "st"), (1, 2, 0, 0, 2, "ba"), (1, 2, 1, 2, 4, "na"), (1, 2, 2, 4, 6, "na")]
