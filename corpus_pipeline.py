@@ -40,9 +40,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest id."""
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones stays: that with the smallest id, then text hash, then row number."""
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()))  # numbers stay as they are once written
+    groups = jaccard_groups(rows.select(F.struct("doc_id", F.xxhash64("text").alias("hash"), "row").alias("doc_id"), "text"))
+    return rows.join(groups.filter("doc_id.row <> component_id.row").select("doc_id.row"), "row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,11 @@ def test_stages_take_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = " ".join(f"word{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    rows = [(1, text), (1, text), (None, other), (None, other), (2, text + " more"), (2, "a text of its own that nothing else is like"), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_copies(spark, docs, SMALL).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], *rows[5:]]))
