@@ -16,11 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder, so later readers don't depend on this plan or on one executor.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests) a folder of this machine is used.
+    The cluster names the folder in spark.checkpoint.dir; only a local master (tests) may leave it unset and gets a folder of its machine.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -29,6 +32,20 @@ def n_words(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_count(df: DataFrame) -> int:
+    """Rows of a written table, by one number a task and no shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64())], ["n"])
+
+    return sum(r["n"] for r in df.select(F.lit(1).alias("one")).mapInArrow(count, "n long").collect())
+
+
+def bits_for(rows: int, most: int = 27) -> int:
+    """Bits of a table of marks for so many keys: about one in sixteen is set, up to 16 MB."""
+    return min(most, max(12, rows.bit_length() + 4))
+
+
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     """2 ** bits bits, packed: those that the leading bits of a long column name are set.
 

@@ -1,22 +1,29 @@
 """Exact self-join of documents on 5-word shingle Jaccard similarity, as linked groups.
 
-1. A fixed-size table of hashed shingle counts over all documents gives one
-   global order with frequent shingles last.
-2. Documents with equal sets are one node (the set's fingerprint).
-3. Nodes whose sets can be similar share a shingle of their prefixes.  A
-   streamed pass over the sorted posting lists, cut by length and position,
-   leaves edges that connect all such candidates without listing the pairs;
-   their components are families, and links never leave a family.
-4. Families meet as blocks of bounded size.  Inside a block the overlaps of a
-   set with all others are derived from those of the most similar set computed
-   before, by walking only the lists of shingles in which the two differ.
-   Lists of one row are skipped, and answers are read inside the length bounds.
+1. A table of hashed shingle counts over all documents, of one size whatever
+   the input, gives one global order with frequent shingles last.
+2. Documents with equal sets are one node (the set's fingerprint): a task writes
+   a node's prefix once, and lists hold a node once.
+3. Nodes whose sets can be similar share a shingle of their prefixes.  Postings
+   are dealt by ranges of (shingle, length, node), so a very common shingle is
+   many tasks.  A streamed pass, cut by length and position, leaves edges that
+   connect all candidates without listing the pairs; what stands near the ends of
+   a task's range meets once more.  The edges' components are families, and links
+   never leave a family.
+4. Families meet as blocks of bounded size.  Inside a block a set is searched in
+   lists cut into skip blocks by length and position, which are passed over where
+   position and length leave too small an overlap.  The search keeps all sets
+   that come within a slack of the bound; a highly similar set then has its
+   answers derived from these, by walking only the lists of the shingles in which
+   the two differ, until the slack is used up.
 5. A family of one block is settled there.  In a larger one every block meets
    the first block; what that leaves outside the largest group then meets all
    blocks.
 
-Null and empty texts link with nothing.  Repeated rows are documents of their
-own.  Extra columns are not read.  Two different sets share a fingerprint with
+Null and empty texts link with nothing.  Repeated rows, repeated ids and null
+ids are documents of their own; a group of null ids alone has a null
+``component_id``, others have their smallest id.  Very long texts are hashed in
+pieces.  Extra columns are not read.  Two different sets share a fingerprint with
 probability about 2 ** -64 a pair.
 """
 
@@ -31,17 +38,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonospan.llm.common import bit_table, leading, marked, written
-from sonospan.llm.components import components
+from sonospan.llm.common import bit_table, bits_for, leading, marked, row_count, written
+from sonospan.llm.components import components, contracted
 from sonospan.llm.shingles import SIZE, fingerprint, shingle_set
 
 #: 80 of 100.
 SIMILAR = (80, 100)
 SKETCH_BITS = 24
 CHUNK_BITS = 14
-MARK_BITS = 24
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
+#: Rows of a posting list that a row is compared with.
+REACH = 16
+#: Entries of a list that are passed over together.
+SKIP = 16
+#: Nodes whose prefix a task remembers to have written.
+NODES_HELD = 1_000_000
 
 
 def least_part(n):
@@ -67,20 +79,21 @@ def count_table(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     chunk = min(CHUNK_BITS, bits)
 
     def packed(cells: np.ndarray) -> bytes:
-        """Byte planes, so that the empty upper bytes of small counts cost nothing."""
-        return zstandard.compress(cells.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+        most = int(cells.max())
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - (w == 8)))
+        return bytes([width]) + zstandard.compress(cells.astype(f"<u{width}").tobytes(), 1)
 
     def unpacked(cells: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(cells), dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
+        return np.frombuffer(zstandard.decompress(cells[1:]), dtype=f"<u{cells[0]}").astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, dtype=np.int32)
+        cells = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                hashes = shingle_set(text.as_py(), size)
-                np.add.at(cells, (hashes & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        if cells.any():
-            yield parts({k: c for k, c in enumerate(cells.reshape(-1, 1 << chunk)) if c.any()})
+                cells[(shingle_set(text.as_py(), size) & np.uint64((1 << bits) - 1)).astype(np.int64)] += 1
+        some = {k: c for k, c in enumerate(cells.reshape(-1, 1 << chunk)) if c.any()}
+        if some:
+            yield parts(some)
 
     def parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([packed(a) for a in arrays.values()], pa.binary())], ["part", "cells"])
@@ -111,23 +124,29 @@ def frequency_classes(table: np.ndarray) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, classes, size: int) -> DataFrame:
-    """id, n, node and the prefix: hashes in global order, as bytes."""
+    """id, t (hash of the text), n, node and the prefix: hashes in global order, as bytes, where the task has not written the node's before."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         mask = np.uint64(len(table) - 1)
+        seen: set[int] = set()
         for batch in batches:
             ns, nodes, prefixes = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), size)
+                node = fingerprint(s) if len(s) else None
                 ns.append(len(s))
-                nodes.append(fingerprint(s) if len(s) else None)
-                prefix = s[np.argsort(table[(s & mask).astype(np.int64)], kind="stable")][: prefix_length(len(s))] if len(s) else s
-                prefixes.append(prefix.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "n", "node", "prefix"])
+                nodes.append(node)
+                if node is None or node in seen:
+                    prefixes.append(None)
+                    continue
+                if len(seen) < NODES_HELD:
+                    seen.add(node)
+                prefixes.append(s[np.argsort(table[(s & mask).astype(np.int64)], kind="stable")][: prefix_length(len(s))].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "t", "n", "node", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, node long, prefix binary")
+    return docs.mapInArrow(run, f"id {kind}, t long, n long, node long, prefix binary")
 
 
 def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,53 +162,72 @@ def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(arrays)[part], n[part].astype(np.int32), node[part], at[part].astype(np.int32))], ["h", "n", "node", "at"])
 
 
+POSTING = "h long, n int, node long, at int"
+CANDIDATE = "u long, v long, h long, n int, at int"
+
+
+def candidate_rows(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), t) for t in (pa.int64(), pa.int32(), pa.int32()))], ["u", "v", "h", "n", "at"])
+
+
 def candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect each list's candidates.  Lists arrive sorted by (h, n, node) and are never held.
+    """Edges that connect the candidates of a task's lists, and the rows at the ends of its range (``u`` is their node).
 
-    A row is compared with up to 16 rows before it in its list, by length and
-    position; where the list is longer than that, with the row just before it by
-    length alone, which keeps every candidate connected.
+    Postings arrive sorted by (h, n, node) and are never held.  A row is compared
+    with up to ``REACH`` rows before it in its list, by length and position; where
+    the list is longer than that, with the row just before it by length alone,
+    which keeps every candidate connected.  The first and last ``REACH`` rows of a
+    range come out again: a list may go on in the tasks beside.
     """
-    reach = 16
+    first_rows: list[np.ndarray] | None = None
     tail = [np.zeros(0, dtype=np.int64)] * 4
-    for batch in batches:
-        cols = [np.concatenate([t, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, t in enumerate(tail)]
-        fresh = len(tail[0])
-        h, n, node, at = cols
-        first = np.zeros(len(h), dtype=np.int64)
-        if len(h):
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            first = np.repeat(starts, np.diff(np.append(starts, len(h))))
-        u, v = [], []
-        here = np.arange(len(h))
-        for back in range(1, reach + 1):
-            i = here[(here >= fresh) & (here - back >= first)]
-            j = i - back
-            upper = np.minimum(n[i] - at[i], n[j] - at[j])  # holds at a pair's first common shingle
-            ok = (node[i] != node[j]) & (n[j] >= least_part(n[i]))
-            near = ok & (upper >= least_overlap(n[i], n[j]))
-            if back == 1:
-                deep = (i - first[i] >= reach) | _continued(h, first, i, reach)
-                near = near | (ok & deep)
-            u.append(node[i[near]])
-            v.append(node[j[near]])
-        tail = [c[-reach:] for c in cols]
-        u, v = np.concatenate(u), np.concatenate(v)
-        if len(u):
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-
-def _continued(h: np.ndarray, first: np.ndarray, i: np.ndarray, reach: int) -> np.ndarray:
-    """Rows of lists that may be longer than ``reach`` rows: the list goes on that far, or to the end of what has arrived."""
-    starts = np.unique(first)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal tail, first_rows
+        for batch in batches:
+            fresh = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            if not len(fresh[0]):
+                continue
+            h, node = (np.concatenate([tail[i][-1:], fresh[i]]) for i in (0, 2))
+            new = (h[1:] != h[:-1]) | (node[1:] != node[:-1]) if len(tail[0]) else np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+            cols = [np.concatenate([t, c[new]]) for t, c in zip(tail, fresh, strict=True)]
+            yield from near_pairs(cols, len(tail[0]))
+            if first_rows is None or len(first_rows[0]) < REACH:
+                first_rows = [np.concatenate([a, c[new]])[:REACH] for a, c in zip(first_rows or tail, fresh, strict=True)]
+            tail = [c[-REACH:] for c in cols]
+
+    for u, v in contracted(pairs()):
+        yield candidate_rows(u, v)
+    if first_rows is not None:
+        for cols in (first_rows, tail):
+            h, n, node, at = cols
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["u", "v", "h", "n", "at"])
+
+
+def near_pairs(cols: list[np.ndarray], fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows from ``fresh`` on with rows before them."""
+    h, n, node, at = cols
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    first = np.repeat(starts, np.diff(np.append(starts, len(h))))
     ends = np.append(starts[1:], len(h))
     last = np.repeat(ends, ends - starts)
-    return (last[i] - first[i] > reach) | (last[i] == len(h))
+    here = np.arange(fresh, len(h))
+    for back in range(1, REACH + 1):
+        i = here[here - back >= first[here]]
+        if not len(i):
+            break
+        j = i - back
+        upper = np.minimum(n[i] - at[i], n[j] - at[j])  # holds at a pair's first common shingle
+        ok = (node[i] != node[j]) & (n[j] >= least_part(n[i]))
+        near = ok & (upper >= least_overlap(n[i], n[j]))
+        if back == 1:
+            # the list is long, or goes on past what has arrived
+            near = near | (ok & ((last[i] - first[i] > REACH) | (last[i] == len(h)) | (first[i] == 0)))
+        yield node[i[near]], node[j[near]]
 
 
 class Block:
-    """Sets of a block with their inverted lists, sorted by set length."""
+    """Sets of a block, sorted by length, with skip lists over their shingles, rarest first."""
 
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -197,53 +235,85 @@ class Block:
         self.sets = [sets[i] for i in order]
         self.n = np.array([len(s) for s in self.sets], dtype=np.int64)
         owner = np.repeat(np.arange(len(sets)), self.n)
-        values, self.ids = np.unique(np.concatenate(self.sets), return_inverse=True) if len(sets) else (np.zeros(0), np.zeros(0, dtype=np.int64))
-        by_list = np.argsort(self.ids, kind="stable")
-        self.members = owner[by_list]
-        self.starts = np.searchsorted(self.ids[by_list], np.arange(len(values) + 1))
-        at = np.concatenate([[0], np.cumsum(self.n)])
-        self.tokens = [np.sort(self.ids[at[i] : at[i + 1]]) for i in range(len(sets))]
+        values, ids = np.unique(np.concatenate(self.sets), return_inverse=True) if len(sets) else (np.zeros(0), np.zeros(0, dtype=np.int64))
+        rank = np.empty(len(values), dtype=np.int64)
+        rank[np.argsort(np.bincount(ids, minlength=len(values)), kind="stable")] = np.arange(len(values))
+        by_set = np.lexsort((rank[ids], owner))
+        #: all sets' shingles one after another, in the block's order
+        self.flat, self.from_ = rank[ids][by_set], np.concatenate([[0], np.cumsum(self.n)])
+        place = np.arange(len(owner)) - self.from_[owner]
+        lists = np.lexsort((place, self.n[owner], self.flat))
+        self.entry, self.rest = owner[lists], (self.n[owner] - place)[lists]
+        token = self.flat[lists]
+        self.starts = np.searchsorted(token, np.arange(len(values) + 1))
+        cut = np.flatnonzero((np.arange(len(token)) - self.starts[token]) % SKIP == 0)
+        self.cut = np.append(cut, len(token))
+        self.skip_starts = np.searchsorted(cut, self.starts)
+        self.most_rest = np.maximum.reduceat(self.rest, cut) if len(cut) else np.zeros(0, dtype=np.int64)
+        self.least_n = self.n[self.entry[cut]]
+        self.mark = np.zeros(len(values), dtype=bool)
+
+    def tokens(self, i: int) -> np.ndarray:
+        return self.flat[self.from_[i] : self.from_[i + 1]]
 
     def hits(self, tokens: np.ndarray) -> np.ndarray:
         """For every set, how many of ``tokens`` it has."""
-        lo, hi = self.starts[tokens], self.starts[tokens + 1]
-        more = hi - lo > 1  # lists of one row hold nobody else
-        lo, size = lo[more], (hi - lo)[more]
-        if not len(lo):
-            return np.zeros(len(self.n), dtype=np.int64)
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.members[at], minlength=len(self.n))
+        return np.bincount(self.entry[spread(self.starts[tokens], self.starts[tokens + 1])[0]], minlength=len(self.n))
+
+    def search(self, i: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets whose overlap with set i comes within ``slack`` of the bound, and these overlaps."""
+        n, tokens = int(self.n[i]), self.tokens(i)
+        least = max(1, -(-4 * (n - slack) // 5) - slack)
+        tokens = tokens[: n - least + 1]
+        blocks, of = spread(self.skip_starts[tokens], self.skip_starts[tokens + 1])
+        left = n - of  # shingles from the probe's position on
+        use = np.minimum(left, self.most_rest[blocks]) >= least_overlap(n, self.least_n[blocks]) - slack
+        at, of = spread(self.cut[blocks[use]], self.cut[blocks[use] + 1])
+        sets = self.entry[at]
+        sets = np.unique(sets[np.minimum(left[use][of], self.rest[at]) >= least_overlap(n, self.n[sets]) - slack])
+        self.mark[self.tokens(i)] = True
+        inside, _ = spread(self.from_[sets], self.from_[sets + 1])
+        overlap = np.add.reduceat(self.mark[self.flat[inside]].astype(np.int64), np.cumsum(self.n[sets]) - self.n[sets]) if len(sets) else np.zeros(0, dtype=np.int64)
+        self.mark[self.tokens(i)] = False
+        use = overlap >= least_overlap(n, self.n[sets]) - slack
+        return sets[use], overlap[use]
 
     def links(self, probes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(set, similar sets) of each probe.  Probes follow one another by similarity, so that most overlaps are derived."""
         waiting = np.zeros(len(self.n), dtype=bool)
         waiting[probes] = True
-        known, last = None, -1
-        while waiting.any():
-            if known is not None:
-                score = np.where(waiting, known / (self.n + self.n[last] - known), -1)
-                now = int(score.argmax())
-                near = score[now] > 0.5
-            else:
-                now, near = int(waiting.argmax()), False
-            tokens = self.tokens[now]
-            if near:
-                gone, new = np.setdiff1d(self.tokens[last], tokens, assume_unique=True), np.setdiff1d(tokens, self.tokens[last], assume_unique=True)
-                counts = known - self.hits(gone) + self.hits(new)
-            else:
-                now = int(waiting.argmax())
-                tokens = self.tokens[now]
-                counts = self.hits(tokens)
-            # lists of one row are never walked: the set's own count is put right here, so differences between such tokens cancel
-            counts[now] = len(tokens)
-            if near:
-                counts[last] = len(np.intersect1d(tokens, self.tokens[last], assume_unique=True))
-            waiting[now] = False
-            lo = np.searchsorted(self.n, least_part(self.n[now]), side="left")
-            hi = np.searchsorted(self.n, SIMILAR[1] * self.n[now] // SIMILAR[0], side="right")
-            found = lo + np.flatnonzero(similar(counts[lo:hi], self.n[now], self.n[lo:hi]))
-            yield now, found[found != now]
-            known, last = counts, now
+        slack, last = 0, -1
+        sets = overlap = np.zeros(0, dtype=np.int64)
+        for first in probes:
+            now = int(first)
+            while now >= 0:
+                if last >= 0:
+                    a, b = self.tokens(last), self.tokens(now)
+                    gone, new = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                    overlap = overlap - self.hits(gone)[sets] + self.hits(new)[sets]
+                elif waiting[now]:
+                    slack = int(self.n[now]) // 4
+                    sets, overlap = self.search(now, slack)
+                else:
+                    break
+                waiting[now] = False
+                found = sets[similar(overlap, self.n[now], self.n[sets])]
+                yield now, found[found != now]
+                # shingles in which the sets differ: all answers of a set that differs in no more than the slack are here
+                apart = np.where(waiting[sets], self.n[now] + self.n[sets] - 2 * overlap, slack + 1)
+                k = int(apart.argmin()) if len(sets) else -1
+                if k >= 0 and apart[k] <= slack:
+                    slack -= int(apart[k])
+                    last, now = now, int(sets[k])
+                else:
+                    last = now = -1
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo..hi, and which range each is of."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) + (lo - np.cumsum(size) + size)[of], of
 
 
 def block_edges(rows: pd.DataFrame) -> pd.DataFrame:
@@ -264,16 +334,24 @@ def block_edges(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def member_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``nodes`` with ``hashes``: the set of one document of each node.  Of the texts, only those of marked ids are shuffled."""
-    table = texts.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("id")), MARK_BITS))
+    """``nodes`` with ``hashes``: the set of one document (id and hash of the text) of each node.  Of the texts, only marked ones are shuffled, equal ones once a task."""
+    keys = nodes.select(F.xxhash64("id", "t"))
+    bits = bits_for(row_count(nodes))
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(keys, bits))
     kind = texts.schema["id"].dataType.simpleString()
     own = [f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            batch = batch.filter(pa.array(marked(table.value, leading(batch.column(2), MARK_BITS))))
-            if batch.num_rows:
-                yield batch.select([0, 1])
+            h = batch.column(3).to_numpy()
+            use = marked(table.value, leading(batch.column(3), bits))
+            for i in np.flatnonzero(use):
+                use[i] = h[i] not in seen
+                if len(seen) < NODES_HELD:
+                    seen.add(int(h[i]))
+            if use.any():
+                yield batch.filter(pa.array(use)).select([0, 1, 2])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +361,9 @@ def member_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 right = pa.array([len(s) > 0 and fingerprint(s) == node for s, node in zip(found, part.column("node").to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], [*part.schema.names[1:], "hashes"]).filter(right)
 
-    some = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(near, f"id {kind}, text string")
-    return some.join(nodes.hint("shuffle_hash"), "id").select("text", *nodes.columns).mapInArrow(hashed, ", ".join([*own, "hashes binary"]))
+    some = texts.select("id", "t", "text", F.xxhash64("id", "t").alias("h")).mapInArrow(near, f"id {kind}, t long, text string")
+    met = some.alias("s").join(nodes.hint("shuffle_hash").alias("m"), (F.col("s.t") == F.col("m.t")) & F.col("s.id").eqNullSafe(F.col("m.id")))
+    return met.select("s.text", *[f"m.{c}" for c in nodes.columns]).mapInArrow(hashed, ", ".join([*own, "hashes binary"]))
 
 
 def block_counts(rows: DataFrame, name: str) -> DataFrame:
@@ -292,7 +371,7 @@ def block_counts(rows: DataFrame, name: str) -> DataFrame:
 
 
 def family_links(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """Links that connect the groups of every family.  ``nodes``: node, family, id (of one of its documents), n."""
+    """Links that connect the groups of every family.  ``nodes``: node, family, id and t (of one of its documents), n."""
     nodes = written(nodes.join(block_counts(nodes, "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     every = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     edges = written(member_sets(texts, nodes, size).select("family", "node", "hashes", F.lit(True).alias("probe"), F.explode(every).alias("part")).groupBy("family", "part").applyInPandas(block_edges, "u long, v long"))
@@ -307,7 +386,7 @@ def family_links(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     large = written(large.join(block_counts(large.filter("rest"), "rests").drop("size"), "family"))
     if large.isEmpty():
         return edges
-    sets = member_sets(texts, large.select("id", "node", "family", "n", "block", "blocks", "rest", "rests"), size)
+    sets = member_sets(texts, large.select("id", "t", "node", "family", "n", "block", "blocks", "rest", "rests"), size)
     as_probe = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(True).alias("probe"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).alias("r"), k.alias("part"))))
     as_other = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: F.struct(F.lit(False).alias("probe"), k.alias("r"), F.col("block").alias("part")))
     dealt = sets.select("family", "node", "hashes", F.explode(F.concat(as_other, F.coalesce(as_probe, F.slice(as_other, 1, 0)))).alias("x")).select("family", "node", "hashes", "x.*")
@@ -320,16 +399,20 @@ def family_links(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(count_table(texts.select("text"), size, sketch_bits)))
     sets = written(with_sets(texts, classes, size))
-    lists = sets.filter("n > 0").select("n", "node", "prefix").mapInArrow(postings, "h long, n int, node long, at int")
-    edges = lists.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, "u long, v long").distinct()
+    lists = sets.filter("prefix is not null").select("n", "node", "prefix").mapInArrow(postings, POSTING)
+    found = written(lists.repartitionByRange("h", "n", "node").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, CANDIDATE))
+    ends = found.filter("h is not null").select("h", "n", F.col("u").alias("node"), "at").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, CANDIDATE)
+    edges = found.unionByName(ends).filter("v is not null").select("u", "v")
     families = components(edges)
-    first = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    nodes = families.join(first, "node").select("node", F.col("root").alias("family"), "id", "n")
+    first = written(sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("one"), F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("rows")))
+    nodes = families.join(first, "node").select("node", F.col("root").alias("family"), "one.id", "one.t", "n")
     groups = components(family_links(texts, nodes, size))
-    least = first.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = least.join(named, "root").select("node", "component_id")
-    return sets.join(of_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    in_groups = first.join(groups, "node").select("node", "root", "least")
+    least = in_groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = in_groups.join(least, "root").select("node", "component_id")
+    # rows that neither have copies nor links are their own component and meet nothing
+    named = first.join(linked, "node", "left").filter("rows > 1 or component_id is not null").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return sets.join(written(named), "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
