@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonospan.llm.common import bit_table, bits_for, leading, marked, row_count, written
-from sonospan.llm.components import components, contracted
+from sonospan.llm.components import components
 from sonospan.llm.shingles import SIZE, fingerprint, shingle_set
 
 #: 80 of 100.
@@ -54,6 +54,8 @@ REACH = 16
 SKIP = 16
 #: Nodes whose prefix a task remembers to have written.
 NODES_HELD = 1_000_000
+#: Pairs that a task makes distinct at a time.
+PAIRS_HELD = 1 << 18
 
 
 def least_part(n):
@@ -196,16 +198,28 @@ def candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 first_rows = [np.concatenate([a, c[new]])[:REACH] for a, c in zip(first_rows or tail, fresh, strict=True)]
             tail = [c[-REACH:] for c in cols]
 
-    for u, v in contracted(pairs()):
-        yield candidate_rows(u, v)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in pairs():
+        held.append(pair)
+        if sum(len(u) for u, _ in held) >= PAIRS_HELD:
+            yield candidate_rows(*unequal(held))
+            held.clear()
+    if held:
+        yield candidate_rows(*unequal(held))
     if first_rows is not None:
         for cols in (first_rows, tail):
             h, n, node, at = cols
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["u", "v", "h", "n", "at"])
 
 
+def unequal(held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Pairs with the smaller node first, each once."""
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+
+
 def near_pairs(cols: list[np.ndarray], fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows from ``fresh`` on with rows before them."""
+    """Pairs of rows from ``fresh`` on with rows before them; rows that a chain of neighbours connects are no pair."""
     h, n, node, at = cols
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     first = np.repeat(starts, np.diff(np.append(starts, len(h))))
@@ -223,6 +237,11 @@ def near_pairs(cols: list[np.ndarray], fresh: int) -> Iterator[tuple[np.ndarray,
         if back == 1:
             # the list is long, or goes on past what has arrived
             near = near | (ok & ((last[i] - first[i] > REACH) | (last[i] == len(h)) | (first[i] == 0)))
+            chain = np.ones(len(h), dtype=np.int64)
+            chain[i[near]] = 0
+            chain = np.cumsum(chain)
+        else:
+            near &= chain[i] != chain[j]
         yield node[i[near]], node[j[near]]
 
 
@@ -405,7 +424,7 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     lists = sets.filter("prefix is not null").select("n", "node", "prefix").mapInArrow(postings, POSTING)
     found = written(lists.repartitionByRange("h", "n", "node").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, CANDIDATE))
     ends = found.filter("h is not null").select("h", "n", F.col("u").alias("node"), "at").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, CANDIDATE)
-    edges = found.unionByName(ends).filter("v is not null").select("u", "v")
+    edges = found.unionByName(ends).filter("v is not null").select("u", "v").distinct()
     families = components(edges)
     first = written(sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("one"), F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("rows")))
     nodes = families.join(first, "node").select("node", F.col("root").alias("family"), "one.id", "one.t", "n")

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sonospan.llm import best_fit_packing, budget_mix, deep_shallow, html_text, jaccard_join, license_scan, line_dedup, pretokens, quality_rules, rule_stats, shingles, suffix_dedup, token_counts, vector_topk, wordhash
+from sonospan.llm import best_fit_packing, budget_mix, components, deep_shallow, html_text, jaccard_join, license_scan, line_dedup, pretokens, quality_rules, rule_stats, shingles, suffix_dedup, token_counts, vector_topk, wordhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n string, id int, t string, h double"
 WORDS = "alpha beta gamma delta épsilon zeta eta theta iota kappa lambda mu nu xi omikron pi".split()
@@ -529,3 +530,65 @@ def test_shingles():
     assert len(shingles.shingle_set("a b c")) == 1 and len(shingles.shingle_set("a b c d e f")) == 2
     assert shingles.shingle_set("A b C d E").tolist() == shingles.shingle_set("a b c d e").tolist()
     assert shingles.shingle_set("É b c d e").tolist() != shingles.shingle_set("é b c d e").tolist()
+
+
+def test_documents_with_null_and_repeated_ids_are_linked(spark):
+    r = random.Random(3)
+    base = words(r, 60).split()
+    text = " ".join(base)
+    rows = [(None, " ".join([*base, "one"])), (5, text), (None, " ".join([*base, "one"])), (7, words(r, 50)), (7, text), (None, words(r, 40)), (9, "a" * 700), (10, "b" * 700)]
+    got = Counter(map(tuple, jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=12).collect()))
+    assert got == Counter([(None, 57, 5), (5, 56, 5), (None, 57, 5), (7, 46, 7), (7, 56, 5), (None, 36, None), (9, 1, 9), (10, 1, 10)])
+
+
+def test_regular_words_have_hashes_of_their_own():
+    def thue(a, b, k):
+        return (a, b) if not k else (x := thue(a, b, k - 1), (x[0] + x[1], x[1] + x[0]))[1]
+
+    a, b = thue(b"a", b"b", 11)
+    assert wordhash.word_hashes(a)[0] != wordhash.word_hashes(b)[0]
+    a, b = thue(b"a", b"b", 7)
+    assert wordhash.word_hashes(a)[0] != wordhash.word_hashes(b)[0]
+
+
+@pytest.mark.parametrize("heavy", [components.HEAVY, 10])
+def test_components(spark, heavy, monkeypatch):
+    monkeypatch.setattr(components, "FOREST_EDGES", 8)
+    r = random.Random(heavy)
+    edges = [(1, k) for k in range(2, 60)] + [(k, k + 1) for k in range(100, 180)] + [(300, 299)] * 3 + [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(150)] + [(1000, 1000), (None, 3), (5000, 100), (5000, 2)]
+    edges += [(7000, k) for k in range(7001, 7200)] + [(7000, 42)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5), heavy=heavy).collect()}
+    label = {}
+    for u, v in edges:
+        if u is not None and u != v:
+            label.setdefault(u, u), label.setdefault(v, v)
+    while True:
+        before = dict(label)
+        for u, v in edges:
+            if u in label and v in label:
+                label[u] = label[v] = min(label[u], label[v])
+        if label == before:
+            break
+    assert got == label
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_candidate_lists_over_several_tasks_stay_connected():
+    r = random.Random(5)
+    rows = sorted((h, r.randint(50, 60), node, r.randint(0, 5)) for h in (1, 2, 3) for node in r.sample(range(1000), 200))
+    table = [np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)]
+
+    def run(cols, step):
+        return [b for b in jaccard_join.candidate_edges(pa.RecordBatch.from_arrays([pa.array(c[lo : lo + step]) for c in cols], ["h", "n", "node", "at"]) for lo in range(0, len(cols[0]), step))]
+
+    def links(batches):
+        return {(u, v) for b in batches for u, v, h in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)), strict=True) if h is None}
+
+    cuts = [0, 7, 60, 61, 250, 420, 600]
+    parts = [run([c[a:b] for c in table], 50) for a, b in zip(cuts, cuts[1:], strict=False)]
+    ends = sorted((h, n, u, at) for part in parts for b in part for u, h, n, at in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True) if h is not None)
+    edges = set().union(*map(links, parts), links(run([np.array(x, dtype=np.int64) for x in zip(*ends, strict=True)], 70)))
+    child, root = components.forest(*(np.array(x) for x in zip(*edges, strict=True)))
+    label = dict(zip(child.tolist(), root.tolist(), strict=True))
+    for h in (1, 2, 3):  # lengths are close, so each list is one group of candidates
+        assert len({label.get(x[2], x[2]) for x in rows if x[0] == h}) == 1
