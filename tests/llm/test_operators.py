@@ -148,38 +148,76 @@ def test_page_texts(spark):
     assert html_text.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-def test_templates_are_deduced_where_places_say_nothing():
+def extracted(spark, sources, parts=3):
+    """Texts of pages of one host."""
+    rows = spark.createDataFrame([(i, f"http://a.example/{i}", x) for i, x in enumerate(sources)], "page_id long, url string, html string").repartition(parts)
+    return [r.text for r in html_text.page_texts(rows).orderBy("page_id").collect()]
+
+
+def test_templates_are_deduced_where_places_say_nothing(spark):
     make = lambda k: f"<body><div class=x1>Welcome to our site</div><div class=x2><p>story {k} {'abc' * k}</p><p>more {k}</p></div><div class=x3>All rights reserved</div></body>"
-    got = html_text.extracted([make(k) for k in range(8)])
-    assert got == [f"story {k} {'abc' * k} more {k}".replace("  ", " ").strip() for k in range(8)]
-    same = html_text.extracted(["<article><p>a copied page</p></article>"] * 9)
-    assert same == ["a copied page"] * 9
+    got = extracted(spark, [make(k) for k in range(8)] + ["<article><p>a copied page</p></article>"] * 9)
+    assert got == [f"story {k} {'abc' * k} more {k}".replace("  ", " ").strip() for k in range(8)] + ["a copied page"] * 9
 
 
-def test_near_copies_on_a_host_keep_their_article():
+def test_near_copies_on_a_host_keep_their_article(spark):
     page = lambda blocks: "<body><nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
     copies = [[f"copy {k}", "shared one", "shared two", "shared three", "shared four"] for k in range(40)]
     others = [[f"page {k} block {j}" for j in range(10)] for k in range(24)]
-    assert html_text.extracted([page(b) for b in copies + others]) == [" ".join(b) for b in copies + others]
+    assert extracted(spark, [page(b) for b in copies + others]) == [" ".join(b) for b in copies + others]
     boiler = [[*b, "Share this story", "All our stories"] for b in copies + others]
-    assert html_text.extracted([page(b) for b in boiler]) == [" ".join(b) for b in copies + others]
+    assert extracted(spark, [page(b) for b in boiler]) == [" ".join(b) for b in copies + others]
 
 
-def test_no_page_of_a_host_is_left_without_its_template(spark):
+def test_pages_of_large_and_hot_hosts_have_one_template(spark, monkeypatch):
     make = lambda k: f"<body><div class=x1>Welcome to our site</div><div class=x2><p>story {k}</p><p>more {k}</p></div><div class=x3>All rights reserved</div></body>"
-    rows = [(k, "http://a.example/", make(k)) for k in range(2 * html_text.CHUNK_PAGES + 1)]
-    rows += [rows[0]] * 200 + [(1000 + k, "http://b.example/", make(k)) for k in range(html_text.CHUNK_PAGES + 2)]
+    rows = [(k, "http://a.example/", make(k)) for k in range(200)]
+    rows += [rows[0]] * 200 + [(1000 + k, "http://b.example/", make(k)) for k in range(5)] + [(2000 + k, None, make(k)) for k in range(3)]
     want = Counter((i, f"story {i % 1000} more {i % 1000}") for i, _, _ in rows)
-    for parts in (1, 5):
+    for parts, size in ((1, 1 << 25), (7, 0)):  # 0: hosts are joined, not broadcast
+        monkeypatch.setattr(html_text, "BROADCAST_BYTES", size)
         got = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
         assert Counter((r.page_id, r.text) for r in got.collect()) == want
 
 
-def test_malformed_pages_never_fail():
+def test_classes_are_ordered_and_nested():
+    def tested(sequence, classes):
+        tokens = np.array(sequence, dtype=np.uint64)
+        members = sorted((t, c) for c, ts in enumerate(classes) for t in ts)
+        packed = html_text.Classes(np.array([t for t, _ in members], dtype="<u8").tobytes(), np.array([c for _, c in members], dtype="<i4").tobytes())
+        return {c: good for c, _, _, _, good in packed.tested(tokens, np.ones(len(tokens), dtype=np.uint8))}
+
+    assert tested([1, 9, 3, 4, 2], [[1, 2], [3, 4]]) == {0: True, 1: True}  # inside one gap
+    assert tested([1, 3, 2, 4], [[1, 2], [3, 4]]) == {0: True, 1: False}  # across a token of the outer class
+    assert tested([1, 2, 2, 1], [[1, 2]]) == {0: False} and tested([1, 2, 8, 1, 2], [[1, 2]]) == {0: True} and tested([1, 2, 1], [[1, 2]]) == {0: False}
+
+
+def main(source):
+    none = np.zeros(0, dtype=np.uint64)
+    return html_text.main_text(html_text.parsed(source), none, none)
+
+
+def test_regions_of_inline_and_loose_elements():
+    assert main("<article>a<span hidden>no</span> b <a class='share-button'>Share <b>it</b></a> c<p class=ad>x<p>d</article>") == "a b c d"
+    assert main("<article><ul><li class='advert'>q<p>r</p></li><li>keep</li></ul><p><span style='display:none'>s<p>t</article>").endswith("keep t")
+    assert main("<article><div class='related-work'>earlier work</div><div class='related-articles'>links</div><div class=share>x</div></article>") == "earlier work"
+    assert main("<form><div>The whole page is in a form</div><nav>menu</nav></form>") == "The whole page is in a form"
+    assert main("<div><p>A page with a search box and some text of its own.</p><form>Search</form></div>") == "A page with a search box and some text of its own."
+
+
+def test_open_quotes_and_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert main("<p>a <a href='x>b</a> \" c</p>" * 20_000).startswith("a b")
+    assert len(main("<div><p>" + "long " * 500_000 + "</p></div>")) == 2_499_999
+    assert time.perf_counter() - began < 20
+
+
+def test_malformed_pages_never_fail(spark):
     r = random.Random(5)
-    parts = ["<", ">", "<p", "<!--", "-->", "<nav>", "</nav>", "<article>", "</div>", "text", '"', "'", "<a href='", "<script>", "</script", "&amp", "<![CDATA[", "]]>", "\x00", "<div class=ad>"]
-    for _ in range(300):
-        html_text.extracted(["".join(r.choices(parts, k=30))])
+    parts = ["<", ">", "<p", "<!--", "-->", "<nav>", "</nav>", "<article>", "</div>", "text", '"', "'", "<a href='", "<script>", "</script", "&amp", "<![CDATA[", "]]>", "\x00", "<div class=ad>", "<span hidden>", "<li class=ad>"]
+    assert len(extracted(spark, ["".join(r.choices(parts, k=30)) for _ in range(300)])) == 300
 
 
 # 2: lines
