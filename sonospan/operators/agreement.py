@@ -159,6 +159,16 @@ def compare_intervals(a: DataFrame, b: DataFrame, tolerance: float = 0.02, step:
     return out.withColumns({"n_only_a": F.col("n_a") - F.col("n_matched"), "n_only_b": F.col("n_b") - F.col("n_matched")})
 
 
+def compare_points(a: DataFrame, b: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """The agreement report of two point tiers (bundle_id, id, t, label) by bundle."""
+    matched = match_points(a, b)
+    counts = a.groupBy("bundle_id").agg(F.count("*").alias("n_a")).join(b.groupBy("bundle_id").agg(F.count("*").alias("n_b")), "bundle_id", "full_outer")
+    units = cohen_kappa(matched, ["bundle_id"], "a_label", "b_label").withColumnsRenamed({"n": "n_matched", "percent_agreement": "percent_label_agreement", "kappa": "cohen_kappa"})
+    moved = deviations(matched.withColumn("d", F.col("a_t") - F.col("b_t")), ["bundle_id"], "d", tolerance)
+    out = counts.join(units, "bundle_id", "left").join(moved, "bundle_id", "left").na.fill(0)
+    return out.withColumns({"n_only_a": F.col("n_a") - F.col("n_matched"), "n_only_b": F.col("n_b") - F.col("n_matched")})
+
+
 def annotator_pairs(tiers: DataFrame, base: str) -> DataFrame:
     """Pairs (a < b) of tiers named "<base> [annotator]" in each bundle."""
     own = tiers.withColumn("annotator", F.regexp_extract("name", r"^(.*) \[([^\]]*)\]$", 2)).filter(F.regexp_extract("name", r"^(.*) \[([^\]]*)\]$", 1) == base)
