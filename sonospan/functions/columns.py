@@ -138,3 +138,12 @@ def decode_label(text: Column) -> Column:
 
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_")
+
+
+def quoted(text: Column) -> Column:
+    """A text in quotes, those inside doubled."""
+    return F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))
+
+
+def window_column(window: list[float]) -> Column:
+    return F.array(*map(F.lit, window))

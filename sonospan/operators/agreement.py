@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonospan.operators.intervals import frame_grid, label_at
+from sonospan.operators.intervals import frame_grid, label_at, range_join
 
 NO_LABEL = "␀none"
 
@@ -41,8 +41,8 @@ def deviations(matched: DataFrame, keys: list[str], deviation: str, tolerance: f
 def frame_agreement(a: DataFrame, b: DataFrame, step: float = 0.01) -> DataFrame:
     """Frame percent agreement and kappa by bundle, on centres (k + 0.5) * step up to the last end of either side."""
     ends = a.select("bundle_id", "end").unionByName(b.select("bundle_id", "end")).groupBy("bundle_id").agg(F.max("end").alias("extent"))
-    grid = frame_grid(ends, step)
-    both = label_at(grid, a, "a").join(label_at(grid, b, "b").select("bundle_id", "k", "b"), ["bundle_id", "k"])
+    grid, bucket = frame_grid(ends, step), 100 * step
+    both = label_at(grid, a, "a", bucket_seconds=bucket).join(label_at(grid, b, "b", bucket_seconds=bucket).select("bundle_id", "k", "b"), ["bundle_id", "k"])
     return cohen_kappa(both, ["bundle_id"])
 
 
@@ -57,16 +57,17 @@ def greedy(candidates: list[tuple], sides: tuple[int, int]) -> list[tuple]:
     return out
 
 
-def match_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
+def match_intervals(a: DataFrame, b: DataFrame, bucket_seconds: float | None = None) -> DataFrame:
     """Greedy one-to-one matching by (overlap descending, a, b) in each bundle: bundle_id, a_id, b_id, labels, times.
 
     Order of a and b is (start, id).  Candidates come from a range join; only
     those of one bundle meet in a task.
     """
     x = a.select("bundle_id", F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("label").alias("a_label"))
-    y = b.select(F.col("bundle_id").alias("_b"), F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("label").alias("b_label"))
+    y = b.select("bundle_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("label").alias("b_label"))
     overlap = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    found = x.join(y, (F.col("bundle_id") == F.col("_b")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))).drop("_b").withColumn("overlap", overlap).filter("overlap > 0")
+    met = range_join(x, y, (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")), bucket_seconds=bucket_seconds)
+    found = met.withColumn("overlap", overlap).filter("overlap > 0")
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["overlap", "a_start", "a_id", "b_start", "b_id"], ascending=[False, True, True, True, True]).reset_index(drop=True)
@@ -150,7 +151,7 @@ def match_points(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_intervals(a: DataFrame, b: DataFrame, tolerance: float = 0.02, step: float = 0.01) -> DataFrame:
     """The agreement report of two interval tiers by bundle."""
-    matched = match_intervals(a, b)
+    matched = match_intervals(a, b, 100 * step)
     both = matched.withColumn("d", F.explode(F.array(F.col("a_start") - F.col("b_start"), F.col("a_end") - F.col("b_end"))))
     counts = a.groupBy("bundle_id").agg(F.count("*").alias("n_a")).join(b.groupBy("bundle_id").agg(F.count("*").alias("n_b")), "bundle_id", "full_outer")
     units = cohen_kappa(matched, ["bundle_id"], "a_label", "b_label").withColumnsRenamed({"n": "n_matched", "percent_agreement": "percent_label_agreement", "kappa": "cohen_kappa"})

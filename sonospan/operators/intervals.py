@@ -89,11 +89,15 @@ def islands(frames: DataFrame, qualifies: Column, key: str = "bundle_id", time:
     return marked.groupBy(key, "_run").agg(F.min(time).alias("start"), F.max(end or time).alias("end"), F.count("*").alias("n_frames")).drop("_run")
 
 
-def clip(tokens: DataFrame, context: DataFrame, key: str = "bundle_id") -> DataFrame:
+def clip(tokens: DataFrame, context: DataFrame, key: str = "bundle_id", bucket_seconds: float | None = None) -> DataFrame:
     """Context intervals cut to token windows; pieces of 1e-9 or less are dropped.  ``tokens``: key, token, start, end."""
     t = tokens.select(F.col(key).alias("_k"), "token", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
     lo, hi = F.greatest("start", "t_start"), F.least("end", "t_end")
-    return context.join(t, (F.col(key) == F.col("_k")) & (F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end"))).filter(hi - lo > EPS).select(key, "token", F.col("id"), lo.alias("clip_start"), hi.alias("clip_end"), "label")
+    on = (F.col(key) == F.col("_k")) & (F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end"))
+    if bucket_seconds is not None:  # a pair counts in the first bucket that both touch
+        context, t = bucketed(context, "start", "end", bucket_seconds), bucketed(t, "t_start", "t_end", bucket_seconds).withColumnRenamed("_bucket", "_c")
+        on = on & (F.col("_bucket") == F.col("_c")) & (F.col("_bucket") == F.floor(F.greatest("start", "t_start") / bucket_seconds))
+    return context.join(t, on).filter(hi - lo > EPS).select(key, "token", F.col("id"), lo.alias("clip_start"), hi.alias("clip_end"), "label")
 
 
 def frame_grid(extents: DataFrame, step: float, key: str = "bundle_id") -> DataFrame:
@@ -102,10 +106,14 @@ def frame_grid(extents: DataFrame, step: float, key: str = "bundle_id") -> DataF
     return extents.filter("extent > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k")).withColumn("t", (F.col("k") + 0.5) * step)
 
 
-def label_at(grid: DataFrame, tier: DataFrame, name: str, key: str = "bundle_id") -> DataFrame:
+def label_at(grid: DataFrame, tier: DataFrame, name: str, key: str = "bundle_id", bucket_seconds: float | None = None) -> DataFrame:
     """Label of the first interval (by start, id) with start <= t < end for each grid point; the gap category elsewhere, and for null labels."""
     s = tier.select(F.col(key).alias("_k"), "id", "start", "end", "label")
-    hit = grid.join(s, (F.col(key) == F.col("_k")) & (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")), "left")
+    on = (F.col(key) == F.col("_k")) & (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end"))
+    if bucket_seconds is not None:  # a point lies in one bucket
+        s, grid = bucketed(s, "start", "end", bucket_seconds), grid.withColumn("_c", F.floor(F.col("t") / bucket_seconds))
+        on = on & (F.col("_bucket") == F.col("_c"))
+    hit = grid.join(s, on, "left")
     return hit.groupBy(key, "k", "t").agg(F.coalesce(F.min(F.when(F.col("_k").isNotNull(), F.struct("start", "id", "label")))["label"], F.lit("∅")).alias(name))
 
 

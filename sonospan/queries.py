@@ -38,7 +38,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(n), DIGITS) + 0.0).alias(n) if t in ("double", "float") else F.col(n) for n, t in df.dtypes])
 
 
-def run(body: dict, spark: SparkSession, sf_dir: str, bucket: float | None = None) -> DataFrame:
+def run(body: dict, spark: SparkSession, sf_dir: str, bucket: float | None = 86_400.0) -> DataFrame:
     return rules.evaluate(rules.Rule.from_json(body), view.tiers(spark, sf_dir), view.signal(spark, sf_dir), bucket)
 
 
@@ -93,7 +93,7 @@ REDUCED = "round(avg(v), 6) AS mean, max(v) AS max, min(v) AS min, round(median(
 def signal_reducers_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = view.tiers(spark, sf_dir).filter("tier = 'words'").select("bundle_id", "id", "start", "end")
     wanted = reducers("interval")
-    made = rules.reduced(words, view.signal(spark, sf_dir), wanted)
+    made = rules.reduced(words, view.signal(spark, sf_dir), wanted, 86_400.0)
     return rounded(made.select("bundle_id", "id", *[F.col(f"_r{i}").alias(r.func) for i, r in enumerate(wanted)]))
 
 
@@ -146,7 +146,7 @@ def frame_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def interval_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(agreement.match_intervals(*sides(spark, sf_dir)))
+    return rounded(agreement.match_intervals(*sides(spark, sf_dir), 86_400.0))
 
 
 @register()
@@ -264,7 +264,7 @@ SELECT k.bundle_id, k.id AS token, i.id, round(greatest(i.s, k.s), 6) AS clip_st
 def concordance_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = view.tiers(spark, sf_dir)
     tokens = t.filter("tier = 'words' and label = 'purchase'").withColumnRenamed("id", "token")
-    return rounded(intervals.clip(tokens, t.filter("tier = 'phones'").drop("tier")))
+    return rounded(intervals.clip(tokens, t.filter("tier = 'phones'").drop("tier"), bucket_seconds=86_400.0))
 
 
 @register("""+ m AS (SELECT bundle_id, 0 AS source, id, s, e, label FROM wd UNION ALL SELECT bundle_id, 1, id, s, e, label FROM iv)
@@ -376,3 +376,5 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 from sonospan import audio_queries  # noqa: E402
 
 QUERIES |= audio_queries.QUERIES
+
+from sonospan import corpus_queries  # noqa: E402, F401

@@ -79,6 +79,21 @@ def _parsed(spark: SparkSession, path: str, pattern: str, parse, schema: str) ->
     return files(spark, path, pattern).select("path", "content").mapInArrow(run, schema)
 
 
+def parsed_texts(rows: DataFrame, parse, schema: str) -> DataFrame:
+    """Annotations of documents given as rows (bundle_id, text): bundle_id and the parser's columns."""
+    fields = [c.split() for c in schema.split(", ") if not c.startswith("path ")]
+    types = pa.schema([("bundle_id", pa.int64()), *((n, {"int": pa.int32(), "double": pa.float64()}.get(t, pa.string())) for n, t in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [{"bundle_id": bundle, **r} for r in parse(text.as_py())]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, types)
+
+    return rows.select("bundle_id", "text").mapInArrow(run, ", ".join(["bundle_id long", *(" ".join(f) for f in fields)]))
+
+
 def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     rows = _parsed(spark, path, "*.TextGrid", formats.parse_textgrid, TEXTGRID)
     return rows.withColumn("_l", _decoded(F.col("label"))).withColumns({"label": F.col("_l.label"), "extra": F.col("_l.extra")}).drop("_l")

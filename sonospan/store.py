@@ -270,7 +270,8 @@ class Corpus:
 
     def update(self, name: str, where: Column, values: dict[str, Column]) -> int:
         """Rewrite the rows that match; returns how many."""
-        changed = self.staged(self.table(name).filter(where).withColumns(values))
+        types = {c.split()[0]: c.split()[1] for c in TABLES[name].split(", ")}
+        changed = self.staged(self.table(name).filter(where).withColumns({c: v.cast(types[c]) for c, v in values.items()}))
         n = changed.count()
         if n:
             self._checked(name, changed)
