@@ -1,21 +1,26 @@
 """Exact top-k inner-product search with vector-approximation files.
 
 Vectors are packed into blocks of rows: ids, exact integers, and an
-approximation of ``CELL_BITS`` bits a component (the index of a cell between the
-block's least and greatest value of that component).  A query scans the cells of
-a block for upper bounds, then reads exact vectors in order of their bounds, in
-growing steps, until the kth exact score is above every bound that is left.
+approximation of four bits a component (the number of its cell between the
+block's least and greatest value of that component), two cells a byte.  A query
+scans the bytes of a block through tables of 256 sums, which gives an upper bound
+of every score, then reads exact vectors in order of their bounds, in growing
+steps, until its kth exact score is above every bound that is left.  The kth
+score is carried from block to block of a task, so later blocks are read little
+or not at all.
 
 Query blocks are dealt to shards of candidate blocks, so a task holds one block
 of either kind at a time, and only k rows a query and task are shuffled.  Every
 query meets every block: exact, and no vector is compared with another outside
 the stated query set.
 
-Components become floor(scale * x).  Vectors that are null, empty, or hold null
-or non-finite components take no part.  Shorter vectors count as padded with
-zeros.  Candidates are the rows with another id than the query's; a query row
-that is repeated is searched once.  Ties go to the smaller id.  Scores are
-64-bit: |floor(scale * x)| up to 2 ** 25 at 64 components is safe.
+Components become floor(scale * x).  Vectors that are null or hold null or
+non-finite components take no part, nor do rows without an id; an empty vector
+scores 0 with all.  Shorter vectors count as padded with zeros.  A query's
+candidates are all rows but its own: rows that repeat an id or a vector meet, and
+a repeated query row is searched each time.  Ties go to the smaller id.  Scores
+are 64-bit: |floor(scale * x)| up to 2 ** 25 at 64 components is safe.  Other
+columns are not read; no rows give no result.
 """
 
 from __future__ import annotations
@@ -27,119 +32,177 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonospan.llm.common import written
+from sonospan.llm.common import row_count, written
 
-CELL_BITS = 4
+CELLS = 16
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 STEP = 64
 
 
-def integers(values: list | None, scale: int) -> np.ndarray | None:
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
+def integers(values: np.ndarray, scale: int) -> np.ndarray | None:
     x = np.asarray(values, dtype=np.float64)
     return np.floor(scale * x).astype(np.int64) if np.isfinite(x).all() else None
 
 
+def approximated(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least values and cell widths of the components, and the packed cells, a row for each vector."""
+    if not exact.size:
+        return np.zeros(exact.shape[1], dtype="<i8"), np.ones(exact.shape[1], dtype="<i8"), np.zeros((len(exact), -(-exact.shape[1] // 2)), dtype=np.uint8)
+    low, high = exact.min(axis=0), exact.max(axis=0)
+    width = np.maximum(-(-(high - low + 1) // CELLS), 1)
+    cells = ((exact - low) // width).astype(np.uint8)
+    cells = np.pad(cells, ((0, 0), (0, cells.shape[1] % 2)))
+    return low, width, cells[:, 0::2] << 4 | cells[:, 1::2]
+
+
+FILE = "n int, dim int, ids binary, asked binary, width string, exact binary, low binary, step binary, cells binary"
+TYPES = {"int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+
+
+def record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def narrow(exact: np.ndarray) -> tuple[str, bytes]:
+    width = "<i2" if np.abs(exact).max(initial=0) < 1 << 15 else "<i8"
+    return width, exact.astype(width).tobytes()
+
+
 def blocks(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
-    """(n, dim, ids, exact): rows packed in the order of the scan."""
+    """Vector-approximation files of ``rows`` vectors at most.  ``vectors``: id, v, asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        kept: list[np.ndarray] = []
+        held: list[tuple[int, bool, np.ndarray]] = []
 
         def packed() -> pa.RecordBatch:
-            dim = max(map(len, kept))
-            exact = np.zeros((len(kept), dim), dtype="<i8")
-            for i, v in enumerate(kept):
+            held.sort(key=lambda r: r[0])  # equal scores then stand in id order
+            exact = np.zeros((len(held), max(len(v) for _, _, v in held)), dtype=np.int64)
+            for i, (_, _, v) in enumerate(held):
                 exact[i, : len(v)] = v
-            width = "<i2" if np.abs(exact).max(initial=0) < 1 << 15 else "<i8"
-            out = [[len(ids)], [dim], [np.array(ids, dtype="<i8").tobytes()], [width], [exact.astype(width).tobytes()]]
-            ids.clear()
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary()), strict=True)], ["n", "dim", "ids", "width", "exact"])
+            low, step, cells = approximated(exact)
+            ids, asked = np.array([r[0] for r in held], dtype="<i8"), np.array([r[1] for r in held], dtype="u1")
+            held.clear()
+            return record(FILE, [(len(ids), exact.shape[1], ids.tobytes(), asked.tobytes(), *narrow(exact), low.astype("<i8").tobytes(), step.astype("<i8").tobytes(), cells.tobytes())])
 
         for batch in batches:
-            for id_, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = integers(values.values.to_numpy(zero_copy_only=False) if values.is_valid and not values.values.null_count else None, scale)
-                if v is not None and id_ is not None:
-                    ids.append(id_)
-                    kept.append(v)
-                    if len(ids) == rows:
+            for id_, values, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if id_ is None or not values.is_valid or values.values.null_count:
+                    continue
+                v = integers(values.values.to_numpy(zero_copy_only=False), scale)
+                if v is not None:
+                    held.append((id_, bool(asked), v))
+                    if len(held) == rows:
                         yield packed()
-        if ids:
+        if held:
             yield packed()
 
-    return vectors.mapInArrow(run, "n int, dim int, ids binary, width string, exact binary")
+    return vectors.mapInArrow(run, FILE)
+
+
+QUERY = "q_block long, q_n int, q_dim int, q_ids binary, q_places binary, q_width string, q_exact binary"
+
+
+def query_blocks(files: DataFrame, rows: int) -> DataFrame:
+    """The query rows of every file, with their places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                places = np.flatnonzero(np.frombuffer(r["asked"], dtype="u1"))
+                exact = np.frombuffer(r["exact"], dtype=r["width"]).reshape(r["n"], r["dim"])
+                for lo in range(0, len(places), rows):
+                    at = places[lo : lo + rows]
+                    yield record(QUERY, [(r["block"], len(at), r["dim"], np.frombuffer(r["ids"], dtype="<i8")[at].tobytes(), at.astype("<i4").tobytes(), r["width"], exact[at].tobytes())])
+
+    return files.select("block", "n", "dim", "ids", "asked", "width", "exact").mapInArrow(run, QUERY)
 
 
 class ApproximationFile:
-    """A block with its cells."""
-
-    def __init__(self, ids: np.ndarray, exact: np.ndarray, bits: int = CELL_BITS):
-        order = np.argsort(ids, kind="stable")  # equal scores then stand in id order
-        self.ids, self.exact = ids[order], exact[order].astype(np.int64)
-        low, high = self.exact.min(axis=0), self.exact.max(axis=0)
-        self.width = np.maximum(-(-(high - low + 1) // (1 << bits)), 1)
-        self.low = low
-        self.cells = ((self.exact - low) // self.width).astype(np.uint8)
-        # bounds are sums over components: middle of the cell, plus or minus half a cell
-        self.middle = (self.low + self.cells * self.width + (self.width - 1) / 2).astype(np.float64)
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores, a row for each query."""
-        return queries.astype(np.float64) @ self.middle.T + (np.abs(queries) @ ((self.width - 1) / 2.0))[:, None]
-
-    def top(self, query: np.ndarray, own: int, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best rows that are not ``own``."""
-        size, step = len(self.ids), min(STEP, len(self.ids))
-        while True:
-            near = np.argpartition(-bound, step - 1)[:step] if step < size else np.arange(size)
-            left = -np.inf if step == size else np.partition(-bound, step)[step] * -1
-            near = near[self.ids[near] != own]
-            scores = self.exact[near] @ query
-            order = np.lexsort((self.ids[near], -scores))[:k]
-            # equal to the bound of a row not read: that row might tie with a smaller id
-            if step == size or (len(order) == k and scores[order[-1]] > left + 1e-6):
-                return scores[order], self.ids[near][order]
-            step = min(size, step * 4)
+    """A block: packed cells to scan, exact vectors to read."""
+
+    def __init__(self, row: dict, dim: int):
+        self.n, own = row["n"], row["dim"]
+        self.ids = np.frombuffer(row["ids"], dtype="<i8")
+        self.exact = np.frombuffer(row["exact"], dtype=row["width"]).reshape(self.n, own)
+        self.low, self.step = (np.frombuffer(row[k], dtype="<i8") for k in ("low", "step"))
+        self.cells = np.frombuffer(row["cells"], dtype=np.uint8).reshape(self.n, -(-own // 2))
+        self.own = own
+        #: exact vectors read so far
+        self.read = 0
+
+    def bounds(self, query: np.ndarray) -> np.ndarray:
+        """Upper bounds of a query's scores: sums over bytes of what their two cells can reach at most."""
+        q = query[: self.own]
+        least = self.low[:, None] + np.arange(CELLS) * self.step[:, None]
+        reach = np.where(q[:, None] > 0, q[:, None] * (least + self.step[:, None] - 1), q[:, None] * least)
+        reach = np.pad(reach, ((0, self.own % 2), (0, 0)))
+        tables = (reach[0::2, :, None] + reach[1::2, None, :]).reshape(-1, CELLS * CELLS)
+        out = np.zeros(self.n, dtype=np.int64)
+        for table, cells in zip(tables, self.cells.T, strict=True):
+            out += table[cells]
+        return out
+
+    def top(self, query: np.ndarray, own: int, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k best among ``best`` and this file's rows, the one at ``own`` (-1 for none) left out."""
+        bound = self.bounds(query)
+        scores, ids = best
+        least = scores[-1] if len(scores) == k else None
+        near = np.arange(self.n) if least is None else np.flatnonzero(bound >= least)  # equal: a smaller id may win
+        near = near[near != own]
+        near = near[np.argsort(-bound[near], kind="stable")]
+        at, step = 0, STEP
+        while at < len(near) and (len(scores) < k or bound[near[at]] >= scores[-1]):
+            part = near[at : at + step]
+            self.read += len(part)
+            scores = np.concatenate([scores, self.exact[part].astype(np.int64) @ query[: self.own]])
+            ids = np.concatenate([ids, self.ids[part]])
+            order = np.lexsort((ids, -scores))[:k]
+            scores, ids = scores[order], ids[order]
+            at, step = at + step, step * 2
+        return scores, ids
 
 
 def search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a query block and a candidate block -> the block's k best for each query."""
-    held: tuple[bytes, ApproximationFile] | None = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            dim = max(row["dim"], row["q_dim"])
+    """Rows of a query block and a candidate block -> a task's k best for each query.  The best are carried while one query block meets its candidate blocks."""
+    key, queries, ids, places, best = None, np.zeros((0, 0), dtype=np.int64), np.zeros(0), np.zeros(0), []
 
-            def matrix(at: str, row: dict = row, dim: int = dim) -> tuple[np.ndarray, np.ndarray]:
-                exact = np.frombuffer(row[f"{at}exact"], dtype=row[f"{at}width"]).reshape(row[f"{at}n"], row[f"{at}dim"]).astype(np.int64)
-                return np.frombuffer(row[f"{at}ids"], dtype="<i8"), np.pad(exact, ((0, 0), (0, dim - exact.shape[1])))
+    def found() -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(best), 1000):
+            n = [len(s) for s, _ in best[lo : lo + 1000]]
+            at = np.repeat(np.arange(lo, lo + len(n)), n)
+            cols = [ids[at], np.full(len(at), key[0]), places[at], np.concatenate([i for _, i in best[lo : lo + 1000]]), np.concatenate([s for s, _ in best[lo : lo + 1000]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["query_id", "block", "place", "vec_id", "score"])
 
-            ids, queries = matrix("q_")
-            if held is None or held[0] != row["ids"] or held[1].exact.shape[1] != dim:
-                held = row["ids"], ApproximationFile(*matrix(""))
-            out: list[tuple[np.ndarray, ...]] = []
-            for lo in range(0, len(ids), 256):
-                bounds = held[1].bounds(queries[lo : lo + 256])
-                for j, bound in enumerate(bounds, lo):
-                    scores, found = held[1].top(queries[j], ids[j], bound, k)
-                    out.append((np.full(len(found), ids[j]), np.full(len(found), row["q_key"] + j), found, scores))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["query_id", "query", "vec_id", "score"])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            dim = max(row["dim"], row["q_dim"])
+            if key != (row["q_block"], row["q_places"]):
+                if key is not None:
+                    yield from found()
+                key = row["q_block"], row["q_places"]
+                queries = np.frombuffer(row["q_exact"], dtype=row["q_width"]).reshape(row["q_n"], row["q_dim"]).astype(np.int64)
+                ids, places = np.frombuffer(row["q_ids"], dtype="<i8"), np.frombuffer(row["q_places"], dtype="<i4")
+                best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(ids)
+            file, wide = ApproximationFile(row, dim), np.pad(queries, ((0, 0), (0, dim - queries.shape[1])))
+            own = places if row["block"] == key[0] else np.full(len(ids), -1)
+            best = [file.top(wide[j], own[j], best[j], k) for j in range(len(ids))]
+    if key is not None:
+        yield from found()
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores among all other rows."""
     spark = vectors.sparkSession
-    both = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    files = written(blocks(both, block_rows, scale))
-    asked = vectors.filter(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).distinct()
-    asked = written(blocks(asked, query_rows, scale).withColumn("q_key", F.monotonically_increasing_id() * query_rows))
-    shards = shards or max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
-    near = files.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
-    far = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "width", "exact")], "q_key", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = near.join(far, "shard").drop("shard")
-    found = pairs.mapInArrow(lambda it: search(it, k), "query_id long, query long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    files = written(blocks(rows, block_rows, scale).withColumn("block", F.monotonically_increasing_id()))
+    shards = shards or max(1, min(row_count(files), 4 * spark.sparkContext.defaultParallelism))
+    near = files.drop("asked").withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
+    far = query_blocks(files, query_rows).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # the query side comes first: a task then meets the candidate blocks of one query block after another
+    pairs = far.join(near.hint("merge"), "shard").drop("shard")
+    found = pairs.mapInArrow(lambda it: search(it, k), "query_id long, block long, place long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

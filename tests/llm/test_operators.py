@@ -363,12 +363,34 @@ def test_top_k_equals_brute_force(spark):
     from pyspark.sql import functions as F
 
     got = [tuple(x) for x in vector_topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=32, query_rows=2, shards=3).collect()]
-    use = [(i, np.pad(np.floor(256 * np.array(v)).astype(int), (0, 8 - len(v)))) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()]
+    use = [(i, np.pad(np.floor(256 * np.array(v)).astype(int), (0, 8 - len(v)))) for i, v, _ in rows if v is not None and None not in v and np.isfinite(v).all()]
     want = []
-    for q, x in {(i, tuple(v)): (i, v) for i, v in use if i % 50 == 0}.values():
-        best = sorted((-int(x @ v), i) for i, v in use if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+    for n, (q, x) in enumerate(use):
+        if q % 50 == 0:
+            best = sorted((-int(x @ v), i) for m, (i, v) in enumerate(use) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want) and (350, 1) in {x[:2] for x in got}
+
+
+def test_cells_bound_scores_and_save_reads():
+    r = np.random.default_rng(4)
+    exact = np.floor(256 * r.normal(size=(4000, 7)) * r.lognormal(size=(4000, 1))).astype(np.int64)
+    low, step, cells = vector_topk.approximated(exact)
+    row = {"n": 4000, "dim": 7, "ids": np.arange(4000).astype("<i8").tobytes(), "width": "<i8", "exact": exact.tobytes(), "low": low.tobytes(), "step": step.tobytes(), "cells": cells.tobytes()}
+    file = vector_topk.ApproximationFile(row, 9)
+    none = np.zeros(0, dtype=np.int64)
+    for j in range(20):
+        query = np.pad(exact[j], (0, 2))
+        scores = exact @ exact[j]
+        assert (file.bounds(query) >= scores).all()
+        file.read = 0
+        got = file.top(query, j, (none, none), 5)
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != j)[:5]
+        assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == [(-s, i) for s, i in want]
+        assert file.read < 1500
+        file.read = 0
+        high = np.full(5, scores.max() + 10**9)  # carried from other blocks: nothing here can win
+        assert file.top(query, j, (high, np.arange(5)), 5)[0].tolist() == high.tolist() and file.read == 0
 
 
 def test_top_k_of_no_rows(spark):
