@@ -14,8 +14,14 @@ a length that holds a third of all rows is no single task) and finds its
 sequence and offset by binary search in the pattern table, whose size depends
 on the capacity alone.
 
-Null text counts as empty: the closing id alone, one token.  Repeated rows are
-packed each.  An empty table gives an empty result.
+The search is bounded: ``nodes`` fillings in all, at each of them 400 tries and
+the eight best fillings, within 64 tokens of the least waste, each with as many
+sequences as the counts allow first and half as many next.  What it returns is a
+full packing at any time; ``lower_bound`` says how far from the optimum it can be.
+
+Null text counts as empty: the closing id alone, one token.  Very long texts are
+cut into pieces and tokenized part by part.  Repeated rows, repeated and null ids
+are packed each.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonospan.llm import pretokens
-from sonospan.llm.common import written
+from sonospan.llm.common import row_count, written
 
 CAPACITY = 2048
 BUCKET_ROWS = 10_000
+#: Bucket starts of up to so many rows are broadcast, some 20 MB.
+BROADCAST_ROWS = 500_000
 NODES = 8_000
 #: Words whose ids a worker keeps.
 WORDS_HELD = 400_000
@@ -221,6 +229,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             for room, filling in fillings(left, capacity):
                 times = left.fits(filling)
                 branches.append((room, times, filling))
+                if times > 1:
+                    branches.append((room, times // 2, filling))
+            branches.sort(key=lambda b: b[0])
             stack.append(branches[::-1])
         elif spent >= nodes and not dead:
             break
@@ -275,12 +286,13 @@ class Slots:
 
 def numbered(pieces: DataFrame) -> DataFrame:
     """``number``: 0, 1, ... among the pieces of a length.  ``uid`` tells rows apart."""
-    counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
-    rows = pieces.join(counts, "length").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / BUCKET_ROWS))).drop("n")
+    counts = pieces.groupBy("length").agg(F.count("*").alias("n"))  # a row for each length, at most the capacity
+    rows = pieces.join(F.broadcast(counts), "length").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / BUCKET_ROWS))).drop("n")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = written(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    starts = F.broadcast(starts) if row_count(starts) <= BROADCAST_ROWS else starts
     rank = Window.partitionBy("length", "bucket").orderBy("uid")
-    return rows.join(starts, ["length", "bucket"]).withColumn("number", F.col("before") + F.row_number().over(rank) - 1)
+    return rows.withColumn("number", F.row_number().over(rank) - 1).join(starts, ["length", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, words_held: int = WORDS_HELD) -> DataFrame:

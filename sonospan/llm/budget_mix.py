@@ -12,8 +12,10 @@ cut of a length with many documents is found inside one hash bucket of about
 ``BUCKET_ROWS`` rows.
 
 Null text has size 0; a null source is a source of its own, ordered last.
-Documents without words are never taken.  Rows that repeat an id, source and
-length share one decision.  An empty table gives an empty result.
+Documents without words are never taken.  Rows that repeat an id are rows of
+their own: equal hashes are told apart by text, and rows of one id and text are counted off, so
+null and repeated ids are fitted like others.  Very long texts count whole.  An
+empty table gives an empty result; columns with clashing names are kept.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonospan.llm.common import n_words, written
+from sonospan.llm.common import n_words, row_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST = 2
 BUCKET_ROWS = 10_000
+#: Decisions of up to so many (source, length) pairs are broadcast, some 20 MB.
+BROADCAST_ROWS = 200_000
 #: Greedy steps bring a rest below four times this or four of the longest documents, whichever is more; the dynamic program fits that exactly.
 DP_WORDS = 1 << 16
 
@@ -47,7 +51,8 @@ def targets(sizes: list[int], weights=WEIGHTS, share: Fraction = SHARE, most: in
         for i in full:
             found[i] = Fraction(most * sizes[i])
             goal -= found[i]
-        still = [i for i in still if i not in set(full)]
+        gone = set(full)
+        still = [i for i in still if i not in gone]
     return [float(x) for x in found]
 
 
@@ -116,9 +121,9 @@ def hashed(id_col: str | Column, seed: int) -> Column:
 
 
 def decisions(sized: DataFrame, seed: int = 11) -> DataFrame:
-    """(source, size) -> source_size, target, passes, and the last (hash, id) taken once more.
+    """(source, size) -> source_size, target, passes, and the last (hash, id, text hash) taken once more, with how many of the rows that have it.
 
-    ``sized`` has id, source, size and is read three times.
+    ``sized`` has id, source, size, t and is read three times.
     """
     spark = sized.sparkSession
     hist = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -133,59 +138,75 @@ def decisions(sized: DataFrame, seed: int = 11) -> DataFrame:
         return rows.assign(passes=passes, more=more)
 
     kind = sized.schema["source"].dataType.simpleString()
-    joined = hist.alias("h").join(aims.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "h.size", "h.n", "a.source_size", "a.target")
+    joined = hist.alias("h").join(F.broadcast(aims).alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "h.size", "h.n", "a.source_size", "a.target")
     plan = written(joined.groupBy("source").applyInPandas(fit, f"source {kind}, size long, n long, source_size long, target double, passes int, more long"))
     parts = F.ceil(F.col("p.n") / BUCKET_ROWS)
     some = plan.filter((F.col("more") > 0) & (F.col("more") < F.col("n")))
     rows = (
         sized.alias("s")
-        .join(some.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.size") == F.col("p.size")))
-        .select("s.source", "s.size", "s.id", hashed("s.id", seed).alias("h"), "p.more", parts.alias("parts"))
+        .join(attached(some).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.size") == F.col("p.size")))
+        .select("s.source", "s.size", "s.id", "s.t", hashed("s.id", seed).alias("h"), "p.more", parts.alias("parts"))
         .withColumn("bucket", F.pmod(F.col("h"), F.col("parts")))
     )
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
+    edge = written(
         rows.groupBy("source", "size", "bucket", "more").agg(F.count("*").alias("n"))
         .withColumn("room", F.col("more") - F.coalesce(F.sum("n").over(before), F.lit(0)))
         .filter((F.col("room") > 0) & (F.col("room") <= F.col("n")))
         .select("source", "size", "bucket", "room")
     )
-    rank = Window.partitionBy("e.source", "e.size").orderBy("r.h", "r.id")
+    of_length, key = Window.partitionBy("e.source", "e.size"), F.struct("r.h", "r.id", "r.t")
     cut = (
-        rows.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.size") == F.col("e.size")) & (F.col("r.bucket") == F.col("e.bucket")))
-        .select("e.source", "e.size", "r.bucket", "r.h", "r.id", "e.room", F.row_number().over(rank).alias("k"))
-        .filter("k = room").select("source", "size", "bucket", F.col("h").alias("last_h"), F.col("id").alias("last_id"))
+        rows.alias("r").join(attached(edge).alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.size") == F.col("e.size")) & (F.col("r.bucket") == F.col("e.bucket")))
+        .select("e.source", "e.size", "r.bucket", key.alias("last"), "e.room", F.row_number().over(of_length.orderBy(key)).alias("k"), F.rank().over(of_length.orderBy(key)).alias("first"), F.count("*").over(Window.partitionBy("e.source", "e.size", "r.h", "r.id", "r.t")).alias("have"))
+        .filter("k = room").select("source", "size", "bucket", "last", (F.col("room") - F.col("first") + 1).alias("keep"), "have")
     )
-    return (
+    return written(
         plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size")), "left")
-        .select("p.source", "p.size", "p.n", "p.source_size", "p.target", "p.passes", "p.more", F.ceil(F.col("p.n") / BUCKET_ROWS).alias("parts"), "c.bucket", "c.last_h", "c.last_id")
+        .select("p.source", "p.size", "p.n", "p.source_size", "p.target", "p.passes", "p.more", F.ceil(F.col("p.n") / BUCKET_ROWS).alias("parts"), "c.bucket", "c.last", "c.keep", "c.have")
     )
 
 
-def times(seed: int) -> Column:
-    """How often a row is taken, from its own id and its length's decision."""
+def attached(table: DataFrame) -> DataFrame:
+    """A written table of (source, size) decisions, broadcast while it is small; beyond that it meets the rows by a shuffle."""
+    return F.broadcast(table) if row_count(table) <= BROADCAST_ROWS else table
+
+
+def taken(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with their decision and ``times``: how often a row is taken, from its own id and its length's decision.
+
+    Rows that repeat the id and text at a cut differ in nothing; as many of them
+    as are still wanted are counted off, where there are any.
+    """
+    same = F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.size") == F.col("d.size"))
+    met = rows.alias("s").join(attached(table).alias("d"), same)
     h = hashed("s.id", seed)
-    bucket = F.pmod(h, F.col("d.parts"))
-    once_more = (
-        F.when(F.col("d.more") <= 0, False).when(F.col("d.more") >= F.col("d.n"), True)
-        .when(bucket != F.col("d.bucket"), bucket < F.col("d.bucket"))
-        .otherwise((h < F.col("d.last_h")) | ((h == F.col("d.last_h")) & F.coalesce(F.col("s.id") <= F.col("d.last_id"), F.col("s.id").isNull())))
-    )
-    return F.when(F.col("s.size") == 0, 0).otherwise(F.col("d.passes") + once_more.cast("int"))
+    bucket, own = F.pmod(h, F.col("d.parts")), F.struct(h.alias("h"), F.col("s.id").alias("id"), F.col("s.t").alias("t"))
+    partly = (F.col("d.more") > 0) & (F.col("d.more") < F.col("d.n"))
+    once_more = F.when(F.col("d.more") <= 0, False).when(~partly, True).when(bucket != F.col("d.bucket"), bucket < F.col("d.bucket")).otherwise(own <= F.col("d.last"))
+    number = lambda more: F.when(F.col("s.size") == 0, 0).otherwise(F.col("d.passes") + more.cast("int"))
+    if table.filter("keep < have").isEmpty():
+        return met.select("s.*", "d.source_size", "d.target", number(once_more).alias("times"))
+    tied = F.coalesce(partly & own.eqNullSafe(F.col("d.last")) & (F.col("d.keep") < F.col("d.have")), F.lit(False))
+    off = F.row_number().over(Window.partitionBy("s.source", "s.size").orderBy("s.t")) <= F.col("d.keep")
+    apart = met.filter(tied).select("s.*", "d.source_size", "d.target", number(off).alias("times"))
+    return met.filter(~tied).select("s.*", "d.source_size", "d.target", number(once_more).alias("times")).unionByName(apart)
+
+
+def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """id, source, size and a hash of the text, which parts rows that repeat an id."""
+    return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), F.xxhash64(text_col).alias("t"))
 
 
 def budget_mix(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")))
-    same = F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.size") == F.col("d.size"))
-    rows = sized.alias("s").join(decisions(sized, seed).alias("d"), same)
-    return rows.select(F.col("s.id").alias(id_col), "s.size", "d.source_size", "d.target", (times(seed) * F.col("s.size")).cast("long").alias("taken"))
+    sized = written(with_sizes(docs, id_col, text_col, source_col))
+    return taken(sized, decisions(sized, seed), seed).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    same = F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.size") == F.col("d.size"))
-    taken = rows.alias("s").join(decisions(sized, seed).alias("d"), same).select("s.row", times(seed).alias("times")).filter("times > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")).select("row.*")
+    sized = written(with_sizes(docs, id_col, text_col, source_col))
+    rows = with_sizes(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    wanted = taken(rows, decisions(sized, seed), seed).filter("times > 0")
+    return wanted.select("doc", F.explode(F.sequence(F.lit(1), "times")).alias("time")).select("doc.*")

@@ -23,7 +23,9 @@ document the numbers of its dropped lines.  Exact repeats are folded by map-side
 minima, variants by (variant, place, line).
 
 Null text has no lines.  Rows that repeat an id and text are one document and
-get one result.  A table without rows gives none.  Other columns are kept.
+get one result; null ids are ids.  Very long texts are hashed whole, a run of
+lines at a time.  A table without rows gives none.  Other columns are kept, but
+input columns named ``n_lines`` or ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of ``docs``, the text without its dropped lines, then ``n_lines`` (with a word) and ``n_removed``."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drop = written(dropped_lines(ids, near))
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c in (id_col, text_col)]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     at = own.index(text_col)
 

@@ -334,7 +334,7 @@ def test_mix(docs, corpus):
     aims = dict(zip(order, budget_mix.targets([sizes[s] for s in order]), strict=True))
     for r in got:
         assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(aims[source[r.doc_id]])
-    for s in order:  # repeated rows share a decision
+    for s in order:
         assert abs(taken[s] - aims[s]) <= 130
     assert sorted(map(tuple, got)) == sorted(map(tuple, budget_mix.budget_mix(docs.repartition(5)).collect()))
     rows = Counter(r.doc_id for r in budget_mix.mixed(docs).collect())
@@ -348,6 +348,22 @@ def test_mix_with_hash_buckets(spark, monkeypatch):
     assert abs(got["taken"].sum() - 900) <= 6
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(7, " ".join(["w"] * 20), "a")] * 90 + [(None, " ".join(["v"] * 10), "b")] * 40 + [(8, " ".join(["u"] * 10), "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = budget_mix.budget_mix(docs).toPandas()
+    for source, unit in (("a", 20), ("b", 10)):
+        part = got[got["size"] == unit]
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= unit and set(part["taken"]) <= {0, unit, 2 * unit}
+    assert budget_mix.mixed(docs).count() == got["taken"].where(got["size"] == 20, 0).sum() / 20 + got["taken"].where(got["size"] == 10, 0).sum() / 10
+
+
+def test_columns_that_clash_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a line of five words\na line of five words", 77, 5)], "doc_id long, text string, n_removed int, n_lines int")
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"] and got.first().n_removed == 1 and got.first().n_lines == 2
+
+
 def test_mix_of_no_rows(none):
     assert budget_mix.budget_mix(none).collect() == [] and budget_mix.mixed(none).collect() == []
 
