@@ -14,6 +14,8 @@ from sonospan.functions import align, clinical, dsp, frames
 from sonospan.plans import projections as view
 
 RATE = 16_000
+#: Pieces that recordings are cut into for kernels without memory.
+CHUNK_SECONDS = 10.0
 FRAMES = "t double, hz double, voicing double"
 
 
@@ -32,9 +34,17 @@ def tones(spark: SparkSession, n: int, seconds: float, rate: int = RATE) -> Data
     return spark.range(n).mapInArrow(run, "bundle_id long, sample_rate int, samples array<double>")
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one list column, without Python lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows, dtype=np.float64).reshape(-1)))
+
+
 def _pitch(method: str, n: int = 4, seconds: float = 1.0):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frames.analysed(tones(spark, n, seconds), lambda x, r: dsp.pitch(x, r, method), FRAMES)
+        audio = tones(spark, n, seconds)
+        if method == "autocorrelation":  # frame by frame, so a recording is cut
+            audio = frames.chunked(audio, CHUNK_SECONDS, 0.030, 0.010)
+        return frames.analysed(audio, lambda x, r: dsp.pitch(x, r, method), FRAMES)
 
     return query
 
@@ -42,7 +52,7 @@ def _pitch(method: str, n: int = 4, seconds: float = 1.0):
 def _mfcc(method: str, n: int = 4, seconds: float = 1.0):
     def kernel(x: np.ndarray, rate: int) -> dict:
         c = dsp.mfcc(x, rate, method=method)
-        return {"frame": np.arange(len(c)), "coefficients": c.tolist()}
+        return {"frame": np.arange(len(c)), "coefficients": lists(c)}
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return frames.analysed(tones(spark, n, seconds), kernel, "frame long, coefficients array<double>")
@@ -51,7 +61,7 @@ def _mfcc(method: str, n: int = 4, seconds: float = 1.0):
 
 
 def formants(spark: SparkSession, sf_dir: str, n: int = 4, seconds: float = 1.0) -> DataFrame:
-    return frames.analysed(tones(spark, n, seconds), dsp.formants, "t double, frequencies array<double>, bandwidths array<double>")
+    return frames.analysed(frames.chunked(tones(spark, n, seconds), CHUNK_SECONDS, 0.025, 0.010), dsp.formants, "t double, frequencies array<double>, bandwidths array<double>")
 
 
 def formants_300s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +83,7 @@ def ltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whisper_log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(x: np.ndarray, rate: int) -> dict:
         m = dsp.log_mel_whisper(x, rate)
-        return {"frame": np.arange(len(m)), "mel": m.tolist()}
+        return {"frame": np.arange(len(m)), "mel": lists(m)}
 
     return frames.analysed(tones(spark, 4, 1.0), kernel, "frame long, mel array<double>")
 
