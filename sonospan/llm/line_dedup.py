@@ -5,20 +5,23 @@ distance is counted in words for lines of ``NEAR_WORDS`` words or more, and in
 characters for lines of fewer words that have ``NEAR_CHARS`` characters or more
 (white space between words is one), such as unspaced scripts, addresses and code;
 the bound is 1.  It is 0 for shorter lines, and between lines counted differently.
-Order is (id, text, line number).  A line goes when an earlier line equals it, or
-lies within the bound of it.
+Order is (id, hash of the text, line number).  A line goes when an earlier line
+equals it, or lies within the bound of it.
 
 1. Lines whose first or last half nobody else has can have no neighbour.  Half
    keys seen with two different lines are marked in a bit table of fixed size; a
    wrong mark only costs rows.
 2. Marked lines emit all variants within the bound: the line, and the line less
-   each word or character, as hashes.  Equal variants meet.  The edit distance is verified by
-   place: two lines of one length are a substitution apart only if they miss the
-   same place; a line that equals another's variant is an insertion away.
-3. The earliest line of every variant stays; later ones are dropped wherever
-   they occur.
-
-Only hashes and positions are shuffled until the last join, which brings each
+   each word or character, as hashes.  Equal variants meet: two lines of one
+   length that miss the same place are a substitution apart, a line that equals
+   another's variant is an insertion away.  Later lines are paired with the
+   earliest line they meet so.
+3. The edit distance of every pair is verified on the words or characters of its
+   two lines, which are fetched for the paired lines alone.
+4. Lines with a verified earlier partner are dropped wherever they occur.
+
+Equal lines are told by a 64-bit hash of all their words.  Hashes, positions and
+paired lines are all that is shuffled until the last join, which brings each
 document the numbers of its dropped lines.  Exact repeats are folded by map-side
 minima, variants by (variant, place, line).
 
@@ -50,6 +53,8 @@ MARK_BITS = 24
 TOGETHER = 1 << 18
 #: Sets hashes of characters apart from those of words.
 CHARACTERS = 0x6A09E667F3BCC909
+#: Tasks that share the later lines of one partner.
+SALTS = 8
 
 
 class Parts:
@@ -156,6 +161,68 @@ def together(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def parts_of(line: str) -> list[str] | str:
+    """What the edit distance of a line is counted in: words, or characters of lines with few words."""
+    words = line.split(" ")
+    return line if len(words) < NEAR_WORDS else words
+
+
+def within_one(a: str, b: str) -> bool:
+    """Whether two normalised lines are counted in the same parts and at most one insertion, deletion or substitution apart."""
+    x, y = parts_of(a), parts_of(b)
+    if type(x) is not type(y) or abs(len(x) - len(y)) > 1:
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    at = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
+    return x[at + (len(x) == len(y)) :] == y[at + 1 :]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """Hashes of lines that lie within the bound of their earlier partner, read from the texts themselves.
+
+    ``pairs``: h, t of a text that has the line, and the same of the partner as other_h and other_t.
+    """
+    ends = pairs.select("h", "t").union(pairs.select("other_h", "other_t"))
+    texts, needed = (docs.sparkSession.sparkContext.broadcast(bit_table(ends.select(c), bits)) for c in ("t", "h"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data in together(batch.column(0)):
+                t = np.array([text_key(x) for x in data], dtype=np.int64)
+                some = np.flatnonzero(marked(texts.value, leading(pa.array(t), bits)))
+                if not len(some):
+                    continue
+                lines = Lines([data[k] for k in some])
+                use = lines.near[marked(needed.value, lines.hash[lines.near] >> np.uint64(64 - bits))] if len(lines.near) else lines.near
+                hashes, found = [], []
+                split: tuple[int, list[bytes]] = (-1, [])
+                for i, h, k, line in zip(use.tolist(), lines.hash[use].view(np.int64).tolist(), lines.text[use].tolist(), lines.number(use).tolist(), strict=True):
+                    if h in seen:
+                        continue
+                    if len(seen) < 500_000:
+                        seen.add(h)
+                    if split[0] != k:
+                        split = (k, data[some[k]].split(b"\n"))
+                    hashes.append(h)
+                    found.append(b" ".join(split[1][line].split()))
+                if hashes:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["h", "words"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [within_one(*(x.as_py().decode("utf-8", "surrogatepass") for x in pair)) for pair in zip(batch.column(1), batch.column(2), strict=True)]
+            yield batch.select([0]).filter(pa.array(near, pa.bool_()))
+
+    words = written(docs.select("text").mapInArrow(fetch, "h long, words binary").groupBy("h").agg(F.min("words").alias("words")))
+    # one early line may be the partner of a great many: its side is dealt over SALTS tasks
+    salted = pairs.select("h", "other_h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    partners = pairs.select("other_h").distinct().join(words.withColumnRenamed("h", "other_h"), "other_h").select("other_h", F.col("words").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = salted.join(words, "h").join(partners, ["other_h", "salt"]).select("h", "words", "other")
+    return met.mapInArrow(compared, "h long").distinct()
+
+
 def marks(keys: DataFrame, bits: int) -> np.ndarray:
     """Bit table of the keys that two different lines have."""
     return bit_table(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key"), bits)
@@ -252,11 +319,15 @@ def dropped_lines(docs: DataFrame, near: bool = True, mark_bits: int = MARK_BITS
                     )
 
         met = docs.mapInArrow(variants, f"v long, without int, h long, id {kind}, t long, line int").repartition("v")
-        met = met.groupBy("v", "without", "h").agg(F.min(F.struct("id", "t", "line")).alias("place"))
+        met = met.groupBy("v", "without", "h").agg(F.min(F.struct("id", "t", "line", "h")).alias("place"))
         of_v, of_place = Window.partitionBy("v"), Window.partitionBy("v", "without")
         met = met.withColumns({"own": F.min("place").over(of_place), "whole": F.min(F.when(F.col("without") < 0, F.col("place"))).over(of_v), "less": F.min(F.when(F.col("without") >= 0, F.col("place"))).over(of_v)})
-        later = F.when(F.col("without") < 0, F.col("place") > F.col("less")).otherwise((F.col("place") > F.col("own")) | F.coalesce(F.col("place") > F.col("whole"), F.lit(False)))
-        gone = met.filter(later).select("h").distinct().withColumn("gone", F.lit(True))
+        partners = F.when(F.col("without") < 0, F.array("less")).otherwise(F.array("own", "whole"))
+        earlier_ones = F.filter(partners, lambda p: F.coalesce(p < F.col("place"), F.lit(False)))
+        pairs = met.select("h", F.col("place.t").alias("t"), F.explode(earlier_ones).alias("p")).select("h", "t", F.col("p.h").alias("other_h"), F.col("p.t").alias("other_t"))
+        # a line meets the same partner by many variants: once is enough
+        pairs = written(pairs.groupBy("h", "other_h").agg(F.min("t").alias("t"), F.min("other_t").alias("other_t")))
+        gone = verified(docs, pairs, mark_bits).withColumn("gone", F.lit(True))
     known = first if gone is None else first.join(gone, "h", "left")
     lost = lines.join(known, "h").filter((F.col("place") != F.col("first")) | (F.lit(False) if gone is None else F.coalesce("gone", F.lit(False))))
     return lost.groupBy("id", "t").agg(F.sort_array(F.collect_set("line")).alias("drop"))
