@@ -1,7 +1,9 @@
 """Deep-shallow sorting of many groups of byte strings.
 
-Shallow: multikey quicksort's ternary splits on successive characters, done for
-all groups at once on words of eight characters down to ``SHALLOW`` bytes.
+Shallow: multikey quicksort.  Every open run of rows is split in three around the
+median of three of its characters; the middle part goes on at the next character.
+All open runs are split in one pass.  Characters are words of eight bytes, down to
+``SHALLOW`` bytes, then the length of shorter strings.
 Deep: what is still tied then has a long common prefix; a blind trie, which
 stores branching places only and compares one string per insertion, orders it.
 """
@@ -73,17 +75,43 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by (group, characters), and where runs of rows equal in all of these begin.  ``chars``: a row of unsigned characters each."""
+    order = np.argsort(group, kind="stable")
+    own = group[order]
+    lo = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
+    hi, depth, closed = np.append(lo[1:], len(order)), np.zeros(len(lo), dtype=np.int64), []
+    while len(lo):
+        is_open = (hi - lo > 1) & (depth < chars.shape[1])
+        closed.append(lo[~is_open])
+        lo, hi, depth = lo[is_open], hi[is_open], depth[is_open]
+        size = hi - lo
+        run = np.repeat(np.arange(len(lo)), size)
+        at = np.arange(len(run)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        rows = order[at]
+        a, b, c = (chars[order[x], depth] for x in (lo, (lo + hi) // 2, hi - 1))
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[run]
+        char = chars[rows, depth[run]]
+        part = 3 * run + 1 + (char > pivot) - (char < pivot)
+        order[at] = rows[np.argsort(part, kind="stable")]
+        count = np.bincount(part, minlength=3 * len(lo)).reshape(-1, 3)
+        begin = lo[:, None] + np.cumsum(count, axis=1) - count
+        deeper = depth[:, None] + np.array([0, 1, 0])
+        some = count > 0
+        lo, hi, depth = begin[some], (begin + count)[some], deeper[some]
+    return order, np.sort(np.concatenate(closed)) if closed else lo
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by (group, string), and each row's common prefix with the row before it in that order (-1 where a group begins).
 
     ``strings``: a row of bytes each, padded with zeros to one width of 16 or more; ``length``: bytes that count.
     """
     head = np.ascontiguousarray(strings[:, :SHALLOW]).view(">u8").astype(np.uint64)
-    order = np.lexsort((length, head[:, 1], head[:, 0], group))
+    chars = np.stack([head[:, 0], head[:, 1], np.minimum(length, SHALLOW).astype(np.uint64)], axis=1)
+    order, starts = multikey_quicksort(group, chars)
     if len(order) < 2:
         return order, np.full(len(order), -1, dtype=np.int64)
-    key = np.stack([group[order].astype(np.uint64), head[order, 0], head[order, 1]], axis=1)
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
     sizes = np.diff(np.append(starts, len(order)))
     for at, size in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
         rows = order[at : at + size]

@@ -668,3 +668,32 @@ def test_candidate_lists_over_several_tasks_stay_connected():
     label = dict(zip(child.tolist(), root.tolist(), strict=True))
     for h in (1, 2, 3):  # lengths are close, so each list is one group of candidates
         assert len({label.get(x[2], x[2]) for x in rows if x[0] == h}) == 1
+
+
+def test_near_lines_are_verified_on_their_parts():
+    assert line_dedup.within_one("a b c d e", "a b x d e")
+    assert line_dedup.within_one("a b c d e", "a b c d e f")
+    assert line_dedup.within_one("x" * 30, "x" * 14 + "y" + "x" * 15)
+    assert not line_dedup.within_one("a b c d e", "a b c e d")
+    assert not line_dedup.within_one("a b c d e", "a b c d e f g")
+    assert not line_dedup.within_one("a b c d e", "a x c y e")
+    assert not line_dedup.within_one("aaaa bbbb cccc dddd", "aaaa bbbb cccc dddd e")  # characters against words
+
+
+def test_a_pair_that_only_its_hashes_join_is_not_verified(spark):
+    texts = ["one two three four five", "one two three four six", "six five four three two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    h = [int(line_dedup.Lines([t.encode()]).hash.view(np.int64)[0]) for t in texts]
+    t = [line_dedup.text_key(x.encode()) for x in texts]
+    pairs = spark.createDataFrame([(h[1], t[1], h[0], t[0]), (h[2], t[2], h[0], t[0])], "h long, t long, other_h long, other_t long")
+    assert [r["h"] for r in line_dedup.verified(docs, pairs).collect()] == [h[1]]
+
+
+def test_multikey_quicksort_orders_and_finds_runs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        group, chars = rng.integers(0, 4, n), rng.integers(0, 5, (n, 3)).astype(np.uint64)
+        order, starts = deep_shallow.multikey_quicksort(group, chars)
+        key = [(int(group[i]), *chars[i].tolist()) for i in order]
+        assert key == sorted(key)
+        assert starts.tolist() == [i for i in range(n) if i == 0 or key[i] != key[i - 1]]
