@@ -133,13 +133,23 @@ def align_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:
             for v, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 e = np.asarray(x.values, dtype=float).reshape(16, 4) * 8
                 e -= np.log(np.exp(e).sum(axis=1, keepdims=True))
-                rows += [(v, i, *s) for i, s in enumerate(align.forced_align(e, [1, 2, 2]))]
+                rows += [(v, i, *s[:4]) for i, s in enumerate(align.forced_align(e, [1, 2, 2]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["vec_id", "position", "target", "first", "end", "score"])
 
     return view.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, position int, target int, first int, end int, score double")
 
 
+def align_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, phones and syllables of the words "ba" and "ab" aligned to every embedding, read as 16 frames of 4 emissions; blanks of two frames are pauses."""
+    frame = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: 8 * x.cast("double")))
+    total = lambda row: F.log(F.aggregate(row, F.lit(0.0), lambda s, x: s + F.exp(x)))
+    emissions = F.transform(frame, lambda row: F.transform(row, lambda x: x - total(row)))
+    words = F.array(*[F.struct(F.lit(w).alias("text"), F.lit(w).alias("ipa")) for w in ("ba", "ab")])
+    utterances = view.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bundle_id"), emissions.alias("emissions"), words.alias("words"))
+    return align.aligned(utterances, {"b": 1, "a": 2}, min_silence_frames=2)
+
+
 QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m) for m in ("librosa", "kaldi", "praat")} | {
-    "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc,
+    "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc, "align_tiers": align_tiers,
     "mfcc_300s": _mfcc("librosa", 1, 300.0), "formants_300s": formants_300s, "pitch_300s": _pitch("autocorrelation", 1, 300.0),
 }

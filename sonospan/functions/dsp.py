@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from sonospan.functions.columns import hann
+from sonospan.functions.swipe import pitch_swipe
 
 
 def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -424,7 +425,7 @@ def pitch_pyin(x: np.ndarray, rate: int, lo: float = 75.0, hi: float = 500.0, fr
     return {"t": pitch_frames(rate, n, size, hop), "hz": lo * 2 ** ((at + 0.5) / (12 * per_semitone)), "voicing": np.where(is_voiced, votes[np.arange(n), at], 0.0)}
 
 
-PITCH = {"autocorrelation": pitch_autocorrelation, "windowed": pitch_windowed, "boersma": pitch_boersma, "yin": pitch_yin, "pyin": pitch_pyin}
+PITCH = {"autocorrelation": pitch_autocorrelation, "windowed": pitch_windowed, "boersma": pitch_boersma, "yin": pitch_yin, "pyin": pitch_pyin, "swipe": pitch_swipe}
 
 
 def pitch(x: np.ndarray, rate: int, method: str = "boersma", **config) -> dict:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sonospan.functions import dsp
 
 CHUNK = "session_id string, first long, sample_rate int, samples array<float>"
-FRAME = "session_id string, t double, rms double, db double, hz double, voicing double, voiced boolean"
+FRAME = "session_id string, t double, rms double, db double, hz double, voicing double, voiced boolean, frequencies array<double>, bandwidths array<double>"
 WINDOW_SECONDS, HOP_SECONDS = 0.030, 0.010
 
 
@@ -31,7 +31,10 @@ def meter(chunks: DataFrame, seconds: float = 0.1) -> DataFrame:
 def frames_of(x: np.ndarray, first: int, rate: int, lo: float, hi: float) -> pd.DataFrame:
     level = dsp.intensity(x, rate, WINDOW_SECONDS, HOP_SECONDS)
     pitch = dsp.pitch_autocorrelation(x, rate, lo, hi, WINDOW_SECONDS, HOP_SECONDS)
-    return pd.DataFrame({"t": level["t"] + first / rate, "rms": level["rms"], "db": level["db"], "hz": pitch["hz"], "voicing": pitch["voicing"], "voiced": pitch["voicing"] >= 0.45})
+    # formants window by window, so that pre-emphasis starts anew in each and frames don't depend on where chunks end
+    each = [dsp.formants(w, rate, frame_seconds=WINDOW_SECONDS, hop_seconds=WINDOW_SECONDS) for w in dsp.framed(x, *dsp.sizes(rate, WINDOW_SECONDS, HOP_SECONDS))]
+    formants = {c: [list(f[c][0]) for f in each] for c in ("frequencies", "bandwidths")}
+    return pd.DataFrame({"t": level["t"] + first / rate, "rms": level["rms"], "db": level["db"], "hz": pitch["hz"], "voicing": pitch["voicing"], "voiced": pitch["voicing"] >= 0.45, **formants})
 
 
 def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0) -> DataFrame:

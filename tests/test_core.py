@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonospan import queries
-from sonospan.functions import align, clinical, columns, dsp
+from sonospan.functions import align, clinical, columns, dsp, swipe
 from sonospan.operators import agreement, campaign, intervals, refdist
 from sonospan.plans import expr, rules
 from sonospan.sources import formats, readers
@@ -197,7 +197,7 @@ def harmonic(f0, rate=16_000, seconds=0.6):
 def test_pitch(method):
     for f0 in (110.0, 220.0):
         p = dsp.pitch(harmonic(f0), 16_000, method)
-        good = p["hz"][p["voicing"] > 0.45] if method != "pyin" else p["hz"]
+        good = p["hz"][p["voicing"] > 0.45] if method not in ("pyin", "swipe") else p["hz"][p["voicing"] > 0.3] if method == "swipe" else p["hz"]
         assert abs(np.median(good) / f0 - 1) < 0.02
 
 
@@ -251,6 +251,43 @@ def test_alignment():
     assert [s[:3] for s in align.forced_align(e, [1, 2])] == [(1, 0, 4), (2, 4, 6)]
     with pytest.raises(ValueError, match="frames"):
         align.forced_align(e[:2], [1, 1])
+    assert [(s.label, s.first, s.end, s.token) for s in align.forced_align(e, [1, 2], min_silence_frames=2)] == [(1, 0, 2, 0), (0, 2, 4, -1), (2, 4, 6, 1)]
+    assert [(s.first, s.end, s.token) for s in align.forced_align(e, [1, 2], silence_mask=[True] + [False] * 5)] == [(0, 1, -1), (1, 4, 0), (4, 6, 1)]
+    with pytest.raises(ValueError, match="mask"):
+        align.forced_align(e, [1, 2], silence_mask=[True])
+    with pytest.raises(ValueError, match="range"):
+        align.forced_align(e, [1, 3])
+
+
+def emissions(rows, n):
+    return np.array([[np.log(0.8 if c == hot else 0.2 / (n - 1)) for c in range(n)] for hot in rows])
+
+
+def test_tiers_of_a_transcript(spark):
+    ids = {"h": 1, "ə": 2, "l": 3, "o": 4, "ʊ": 5}
+    rows = align.align_transcript(emissions([1] * 3 + [2] * 3 + [3] * 3 + [4] * 3 + [5] * 3, 6), [("hello", "həloʊ")], ids, frame_rate=100.0)
+    assert [r[3] for r in rows if r[0] == "phones"] == list("həloʊ") and [r[3] for r in rows if r[0] == "words"] == ["hello"]
+    assert [(round(r[1], 9), r[3]) for r in rows if r[0] == "syllables"] == [(0.0, "hə"), (0.06, "loʊ")]
+    e = emissions([0, 0, 0, 1, 1, 2, 2, 0, 0, 0], 3)
+    utterances = spark.createDataFrame([(7, e.tolist(), [("ba", "ba")])], "bundle_id long, emissions array<array<double>>, words array<struct<text: string, ipa: string>>")
+    got = align.aligned(utterances, {"b": 1, "a": 2}, frame_rate=100.0, min_silence_frames=2).collect()
+    assert [r.label for r in got if r.tier == "phones"] == ["", "b", "a", ""] and [r.label for r in got if r.tier == "words"] == ["", "ba", ""] and {r.bundle_id for r in got} == {7}
+    with pytest.raises(ValueError, match="x"):
+        align.align_transcript(e, [("x", "x")], {"b": 1})
+    with pytest.raises(ValueError, match="no phones"):
+        align.align_transcript(e, [("", "")], {"b": 1})
+
+
+def test_swipe_splines_and_published_medians():
+    x = np.arange(9.0)
+    assert np.allclose(swipe.spline((x**3 - 2 * x)[:, None], 1.0, np.array([0.3, 4.5, 7.9]))[:, 0], [v**3 - 2 * v for v in (0.3, 4.5, 7.9)])
+    assert swipe.primes(20).tolist() == [2, 3, 5, 7, 11, 13, 17, 19] and swipe.primes(0).tolist() == []
+    t = np.arange(8000) / 16_000
+    for f0, median in ((150, 150.101407), (220, 220.0789), (330, 330.341525)):  # medians of the authors' own program
+        tone = sum(np.sin(2 * np.pi * h * f0 * t) / h for h in range(1, 11))
+        p = swipe.pitch_swipe(tone / np.abs(tone).max(), 16_000, 100.0, 600.0)
+        assert abs(np.median(p["hz"][p["voicing"] >= 0.3]) - median) < 0.05
+    assert len(swipe.pitch_swipe(np.zeros(0), 16_000)["t"]) == 0 and not swipe.pitch_swipe(np.zeros(4000), 16_000)["voicing"].any()
 
 
 @pytest.mark.parametrize("size", [160, 700, 5000])
@@ -265,6 +302,7 @@ def test_live_frames_do_not_depend_on_chunks(spark, tmp_path, size):
     live.start(live.hop_frames(source), lambda df, _: got.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
     want = live.frames_of(x.astype(float), 0, 8_000, 75.0, 500.0)
     assert np.allclose(sorted(r.t for r in got), want["t"]) and np.allclose([r.rms for r in sorted(got, key=lambda r: r.t)], want["rms"], atol=1e-6)
+    assert all(np.allclose(r.frequencies, f) for r, f in zip(sorted(got, key=lambda r: r.t), want["frequencies"], strict=True))
     assert live.meter(spark.createDataFrame(rows, live.CHUNK)).agg(F.sum("n")).first()[0] == len(x)
 
 
