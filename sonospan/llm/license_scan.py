@@ -8,11 +8,15 @@ shingle hashes; each is a band of one row, and a shared value is a collision.
 A template shorter than ``PIECE_WORDS`` meets windows of five words, one a word:
 such a window has one shingle, its MinHash is that shingle, and a shared shingle
 collides for certain.  A longer template is cut into pieces of ``PIECE_WORDS``
-words; windows of ``WINDOW`` shingles every ``STRIDE`` hold any such piece
-whole.  The least hash of a piece that is there is among the window's ``BANDS``
-least unless that many of the window's other shingles are smaller, which has
-probability (24 / 60) ** 8 = 0.0007 at most; every further hash of the piece and
-every further piece of the template is another chance.
+words; windows of ``WINDOW`` (60) shingles every ``STRIDE`` hold any such piece
+whole.  A document that holds 80 % of a template has lost a fifth of its shingles
+at most.  A template of one piece has up to 75, so its piece of 36 loses 15 at
+most; of more pieces, the least damaged one loses 11 at most.  That is less than
+``BANDS`` (16): one of the piece's 16 least hashes is left, and it is the least of
+those left.  A window that holds the other 21 or more collides unless its own 16
+least hashes are all foreign, which has probability (39 / 60) ** 16 = 0.001 at
+most.  Further pieces and windows are more chances.  This holds for words that
+are changed or lost, and for inserted ones while a window still spans the piece.
 
 Verify: a retrieved template matches a document that holds at least 80 % of its
 distinct shingles.
@@ -33,7 +37,7 @@ SHINGLE = 5
 PIECE_WORDS = 40
 STRIDE = 20
 WINDOW = PIECE_WORDS - SHINGLE + 1 + STRIDE + 4
-BANDS = 8
+BANDS = 16
 CONTAINED = (80, 100)
 BREAK = r"[^\p{L}\p{N}]+"
 
