@@ -62,11 +62,16 @@ def token_packer(path: str, words_held: int = WORDS_HELD):
     ids = pretokens.TwoTier({}, lambda t: packed(pretokens.model_ids(tok, t)), room=words_held).__getitem__
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special) or (not text.isascii() and pretokens.UNSURE.search(text)):
+        if any(s in text for s in special):
             return packed(tok.encode(text, add_special_tokens=False).ids)
-        text = pretokens.normalized_words(text)
-        split = (pretokens.WORD_PATTERN if pretokens.NOT_LATIN.search(text) else pretokens.LATIN_WORD_PATTERN).findall
-        return b"".join(b"".join(map(ids, split(piece))) for piece in pretokens.pieces(text))
+        return b"".join(map(of_piece, pretokens.pieces(text)))
+
+    def of_piece(piece: str) -> bytes:
+        if not piece.isascii() and pretokens.UNSURE.search(piece):
+            return packed(tok.encode(piece, add_special_tokens=False).ids)
+        piece = pretokens.normalized_words(piece)
+        split = (pretokens.WORD_PATTERN if pretokens.NOT_LATIN.search(piece) else pretokens.LATIN_WORD_PATTERN).findall
+        return b"".join(map(ids, split(piece)))
 
     return encode
 

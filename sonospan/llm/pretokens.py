@@ -1,8 +1,9 @@
 """Splitting text into pre-tokens exactly as the two public byte-pair tokenizers do.
 
 A pre-token is encoded on its own, so its ids depend on nothing around it and
-can be looked up.  Texts holding a special string, or a character on which this
-Unicode database and the tokenizer's differ, are left to the tokenizer itself.
+can be looked up.  Pieces holding a character on which this Unicode database and
+the tokenizer's differ, and whole texts holding a special string, are left to the
+tokenizer itself.
 """
 
 from __future__ import annotations

@@ -70,6 +70,16 @@ def test_token_counts_with_a_small_table_and_cache(docs):
     assert [tiers[x] for x in ("a", "bb", "cc", "ddd", "a")] == [1, 2, 2, 3, 1]
 
 
+def test_very_long_texts_with_characters_left_to_the_library_are_cut(monkeypatch):
+    monkeypatch.setattr(pretokens.pieces, "__defaults__", (40,))
+    r = random.Random(9)
+    text = " ".join(r.choice(["wörd", "\U0001f600", "a\U0001f600b", "é\u0301", "Ω's", "  ", "\n", "x1"]) for _ in range(400))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.token_counter(path, {})(text) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert best_fit_packing.token_packer(path)(text) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_token_counts_of_no_rows(none):
     assert token_counts.token_counts(none, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
@@ -528,6 +538,22 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_scan(docs).collect() == [] and license_scan.license_scan(none).collect() == []
 
 
+def test_license_scan_finds_templates_damaged_up_to_the_bound(spark):
+    r, rows, want = random.Random(8), [], set()
+    for i in range(400):
+        name, text = list(license_scan.TEMPLATES.items())[i % len(license_scan.TEMPLATES)]
+        whole = license_scan.template_words(text)
+        sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        damaged, before = whole, whole
+        while 100 * len(sets(damaged) & sets(whole)) >= 80 * len(sets(whole)):  # as much damage as the bound lets through
+            before, damaged = damaged, list(damaged)
+            damaged[r.randrange(len(damaged))] = f"zz{r.randrange(10**6)}"
+        rows.append((i, words(r, r.randrange(200)) + " " + " ".join(before) + " " + words(r, r.randrange(200))))
+        want.add((i, name))
+    got = {(x.doc_id, x.license) for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got
+
+
 # 10: similarity groups
 
 
