@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from sonospan.llm.best_fit_packing import pack
 from sonospan.llm.budget_mix import budget_mix
+from sonospan.llm.hard_negatives import hard_negatives
 from sonospan.llm.html_text import page_texts
 from sonospan.llm.jaccard_join import jaccard_groups
 from sonospan.llm import license_scan as licenses
 from sonospan.llm.line_dedup import line_dedup
 from sonospan.llm.quality_rules import quality_rules
+from sonospan.llm import source_audit as sources
 from sonospan.llm.suffix_dedup import suffix_dedup
 from sonospan.llm.token_counts import token_counts
+from sonospan.llm.vector_links import vector_links
 from sonospan.llm.vector_topk import top_k
 
 
@@ -80,6 +83,56 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE
+    WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND a.e IS NOT NULL AND b.e IS NOT NULL WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), component AS (
+  SELECT reach.a AS r, min(v.vec_id) AS least FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a
+), links AS (
+  SELECT a AS r, count(*) AS n FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(links.n, 0)::BIGINT AS n_links, coalesce(least, v.vec_id) AS component_id, v.vec_id = coalesce(least, v.vec_id) AS kept
+FROM v LEFT JOIN component USING (r) LEFT JOIN links USING (r)
+"""
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.r AS cr, c.vec_id, a.l = c.l AS same, coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS slot FROM s WHERE same QUALIFY slot <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.slot ORDER BY s.score DESC, s.vec_id, s.cr)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_line_dedup": op2_line_dedup,
@@ -91,9 +144,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_links": op11_vector_links,
+    "op12_source_audit": op12_source_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
     "op8_license_scan": licenses.oracle_sql(),
+    "op11_vector_links": OP11_SQL,
+    "op12_source_audit": sources.oracle_sql(),
+    "op13_hard_negatives": OP13_SQL,
 }
