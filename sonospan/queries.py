@@ -378,3 +378,4 @@ from sonospan import audio_queries  # noqa: E402
 QUERIES |= audio_queries.QUERIES
 
 from sonospan import corpus_queries  # noqa: E402, F401
+from sonospan import live_queries  # noqa: E402, F401

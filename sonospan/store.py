@@ -2,15 +2,20 @@
 
 Every change writes the rows it touches, and nothing else, as a new batch of
 each table and of the audit log; a marker file written last makes all of them
-visible at once, so a failed change leaves the old state.  A table is its batches
-up to the last marker: their union while rows were only added, the latest row of
-each id otherwise.  ``compact`` rewrites a table as one batch.  One writer at a
-time is assumed.
+visible at once, so a failed change leaves the old state.  Every attempt writes to
+paths of its own that its marker names, so what a failed one left is never read
+and never in the way.  A table is its batches up to the last marker: their union
+while rows were only added, the latest row of each id otherwise.  ``compact``
+rewrites a table as one batch.  Of two writers that meet, the second is told by
+the marker.  A change may carry a token, such as a stream's name and epoch: a
+token that is there already makes the change do nothing, so a replayed batch lands
+once.  ``as_of`` reads an earlier version.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +26,8 @@ TABLES = {
     "instrument": "id long, name string, calibration string",
     "session": "id long, name string, instrument_id long, extra string",
     "bundle": "id long, name string, audio_relative_path string, sample_rate int, channels int, n_frames long, session_id long, speaker_id long, extra string",
-    "audio": "id long, bundle_id long, content binary",
+    "audio": "id long, bundle_id long, content binary, first_frame long",
+    "recording_part": "id long, recording string, sample_rate int, first_frame long, n_frames long, lost long, content binary, closed boolean",
     "tier": "id long, bundle_id long, name string, type string, parent_id long, cardinality string, extra string",
     "annotation_interval": "id long, tier_id long, start_seconds double, end_seconds double, label string, parent_annotation_id long, status string, note string, processing_run_id long, extra string",
     "annotation_point": "id long, tier_id long, time_seconds double, label string, parent_annotation_id long, status string, note string, processing_run_id long, extra string",
@@ -82,6 +88,8 @@ class Corpus:
         self.clock = clock or (lambda: datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z")
         self._markers: dict[int, dict] = {}
         self._staged = 0
+        #: the last commit that reads see; none: all
+        self.version: int | None = None
 
     # ---- the log
 
@@ -100,18 +108,38 @@ class Corpus:
                 stream = fs.open(self._path(f"_commits/{n}")[0])
                 self._markers[n] = json.loads(bytes(stream.readAllBytes()).decode())
                 stream.close()
-        return [{"n": n, **self._markers[n]} for n in numbers]
-
-    def _batches(self, name: str) -> tuple[list[int], bool]:
-        """Batches of a table, and whether they change earlier rows."""
-        found: list[int] = []
+        return [{"n": n, **self._markers[n]} for n in numbers if self.version is None or n <= self.version]
+
+    def as_of(self, version: int) -> Corpus:
+        """The corpus as it was after commit ``version``, to read only."""
+        seen = Corpus(self.spark, self.root, self.user, self.clock)
+        seen.version = version
+        return seen
+
+    def versions(self) -> list[int]:
+        return [m["n"] for m in self._read_markers()]
+
+    def has(self, token: str) -> bool:
+        """Whether a change with this token has landed."""
+        return any(m.get("token") == token for m in self._read_markers())
+
+    def _next(self) -> tuple[int, str]:
+        """The number of the next commit, and a name for this attempt at it."""
+        if self.version is not None:
+            raise StoreError("an earlier version is read only")
+        return max((m["n"] for m in self._read_markers()), default=0) + 1, uuid.uuid4().hex
+
+    def _batches(self, name: str) -> tuple[list[str], bool]:
+        """Folders of a table's batches, and whether they change earlier rows."""
+        found: list[str] = []
         changed = False
         for marker in self._read_markers():
             op = marker["tables"].get(name, {}).get("op")
+            path = f"batch={marker['n']}/attempt={marker['attempt']}"
             if op == "base":
-                found, changed = [marker["n"]], False
+                found, changed = [path], False
             elif op:
-                found.append(marker["n"])
+                found.append(path)
                 changed = changed or op != "insert"
         return found, changed
 
@@ -121,7 +149,7 @@ class Corpus:
         if not found:
             return self.spark.createDataFrame([], TABLES[name])
         reader = self.spark.read.schema(f"{TABLES[name]}, _deleted boolean, batch long").option("basePath", f"{self.root}/{name}")
-        rows = reader.parquet(*[f"{self.root}/{name}/batch={n}" for n in found])
+        rows = reader.parquet(*[f"{self.root}/{name}/{path}" for path in found]).drop("attempt")
         if not changed:
             return rows.select(*names(name))
         latest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "batch").alias("r"))
@@ -131,16 +159,18 @@ class Corpus:
         """One past the largest id ever given, deleted rows included."""
         return max((m["tables"].get(name, {}).get("last_id", 0) for m in self._read_markers()), default=0) + 1
 
-    def commit(self, changes: list[tuple[str, str, DataFrame]]) -> None:
+    def commit(self, changes: list[tuple[str, str, DataFrame]], token: str | None = None) -> None:
         """(table, "insert", "update" or "delete", rows): all of them or none.  Inserted rows have ids, deleted ones are the rows that go."""
-        n = max((m["n"] for m in self._read_markers()), default=0) + 1
-        marker: dict = {"user": self.user, "at": self.clock(), "tables": {}}
+        if token is not None and self.has(token):
+            return
+        n, attempt = self._next()
+        marker: dict = {"user": self.user, "at": self.clock(), "attempt": attempt, "token": token, "tables": {}}
         tables: dict[str, list[tuple[str, DataFrame]]] = {}
         for name, op, rows in changes:
             tables.setdefault(name, []).append((op, rows.select(*names(name))))
         audit: DataFrame | None = None
         for name, parts in tables.items():
-            path = f"{self.root}/{name}/batch={n}"
+            path = f"{self.root}/{name}/batch={n}/attempt={attempt}"
             both: DataFrame | None = None
             for op, rows in parts:
                 rows = rows.withColumns({"_deleted": F.lit(op == "delete"), "_op": F.lit(op)})
@@ -160,29 +190,49 @@ class Corpus:
         if audit is None:
             return
         log = audit.withColumns({"id": F.lit(n << 40) + F.monotonically_increasing_id(), "user": F.lit(self.user), "at": F.lit(marker["at"])})
-        log.select(*names("audit_log")).withColumn("_deleted", F.lit(False)).write.mode("append").parquet(f"{self.root}/audit_log/batch={n}")
+        log.select(*names("audit_log")).withColumn("_deleted", F.lit(False)).write.parquet(f"{self.root}/audit_log/batch={n}/attempt={attempt}")
         marker["tables"]["audit_log"] = {"op": "insert", "last_id": 0}
         self._mark(n, marker)
 
     def _mark(self, n: int, marker: dict) -> None:
         path, fs = self._path(f"_commits/{n}")
-        stream = fs.create(path, False)  # a second writer fails here
+        if fs.exists(path):
+            raise StoreError(f"another writer has made commit {n}")
+        # written aside and renamed: a marker is there as a whole or not at all, and of two writers one fails here
+        aside = self._path(f"_commits/_{n}-{marker['attempt']}")[0]
+        stream = fs.create(aside, False)
         stream.write(bytearray(json.dumps(marker).encode()))
         stream.close()
+        if not fs.rename(aside, path):
+            fs.delete(aside, False)
+            raise StoreError(f"another writer has made commit {n}")
 
     def compact(self, *tables: str) -> None:
         """Rewrite tables as one batch each."""
-        n = max((m["n"] for m in self._read_markers()), default=0) + 1
-        marker: dict = {"user": self.user, "at": self.clock(), "tables": {}}
+        n, attempt = self._next()
+        marker: dict = {"user": self.user, "at": self.clock(), "attempt": attempt, "tables": {}}
         for name in tables:
-            self.table(name).withColumn("_deleted", F.lit(False)).write.parquet(f"{self.root}/{name}/batch={n}")
+            self.table(name).withColumn("_deleted", F.lit(False)).write.parquet(f"{self.root}/{name}/batch={n}/attempt={attempt}")
             marker["tables"][name] = {"op": "base", "last_id": self.next_id(name) - 1}
         self._mark(n, marker)
 
+    def swept(self) -> list[str]:
+        """Delete what failed attempts left, and what is staged; returns the folders.  No other writer may be at work."""
+        kept, gone = {f"batch={m['n']}/attempt={m['attempt']}" for m in self._read_markers()}, []
+        for name in (*TABLES, "_staged"):
+            path, fs = self._path(name)
+            for batch in fs.listStatus(path) if fs.exists(path) else []:
+                for attempt in fs.listStatus(batch.getPath()) if name != "_staged" else [batch]:
+                    at = attempt.getPath()
+                    if f"{batch.getPath().getName()}/{at.getName()}" not in kept:
+                        fs.delete(at, True)
+                        gone.append(f"{name}/{batch.getPath().getName()}" + f"/{at.getName()}" * (name != "_staged"))
+        return sorted(gone)
+
     def staged(self, rows: DataFrame) -> DataFrame:
         """Rows written outside the log and read back, so that a plan is computed once."""
         self._staged += 1
-        path = f"{self.root}/_staged/{max((m['n'] for m in self._read_markers()), default=0)}-{self._staged}-{id(self)}"
+        path = f"{self.root}/_staged/{self._staged}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 

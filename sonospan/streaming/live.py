@@ -1,24 +1,38 @@
-"""Live meters and hop frames over a stream of sample chunks.
+"""Live sessions: chunks of samples put in order, metered, analysed by frames and recorded into a corpus.
 
-A chunk is (session_id, first, sample_rate, samples): ``first`` is the index of
-its first sample.  Event time is index over rate, so frames lie where the stream
-began, whatever the chunks' sizes: one frame for every hop, none reused.
+A chunk is (session_id, first, sample_rate, samples, at, last): ``first`` is the
+index of its first sample, ``at`` when it was taken.  Sample time is index over
+rate, so frames lie where the stream began, whatever the chunks' sizes: one frame
+for every hop, none reused.  Samples that repeat are taken once.  A chunk that
+comes before an earlier one waits; what is missing before it counts as lost once
+``gap_seconds`` of event time have passed, or once too many samples wait.  A chunk
+with ``last`` ends a session at its end; so does silence of ``idle_seconds``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from sonospan.functions import columns as fn
 from sonospan.functions import dsp
+from sonospan.sources import formats
+from sonospan.store import Corpus, StoreError
 
-CHUNK = "session_id string, first long, sample_rate int, samples array<float>"
+CHUNK = "session_id string, first long, sample_rate int, samples array<float>, at timestamp, last boolean"
 FRAME = "session_id string, t double, rms double, db double, hz double, voicing double, voiced boolean, frequencies array<double>, bandwidths array<double>"
+PIECE = "session_id string, sample_rate int, first long, samples array<float>, lost long, closed boolean"
 WINDOW_SECONDS, HOP_SECONDS = 0.030, 0.010
+GAP_SECONDS, IDLE_SECONDS, DELAY_SECONDS = 5.0, 600.0, 60.0
+#: Samples of a session that may wait for an earlier chunk: 8 MB.
+MOST_EARLY = 1 << 21
 
 
 def meter(chunks: DataFrame, seconds: float = 0.1) -> DataFrame:
@@ -37,40 +51,234 @@ def frames_of(x: np.ndarray, first: int, rate: int, lo: float, hi: float) -> pd.
     return pd.DataFrame({"t": level["t"] + first / rate, "rms": level["rms"], "db": level["db"], "hz": pitch["hz"], "voicing": pitch["voicing"], "voiced": pitch["voicing"] >= 0.45, **formants})
 
 
-def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0) -> DataFrame:
-    """Frames of every session as its chunks arrive.
+class Order:
+    """The samples of one session in order, from chunks in any."""
+
+    #: next sample, rate, event time of the last chunk, whether the session has ended; early chunks (index, due, size, end mark) and their samples
+    STATE = "next long, rate int, latest long, closed boolean, early_table binary, early_samples binary"
+
+    def __init__(self, state: tuple = (0, 0, 0, False, b"", b"")):
+        self.next, self.rate, self.latest, self.closed = state[:4]
+        table, samples = np.frombuffer(state[4], dtype="<i8").reshape(-1, 4), np.frombuffer(state[5], dtype="<f4")
+        ends = np.cumsum(table[:, 2])
+        self.early = [(int(f), int(due), samples[e - n : e], bool(last)) for (f, due, n, last), e in zip(table, ends, strict=True)]
+
+    def state(self) -> tuple:
+        table = np.array([(f, due, len(x), last) for f, due, x, last in self.early], dtype="<i8")
+        samples = np.concatenate([x for _, _, x, _ in self.early]) if self.early else np.zeros(0, dtype="<f4")
+        return self.next, self.rate, self.latest, self.closed, table.tobytes(), samples.astype("<f4").tobytes()
+
+    def take(self, chunks: list[tuple[int, int, np.ndarray, bool]], now: int, most_early: int = MOST_EARLY) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(first, samples, lost before) of every run that is now in order.  ``chunks``: first, due, samples, last."""
+        if self.closed:
+            return
+        waiting = sorted([*self.early, *chunks], key=lambda c: (c[0], -len(c[2])))
+        due = np.minimum.accumulate([c[1] for c in waiting][::-1])[::-1] if waiting else []
+        room = sum(len(c[2]) for c in waiting) - most_early
+        run: list[np.ndarray] = []
+        begun, lost, k = self.next, 0, 0
+        for k, (first, _, x, last) in enumerate(waiting):
+            if first > self.next:
+                if due[k] > now and room <= 0:
+                    break
+                if run or lost:
+                    yield begun, np.concatenate([np.zeros(0, dtype="<f4"), *run]), lost
+                run, begun, lost = [], first, first - self.next
+                self.next = first
+            if first + len(x) > self.next:
+                run.append(x[self.next - first :])
+                self.next = first + len(x)
+            room -= len(x)
+            if last:
+                self.closed = True
+                break
+        else:
+            k = len(waiting)
+        self.early = [] if self.closed else waiting[k:]
+        if run or lost:
+            yield begun, np.concatenate([np.zeros(0, dtype="<f4"), *run]), lost
+
+    def timer(self, idle: int) -> int:
+        """When something is due if nothing more comes."""
+        return min([self.latest + idle, *(due for _, due, _, _ in self.early)])
+
+
+def in_order(chunks: DataFrame, schema: str, state_schema: str, step, gap_seconds: float, idle_seconds: float, delay_seconds: float) -> DataFrame:
+    """``step(session, order, runs, extra)`` on every session that has new chunks or whose timer is due -> frames of ``schema`` and the new ``extra`` state."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    gap, idle = round(gap_seconds * 1000), round(idle_seconds * 1000)
+    extra_names = [c for c in state_schema.split(", ") if c]
+    kinds = {"binary": b"", "long": 0}
+    fresh = tuple(kinds[c.split()[1]] for c in extra_names)
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        order = Order(held[:6]) if held else Order()
+        extra = tuple(held[6:]) if held else fresh
+        came = []
+        for b in batches if not state.hasTimedOut else []:
+            for first, rate, samples, at, last in zip(b["first"], b["sample_rate"], b["samples"], b["at_ms"], b["last"], strict=True):
+                x = np.asarray(samples if samples is not None else [], dtype="<f4")
+                if rate and order.rate and rate != order.rate:
+                    raise ValueError(f"session {key[0]!r} changes its rate from {order.rate} to {int(rate)}")
+                order.rate, order.latest = order.rate or int(rate or 0), max(order.latest, int(at))
+                came.append((int(first), int(at) + gap, x, False))
+                if last:
+                    came.append((int(first) + len(x), int(at) + gap, x[:0], True))
+        now = state.getCurrentWatermarkMs()
+        closed = order.closed
+        runs = list(order.take(came, now))
+        if state.hasTimedOut and order.latest + idle <= now:
+            if closed:  # nothing came while the ended session was remembered
+                state.remove()
+                return
+            runs += list(order.take([], 1 << 62))
+            order.closed = True
+        made, extra = step(key[0], order, runs, extra, order.closed and not closed)
+        state.update((*order.state(), *extra))
+        state.setTimeoutTimestamp(max(order.timer(idle), now + 1))
+        if made is not None and len(made):
+            yield made[columns]
+
+    rows = chunks.withColumn("at_ms", F.unix_millis("at")).withColumn("last", F.coalesce("last", F.lit(False)))
+    rows = rows.filter("session_id is not null and first is not null and at is not null").withWatermark("at", f"{round(delay_seconds * 1000)} milliseconds")
+    return rows.groupBy("session_id").applyInPandasWithState(run, schema, ", ".join([Order.STATE, *extra_names]), "append", "EventTimeTimeout")
+
+
+def pieces(chunks: DataFrame, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS) -> DataFrame:
+    """Runs of samples in order, each once, with the samples lost before it; the last row of a session is ``closed``."""
+
+    def step(session, order, runs, extra, ended):
+        rows = [(session, order.rate, first, x, lost, False) for first, x, lost in runs]
+        if ended:
+            rows.append((session, order.rate, order.next, np.zeros(0, dtype="<f4"), 0, True))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")]), extra
+
+    return in_order(chunks, PIECE, "", step, gap_seconds, idle_seconds, delay_seconds)
+
+
+def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS) -> DataFrame:
+    """Frames of every session as its chunks arrive; a frame that lost samples touch is left out.
 
     State per session: the samples from the next frame's start on (less than a
-    window and a hop), where they begin, and chunks that came early.  A chunk
-    that repeats old samples adds nothing.
+    window and a hop), where they begin, and chunks that came early.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, at, rate, early = (np.frombuffer(state.get[0], dtype="<f4"), state.get[1], state.get[2], state.get[3]) if state.exists else (np.zeros(0, dtype="<f4"), 0, 0, b"")
-        waiting = [(int(r.first), np.asarray(r.samples, dtype="<f4"), int(r.sample_rate)) for b in batches for r in b.itertuples()]
-        if early:
-            table = np.frombuffer(early, dtype="<f8").reshape(-1, 2)
-            waiting += [(int(i), np.array([x], dtype="<f4"), rate) for i, x in table]
-        left = []
-        for first, x, r in sorted(waiting, key=lambda w: w[0]):
-            rate = r
-            end = at + len(held)
-            if first > end:
-                left.append((first, x))
-            elif first + len(x) > end:
-                held = np.concatenate([held, x[end - first :]])
-        if rate:
-            size, hop = dsp.sizes(rate, WINDOW_SECONDS, HOP_SECONDS)
+    def step(session, order, runs, extra, ended):
+        held, at = np.frombuffer(extra[0], dtype="<f4"), extra[1]
+        made = []
+        for first, x, lost in runs:
+            size, hop = dsp.sizes(order.rate, WINDOW_SECONDS, HOP_SECONDS)
+            if lost:  # begin anew at the next place of the same grid
+                held, at = held[:0], -(-first // hop) * hop
+            if not len(held):
+                x = x[max(0, at - first) :]
+            held = np.concatenate([held, x])
             n = (len(held) - size) // hop + 1 if len(held) >= size else 0
             if n > 0:
-                yield frames_of(held[: (n - 1) * hop + size].astype(float), at, rate, lo, hi).assign(session_id=key[0])[[c.split()[0] for c in FRAME.split(", ")]]
+                made.append(frames_of(held[: (n - 1) * hop + size].astype(float), at, order.rate, lo, hi).assign(session_id=session))
                 held, at = held[n * hop :], at + n * hop
-        early = np.array([(first + i, v) for first, x in left for i, v in enumerate(x)], dtype="<f8").tobytes()
-        state.update((held.astype("<f4").tobytes(), at, rate, early))
+        return (pd.concat(made) if made else None), (held.astype("<f4").tobytes(), at)
+
+    return in_order(chunks, FRAME, "held binary, held_at long", step, gap_seconds, idle_seconds, delay_seconds)
+
+
+# ---- recording
+
+
+def encoded(parts: DataFrame) -> DataFrame:
+    """Pieces as rows of ``recording_part``, their samples as WAV content."""
 
-    return chunks.groupBy("session_id").applyInPandasWithState(step, FRAME, "held binary, at long, rate int, early binary", "append", "NoTimeout")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [formats.encode_wav(np.asarray(x.values, dtype=float), rate or 1) if x.is_valid else None for rate, x in zip(batch.column(1).to_pylist(), batch.column(3), strict=True)]
+            sizes = [len(x) if x.is_valid else 0 for x in batch.column(3)]
+            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), batch.column(4), pa.array(content, pa.binary()), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(cols, ["recording", "sample_rate", "first_frame", "n_frames", "lost", "content", "closed"])
 
+    return parts.select(*[c.split()[0] for c in PIECE.split(", ")]).mapInArrow(run, "recording string, sample_rate int, first_frame long, n_frames long, lost long, content binary, closed boolean")
 
-def start(frames: DataFrame, sink, checkpoint: str, trigger: dict | None = None):
+
+def commit_recordings(corpus: Corpus, sessions: DataFrame | None = None, token: str | None = None) -> None:
+    """Ended sessions become bundles with their audio and a run of kind ``live_recording``, in one commit; their parts go.
+
+    ``sessions`` (recording) names the ones wanted, which must have ended and hold
+    a frame; without it, all ended ones are taken and those without a frame are
+    only dropped.  A recording's frames count what was lost; its audio is kept in
+    the parts it came in, each with its first frame.  Nothing ended changes
+    nothing.
+    """
+    if token is not None and corpus.has(token):
+        return
+    parts = corpus.table("recording_part")
+    ended = parts.filter("closed").select("recording").distinct()
+    if sessions is not None:
+        if not sessions.join(ended, "recording", "left_anti").isEmpty():
+            raise StoreError("recording: a session is not there or has not ended")
+        ended = ended.join(sessions, "recording", "left_semi")
+    gone = corpus.staged(parts.join(ended, "recording", "left_semi"))
+    if gone.isEmpty():
+        return
+    whole = gone.groupBy("recording").agg(F.max("sample_rate").alias("sample_rate"), F.max(F.col("first_frame") + F.col("n_frames")).alias("n_frames"), F.sum("n_frames").alias("kept"), F.sum("lost").alias("lost"))
+    if sessions is not None and not whole.filter("kept = 0").isEmpty():
+        raise StoreError("recording: no audio captured")
+    made = corpus.staged(corpus.numbered("bundle", whole.filter("kept > 0")))
+    path = F.concat(F.lit("audio/"), fn.safe_file_name(F.col("recording")), F.lit(".wav"))
+    none = {c: F.lit(None).cast(t) for c, t in (("session_id", "long"), ("speaker_id", "long"), ("extra", "string"))}
+    bundles = made.select("id", F.col("recording").alias("name"), path.alias("audio_relative_path"), "sample_rate", F.lit(1).alias("channels"), "n_frames").withColumns(none)
+    corpus._checked("bundle", bundles)
+    audio = corpus.numbered("audio", gone.filter("n_frames > 0").join(made.select("recording", F.col("id").alias("bundle_id")), "recording").select("bundle_id", "content", "first_frame"))
+    told = F.to_json(F.struct("sample_rate", F.lit(1).alias("channels"), (F.col("n_frames") / F.col("sample_rate")).alias("duration_s"), F.col("lost").alias("dropped_samples")))
+    active = corpus.table("recipe_run").filter("status = 'running'").first()
+    runs = made.select(F.col("id").alias("bundle_id"), F.lit("live_recording").alias("kind"), F.lit("live").alias("processor_id"), told.alias("parameters"), F.lit("done").alias("status"), F.lit(active["id"] if active else None).cast("long").alias("recipe_run_id"))
+    changes = [("bundle", "insert", bundles), ("audio", "insert", audio), ("processing_run", "insert", corpus.numbered("processing_run", runs)), ("recording_part", "delete", gone)]
+    corpus.commit(changes, token)
+
+
+class Recorder:
+    """A sink of ``pieces``: every micro-batch lands in the corpus once, however often it is replayed."""
+
+    def __init__(self, corpus: Corpus, stream: str):
+        self.corpus, self.stream = corpus, stream
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        token = f"{self.stream}:{epoch}"
+        if not self.corpus.has(f"{token}:parts"):
+            parts = self.corpus.staged(encoded(batch))
+            if not parts.isEmpty():
+                self.corpus.commit([("recording_part", "insert", self.corpus.numbered("recording_part", parts))], f"{token}:parts")
+        commit_recordings(self.corpus, token=f"{token}:recordings")
+
+
+class FrameTable:
+    """A sink that keeps frames as Parquet, one folder an epoch: a replayed epoch is written again in its place."""
+
+    def __init__(self, corpus: Corpus, stream: str):
+        self.corpus, self.path = corpus, f"{corpus.root}/_frames/{stream}"
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def read(self) -> DataFrame:
+        return self.corpus.spark.read.schema(FRAME).parquet(self.path)
+
+
+def start(frames: DataFrame, sink, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Run ``sink(batch, epoch)`` on every micro-batch; stop the query to end the session, delete the checkpoint to discard it."""
     return frames.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def record(corpus: Corpus, chunks: DataFrame, stream: str, trigger: dict | None = None, **how: float) -> StreamingQuery:
+    """Record a stream of chunks into a corpus; its checkpoint lies beside the corpus, so a stream of that name goes on where it stopped."""
+    return start(pieces(chunks, **how), Recorder(corpus, stream), f"{corpus.root}/_streams/{stream}", trigger)
+
+
+def stop(query: StreamingQuery) -> None:
+    """Take what is there, then stop."""
+    query.processAllAvailable()
+    query.stop()
+
+
+def discard(corpus: Corpus, recording: str) -> int:
+    """Drop what is recorded of a session that is not committed; again changes nothing."""
+    return corpus.delete("recording_part", F.col("recording") == recording)

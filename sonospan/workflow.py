@@ -505,7 +505,7 @@ def add_recordings(corpus: Corpus, audio: DataFrame, session_id: int | None = No
     made = audio.select("name", "sample_rate", "channels", "samples").mapInArrow(encode, "name string, sample_rate int, channels int, n_frames long, content binary")
     rows = corpus.staged(corpus.numbered("bundle", made))
     bundles = rows.select("id", "name", F.concat(F.lit("audio/"), "id", F.lit(".wav")).alias("audio_relative_path"), "sample_rate", "channels", "n_frames", F.lit(session_id).cast("long").alias("session_id"), F.lit(speaker_id).cast("long").alias("speaker_id"), F.lit(None).cast("string").alias("extra"))
-    contents = corpus.numbered("audio", rows.select(F.col("id").alias("bundle_id"), "content"))
+    contents = corpus.numbered("audio", rows.select(F.col("id").alias("bundle_id"), "content", F.lit(0).cast("long").alias("first_frame")))
     corpus._checked("bundle", bundles)
     corpus.commit([("bundle", "insert", bundles), ("audio", "insert", contents)])
     return rows.count()
@@ -520,20 +520,20 @@ def add_split(corpus: Corpus, audio: DataFrame, seconds: float) -> int:
 
 
 def load_audio(corpus: Corpus, bundles: DataFrame | None = None) -> DataFrame:
-    """bundle_id, sample_rate, channels and samples of the corpus's recordings."""
+    """bundle_id, sample_rate, channels, samples and first_frame of the corpus's recordings; live ones come in parts, a row for each."""
     import pyarrow as pa
 
     from sonospan.sources import formats
 
     def decode(batches):
         for batch in batches:
-            for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bundle, content, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 rate, channels, samples = formats.decode_wav(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))], ["bundle_id", "sample_rate", "channels", "samples"])
+                yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples)), pa.array([first], pa.int64())], ["bundle_id", "sample_rate", "channels", "samples", "first_frame"])
 
-    rows = corpus.table("audio").select("bundle_id", "content")
+    rows = corpus.table("audio").select("bundle_id", "content", F.coalesce("first_frame", F.lit(0)).alias("first_frame"))
     rows = rows if bundles is None else rows.join(bundles, "bundle_id", "left_semi")
-    return rows.mapInArrow(decode, "bundle_id long, sample_rate int, channels int, samples array<float>")
+    return rows.mapInArrow(decode, "bundle_id long, sample_rate int, channels int, samples array<float>, first_frame long")
 
 
 def write_alignment(corpus: Corpus, aligned: DataFrame, processor: str, parameters: dict | None = None) -> int:
