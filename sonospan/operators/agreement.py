@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonospan.operators.intervals import frame_grid, label_at, range_join
+from sonospan.operators.matching import match_intervals, match_points
+from sonospan.operators.sweep import frame_pairs
 
 NO_LABEL = "␀none"
 
@@ -17,17 +17,19 @@ def kappa(po: Column, pe: Column, n: Column) -> Column:
     return F.when(n == 0, 0.0).when(certain, F.when(F.abs(1 - po) < 1e-12, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe))
 
 
-def cohen_kappa(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """n, percent_agreement and kappa by ``keys``.
+def cohen_kappa(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", weight: str | None = None) -> DataFrame:
+    """n, percent_agreement and kappa by ``keys``; a row counts ``weight`` times.
 
-    The joint counts are aggregated once; marginals come from them, so what is
-    joined has a row for each pair of labels, not for each pair of units.
+    Each pair adds to the margins of its two labels, so one aggregation by label
+    and one by key give all counts: nothing is joined.
     """
-    joint = pairs.groupBy(*keys, F.coalesce(F.col(a), F.lit(NO_LABEL)).alias("a"), F.coalesce(F.col(b), F.lit(NO_LABEL)).alias("b")).agg(F.count("*").alias("n"))
-    total = joint.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    of_a, of_b = (joint.groupBy(*keys, F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
-    chance = of_a.join(of_b, [*keys, "label"]).groupBy(*keys).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("chance"))
-    rows = total.join(chance, keys, "left") if keys else total.crossJoin(chance)
+    n = F.col(weight) if weight else F.lit(1)
+    x, y = F.coalesce(F.col(a), F.lit(NO_LABEL)), F.coalesce(F.col(b), F.lit(NO_LABEL))
+    side = lambda label, of_a, of_b, same: F.struct(label.alias("label"), of_a.alias("of_a"), of_b.alias("of_b"), same.alias("same"))
+    none = F.lit(0).cast("long")
+    margins = pairs.select(*keys, F.explode(F.array(side(x, n.cast("long"), none, F.when(x == y, n).otherwise(0).cast("long")), side(y, none, n.cast("long"), none))).alias("m")).select(*keys, "m.*")
+    by_label = margins.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("of_a", "of_b", "same")])
+    rows = by_label.groupBy(*keys).agg(F.sum("of_a").alias("n"), F.sum("same").alias("same"), F.sum(F.col("of_a") * F.col("of_b")).alias("chance"))
     po, pe = F.col("same") / F.col("n"), F.coalesce(F.col("chance"), F.lit(0)) / (F.col("n") * F.col("n"))
     return rows.select(*keys, "n", po.alias("percent_agreement"), kappa(po, pe, F.col("n")).alias("kappa"))
 
@@ -40,118 +42,12 @@ def deviations(matched: DataFrame, keys: list[str], deviation: str, tolerance: f
 
 def frame_agreement(a: DataFrame, b: DataFrame, step: float = 0.01) -> DataFrame:
     """Frame percent agreement and kappa by bundle, on centres (k + 0.5) * step up to the last end of either side."""
-    ends = a.select("bundle_id", "end").unionByName(b.select("bundle_id", "end")).groupBy("bundle_id").agg(F.max("end").alias("extent"))
-    grid, bucket = frame_grid(ends, step), 100 * step
-    both = label_at(grid, a, "a", bucket_seconds=bucket).join(label_at(grid, b, "b", bucket_seconds=bucket).select("bundle_id", "k", "b"), ["bundle_id", "k"])
-    return cohen_kappa(both, ["bundle_id"])
-
-
-def greedy(candidates: list[tuple], sides: tuple[int, int]) -> list[tuple]:
-    """Candidates in order, each side's units used once."""
-    used_a, used_b, out = set(), set(), []
-    for c in candidates:
-        if c[sides[0]] not in used_a and c[sides[1]] not in used_b:
-            used_a.add(c[sides[0]])
-            used_b.add(c[sides[1]])
-            out.append(c)
-    return out
-
-
-def match_intervals(a: DataFrame, b: DataFrame, bucket_seconds: float | None = None) -> DataFrame:
-    """Greedy one-to-one matching by (overlap descending, a, b) in each bundle: bundle_id, a_id, b_id, labels, times.
-
-    Order of a and b is (start, id).  Candidates come from a range join; only
-    those of one bundle meet in a task.
-    """
-    x = a.select("bundle_id", F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("label").alias("a_label"))
-    y = b.select("bundle_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("label").alias("b_label"))
-    overlap = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    met = range_join(x, y, (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")), bucket_seconds=bucket_seconds)
-    found = met.withColumn("overlap", overlap).filter("overlap > 0")
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["overlap", "a_start", "a_id", "b_start", "b_id"], ascending=[False, True, True, True, True]).reset_index(drop=True)
-        kept = greedy(list(zip(rows.index, rows["a_id"], rows["b_id"], strict=True)), (1, 2))
-        return rows.loc[[k[0] for k in kept]]
-
-    return found.groupBy("bundle_id").applyInPandas(take, found.schema)
-
-
-def match_points(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Greedy one-to-one nearest matching over all pairs of a bundle, by (distance, a, b).
-
-    Only the sorted instants of a bundle meet, never their pairs: on a line the
-    globally nearest free pair is always a pair of neighbours, so a heap of
-    neighbouring pairs yields the greedy's choices in order.
-    """
-    both = a.select("bundle_id", F.lit(0).alias("side"), "id", "t", "label").unionByName(b.select("bundle_id", F.lit(1).alias("side"), "id", "t", "label"))
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        rows = rows.sort_values(["t", "side", "id"]).reset_index(drop=True)
-        t, side, ids, label = (rows[c].tolist() for c in ("t", "side", "id", "label"))
-        n = len(rows)
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = {}
-        for s in (0, 1):
-            for k, i in enumerate(sorted((i for i in range(n) if side[i] == s), key=lambda i: (t[i], ids[i]))):
-                rank[i] = k
-        heap: list[tuple] = []
-
-        def push(i: int, j: int) -> None:
-            """Pairs of the free point i with points from j on that are as near as the first of the other side."""
-            best = None
-            while j < n and (best is None or t[j] == best):
-                if side[j] != side[i]:
-                    x, y = (i, j) if side[i] == 0 else (j, i)
-                    heapq.heappush(heap, (abs(t[x] - t[y]), rank[x], rank[y], x, y))
-                    best = t[j]
-                j = nxt[j]
-
-        def around(i: int) -> None:
-            j = prv[i]
-            at = t[i]
-            while j >= 0:  # all free points at the nearest instant on the left
-                push(j, i)
-                if t[j] != at and prv[j] >= 0 and t[prv[j]] != t[j]:
-                    break
-                at = t[j]
-                j = prv[j]
-
-        for i in range(n):
-            push(i, i + 1)
-        out = []
-        while heap:
-            d, _, _, x, y = heapq.heappop(heap)
-            if not (alive[x] and alive[y]):
-                continue
-            alive[x] = alive[y] = False
-            out.append((rows["bundle_id"].iloc[0], ids[x], ids[y], t[x], t[y], label[x], label[y]))
-            for i in (x, y):
-                p, q = prv[i], nxt[i]
-                if p >= 0:
-                    nxt[p] = q
-                if q < n:
-                    prv[q] = p
-            right = min(q for q in (nxt[x], nxt[y]))
-            seen = set()
-            for q in (nxt[x], nxt[y], right):
-                while q < n and not alive[q]:
-                    q = nxt[q]
-                if q < n and q not in seen:
-                    seen.add(q)
-                    around(q)
-        return pd.DataFrame(out, columns=["bundle_id", "a_id", "b_id", "a_t", "b_t", "a_label", "b_label"])
-
-    schema = both.schema
-    kind = lambda c: schema[c].dataType.simpleString()
-    return both.groupBy("bundle_id").applyInPandas(take, f"bundle_id {kind('bundle_id')}, a_id {kind('id')}, b_id {kind('id')}, a_t double, b_t double, a_label string, b_label string")
+    return cohen_kappa(frame_pairs(a, b, step), ["bundle_id"], weight="n")
 
 
 def compare_intervals(a: DataFrame, b: DataFrame, tolerance: float = 0.02, step: float = 0.01) -> DataFrame:
     """The agreement report of two interval tiers by bundle."""
-    matched = match_intervals(a, b, 100 * step)
+    matched = match_intervals(a, b)
     both = matched.withColumn("d", F.explode(F.array(F.col("a_start") - F.col("b_start"), F.col("a_end") - F.col("b_end"))))
     counts = a.groupBy("bundle_id").agg(F.count("*").alias("n_a")).join(b.groupBy("bundle_id").agg(F.count("*").alias("n_b")), "bundle_id", "full_outer")
     units = cohen_kappa(matched, ["bundle_id"], "a_label", "b_label").withColumnsRenamed({"n": "n_matched", "percent_agreement": "percent_label_agreement", "kappa": "cohen_kappa"})

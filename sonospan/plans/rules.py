@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonospan.operators.intervals import EPS, bucketed, overlapping, within
+from sonospan.operators.intervals import EPS, overlapping, within
+from sonospan.operators.sweep import REDUCERS, reduced_in
 from sonospan.plans import expr
 
 
@@ -101,24 +102,18 @@ def aggregate(r: expr.Reduction, name: str) -> Column:
     return F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("t", "v")))).alias(name)
 
 
-def reduced(intervals: DataFrame, signals: DataFrame, wanted: list[expr.Reduction], bucket_seconds: float | None = None) -> DataFrame:
+def reduced(intervals: DataFrame, signals: DataFrame, wanted: list[expr.Reduction]) -> DataFrame:
     """``intervals`` with a column ``_r<i>`` for each reduction.  ``signals``: bundle_id, signal, t, v.
 
-    A sample lies in one time bucket, so an interval and a sample meet once.  One range join and one aggregation for each signal in interval scope, one
-    aggregation for each signal in file scope; only named signals are read.
+    One sorted sweep for each signal in interval scope, one aggregation for each
+    signal in file scope; only named signals are read.
     """
     out = intervals
     for signal in sorted({r.signal for r in wanted}):
         own = signals.filter(F.col("signal") == signal).select(F.col("bundle_id").alias("_b"), "t", "v")
         some = [(i, r) for i, r in enumerate(wanted) if r.signal == signal]
-        if here := [aggregate(r, f"_r{i}") for i, r in some if r.scope == "interval"]:
-            on = (F.col("bundle_id") == F.col("_b")) & F.col("t").between(F.col("start"), F.col("end"))
-            rows, samples = intervals.select("bundle_id", "id", "start", "end"), own
-            if bucket_seconds is not None:
-                rows, samples = bucketed(rows, "start", "end", bucket_seconds), own.withColumn("_c", F.floor(F.col("t") / bucket_seconds))
-                on = on & (F.col("_bucket") == F.col("_c"))
-            made = rows.join(samples, on).groupBy("bundle_id", "id").agg(*here)
-            out = out.join(made, ["bundle_id", "id"], "left")
+        if here := [(f"_r{i}", r.func if r.func in REDUCERS else "samples") for i, r in some if r.scope == "interval"]:
+            out = reduced_in(out, own.withColumnRenamed("_b", "bundle_id"), here)
         if whole := [aggregate(r, f"_r{i}") for i, r in some if r.scope == "file"]:
             out = out.join(own.groupBy(F.col("_b").alias("bundle_id")).agg(*whole), "bundle_id", "left")
     return out
@@ -150,7 +145,7 @@ def evaluate(rule: Rule, tiers: DataFrame, signals: DataFrame | None = None, buc
     rois = select_rois(rule, tiers, bucket_seconds)
     anchors = rule.anchors()
     wanted = list(dict.fromkeys(r for n in [*([rule.where] if rule.where else []), *anchors] for r in expr.reductions(n)))
-    rows = reduced(rois, signals, wanted, bucket_seconds) if wanted else rois
+    rows = reduced(rois, signals, wanted) if wanted else rois
     start, end = F.col("start"), F.col("end")
     found = values(wanted, start, end)
     if rule.where:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sonospan.functions import columns as fn
 from sonospan.functions import frames
-from sonospan.operators import agreement, campaign, intervals, refdist
+from sonospan.operators import agreement, campaign, intervals, matching, refdist
 from sonospan.plans import expr, rules
 from sonospan.plans import projections as view
 
@@ -22,13 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(sql: str | None = None):
+def register(sql: str | None = None, recursive: bool = False):
     """Register a query under its function's name, with its SQL twin."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {view.SQL.strip()}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}"
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{view.SQL.strip()}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}"
         return f
 
     return add
@@ -93,7 +93,7 @@ REDUCED = "round(avg(v), 6) AS mean, max(v) AS max, min(v) AS min, round(median(
 def signal_reducers_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = view.tiers(spark, sf_dir).filter("tier = 'words'").select("bundle_id", "id", "start", "end")
     wanted = reducers("interval")
-    made = rules.reduced(words, view.signal(spark, sf_dir), wanted, 86_400.0)
+    made = rules.reduced(words, view.signal(spark, sf_dir), wanted)
     return rounded(made.select("bundle_id", "id", *[F.col(f"_r{i}").alias(r.func) for i, r in enumerate(wanted)]))
 
 
@@ -144,20 +144,69 @@ def frame_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.frame_agreement(*sides(spark, sf_dir), FRAME_STEP))
 
 
-@register()
+SECOND = "b AS (SELECT bundle_id, id, s, e + 1 AS e, CASE WHEN id % 7 = 0 THEN 'other' ELSE label END AS label FROM iv)"
+
+
+def greedy_sql(order: str) -> str:
+    """A greedy matching of the pairs ``c`` in rounds: what is the best of both its sides is taken, and the free pairs go on."""
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY bundle_id, {side} ORDER BY {order}) AS r{side}" for side in ("a_id", "b_id"))
+    gone = ", ".join(f"bool_or(ra_id = 1 AND rb_id = 1) OVER (PARTITION BY bundle_id, {side}) AS g{side}" for side in ("a_id", "b_id"))
+    return f"""r AS (SELECT *, {ranks} FROM c
+UNION ALL SELECT * EXCLUDE (ga_id, gb_id), {ranks} FROM (SELECT * EXCLUDE (ra_id, rb_id), {gone} FROM r) WHERE NOT ga_id AND NOT gb_id),
+m AS (SELECT * EXCLUDE (ra_id, rb_id) FROM r WHERE ra_id = 1 AND rb_id = 1)"""
+
+
+MATCHED = SECOND + """, c AS (SELECT x.bundle_id, x.id AS a_id, x.s AS a_start, x.e AS a_end, x.label AS a_label, y.id AS b_id, y.s AS b_start, y.e AS b_end, y.label AS b_label, least(x.e, y.e) - greatest(x.s, y.s) AS overlap
+FROM iv x JOIN b y ON x.bundle_id = y.bundle_id AND x.s < y.e AND y.s < x.e), """ + greedy_sql("overlap DESC, a_start, a_id, b_start, b_id")
+
+
+@register("+ " + MATCHED + " SELECT bundle_id, a_id, round(a_start, 6) AS a_start, round(a_end, 6) AS a_end, a_label, b_id, round(b_start, 6) AS b_start, round(b_end, 6) AS b_end, b_label, round(overlap, 6) AS overlap FROM m", recursive=True)
 def interval_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(agreement.match_intervals(*sides(spark, sf_dir), 86_400.0))
+    return rounded(matching.match_intervals(*sides(spark, sf_dir)))
 
 
-@register()
+def kappa_sql(name: str, source: str, n: str, po: str, kappa: str) -> str:
+    """A table ``name`` of kappa by bundle over the labels (a, b) of ``source``."""
+    return f"""{name}j AS (SELECT bundle_id, a, b, count(*) AS n FROM {source} GROUP BY ALL), {name}t AS (SELECT bundle_id, sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS same FROM {name}j GROUP BY ALL),
+{name}c AS (SELECT bundle_id, sum(x.n * y.n) AS chance FROM (SELECT bundle_id, a AS l, sum(n) AS n FROM {name}j GROUP BY ALL) x JOIN (SELECT bundle_id, b AS l, sum(n) AS n FROM {name}j GROUP BY ALL) y USING (bundle_id, l) GROUP BY ALL),
+{name}k AS (SELECT bundle_id, t.n::BIGINT AS n, same / t.n AS po, coalesce(chance, 0) / (t.n * t.n) AS pe FROM {name}t t LEFT JOIN {name}c USING (bundle_id)),
+{name} AS (SELECT bundle_id, n AS {n}, round(po, 6) AS {po}, round(CASE WHEN abs(1 - pe) < 1e-12 THEN CASE WHEN abs(1 - po) < 1e-12 THEN 1 ELSE 0 END ELSE (po - pe) / (1 - pe) END, 6) AS {kappa} FROM {name}k)"""
+
+
+FRAMES_SQL = """x AS (SELECT bundle_id, max(e) AS extent FROM b GROUP BY 1), g AS (SELECT bundle_id, k, (k + 0.5) * 21600 AS t FROM (SELECT bundle_id, unnest(range(0, ceil(extent / 21600)::BIGINT)) AS k FROM x)),
+la AS (SELECT g.bundle_id, g.k, coalesce(arg_min(i.label, (i.s, i.id)), '∅') AS a FROM g LEFT JOIN iv i ON i.bundle_id = g.bundle_id AND i.s <= g.t AND g.t < i.e GROUP BY 1, 2),
+lb AS (SELECT g.bundle_id, g.k, coalesce(arg_min(i.label, (i.s, i.id)), '∅') AS b FROM g LEFT JOIN b i ON i.bundle_id = g.bundle_id AND i.s <= g.t AND g.t < i.e GROUP BY 1, 2),
+fu AS (SELECT bundle_id, a, b FROM la JOIN lb USING (bundle_id, k))"""
+REPORTED = f"""mu AS (SELECT bundle_id, a_label AS a, b_label AS b FROM m), {kappa_sql('mk', 'mu', 'n_matched', 'percent_label_agreement', 'cohen_kappa')},
+d AS (SELECT bundle_id, round(avg(abs(d)), 6) AS mean_abs_diff, round(avg((abs(d) <= 0.02)::INT), 6) AS within_tolerance FROM (SELECT bundle_id, unnest([{{deviation}}]) AS d FROM m) GROUP BY 1)"""
+
+
+@register("+ " + MATCHED + ", " + REPORTED.format(deviation="a_start - b_start, a_end - b_end") + ", " + FRAMES_SQL + ", " + kappa_sql("fk", "fu", "frames", "frame_percent_agreement", "frame_kappa") + """,
+n AS (SELECT bundle_id, count(*) AS n_a FROM iv GROUP BY 1)
+SELECT bundle_id, n_a, n_a AS n_b, n_matched, percent_label_agreement, cohen_kappa, mean_abs_diff, within_tolerance, frame_percent_agreement, frame_kappa, n_a - n_matched AS n_only_a, n_a - n_matched AS n_only_b
+FROM n JOIN mk USING (bundle_id) JOIN d USING (bundle_id) JOIN fk USING (bundle_id)""", recursive=True)
 def interval_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.compare_intervals(*sides(spark, sf_dir), 0.02, FRAME_STEP))
 
 
-@register()
+MATCHED_POINTS = """c AS (SELECT x.bundle_id, x.id AS a_id, y.id AS b_id, x.t AS a_t, y.t AS b_t, x.label AS a_label, y.label AS b_label FROM p x JOIN p y ON x.bundle_id = y.bundle_id AND x.id % 2 = 0 AND y.id % 2 = 1), """ + greedy_sql("abs(a_t - b_t), a_t, a_id, b_t, b_id")
+
+
+@register("+ " + MATCHED_POINTS + " SELECT bundle_id, a_id, b_id, round(a_t, 6) AS a_t, round(b_t, 6) AS b_t, a_label, b_label FROM m", recursive=True)
 def point_match_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view.points(spark, sf_dir)
-    return rounded(agreement.match_points(p.filter("id % 2 = 0"), p.filter("id % 2 = 1")))
+    return rounded(matching.match_points(p.filter("id % 2 = 0"), p.filter("id % 2 = 1")))
+
+
+@register("+ " + MATCHED_POINTS + ", " + REPORTED.format(deviation="a_t - b_t") + """,
+na AS (SELECT bundle_id, count(*) AS n_a FROM p WHERE id % 2 = 0 GROUP BY 1), nb AS (SELECT bundle_id, count(*) AS n_b FROM p WHERE id % 2 = 1 GROUP BY 1)
+SELECT bundle_id, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_matched, 0) AS n_matched, coalesce(percent_label_agreement, 0) AS percent_label_agreement, coalesce(cohen_kappa, 0) AS cohen_kappa,
+coalesce(mean_abs_diff, 0) AS mean_abs_diff, coalesce(within_tolerance, 0) AS within_tolerance, coalesce(n_a, 0) - coalesce(n_matched, 0) AS n_only_a, coalesce(n_b, 0) - coalesce(n_matched, 0) AS n_only_b
+FROM na FULL JOIN nb USING (bundle_id) LEFT JOIN mk USING (bundle_id) LEFT JOIN d USING (bundle_id)""", recursive=True)
+def point_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of two point tiers whose times differ."""
+    p = view.points(spark, sf_dir)
+    return rounded(agreement.compare_points(p.filter("id % 2 = 0"), p.filter("id % 2 = 1")))
 
 
 @register("""+ q AS (SELECT bundle_id, count(*) AS n, count(*) FILTER (label NOT IN ('A', 'N')) AS out_of_vocab, count(*) FILTER (coalesce(label, '') = '') AS missing_label FROM sh GROUP BY 1),

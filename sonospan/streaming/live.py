@@ -203,19 +203,23 @@ def commit_recordings(corpus: Corpus, sessions: DataFrame | None = None, token:
     """Ended sessions become bundles with their audio and a run of kind ``live_recording``, in one commit; their parts go.
 
     ``sessions`` (recording) names the ones wanted, which must have ended and hold
-    a frame; without it, all ended ones are taken and those without a frame are
-    only dropped.  A recording's frames count what was lost; its audio is kept in
+    a frame; without it, all ended ones are taken, those without a frame are only
+    dropped, and those whose file name a bundle has already stay as they are, to be
+    discarded or committed by hand.  A recording's frames count what was lost; its audio is kept in
     the parts it came in, each with its first frame.  Nothing ended changes
     nothing.
     """
     if token is not None and corpus.has(token):
         return
     parts = corpus.table("recording_part")
+    path = F.concat(F.lit("audio/"), fn.safe_file_name(F.col("recording")), F.lit(".wav"))
     ended = parts.filter("closed").select("recording").distinct()
     if sessions is not None:
         if not sessions.join(ended, "recording", "left_anti").isEmpty():
             raise StoreError("recording: a session is not there or has not ended")
         ended = ended.join(sessions, "recording", "left_semi")
+    else:
+        ended = ended.withColumn("audio_relative_path", path).join(corpus.table("bundle").select("audio_relative_path"), "audio_relative_path", "left_anti").select("recording")
     gone = corpus.staged(parts.join(ended, "recording", "left_semi"))
     if gone.isEmpty():
         return
@@ -223,7 +227,6 @@ def commit_recordings(corpus: Corpus, sessions: DataFrame | None = None, token:
     if sessions is not None and not whole.filter("kept = 0").isEmpty():
         raise StoreError("recording: no audio captured")
     made = corpus.staged(corpus.numbered("bundle", whole.filter("kept > 0")))
-    path = F.concat(F.lit("audio/"), fn.safe_file_name(F.col("recording")), F.lit(".wav"))
     none = {c: F.lit(None).cast(t) for c, t in (("session_id", "long"), ("speaker_id", "long"), ("extra", "string"))}
     bundles = made.select("id", F.col("recording").alias("name"), path.alias("audio_relative_path"), "sample_rate", F.lit(1).alias("channels"), "n_frames").withColumns(none)
     corpus._checked("bundle", bundles)

@@ -2,6 +2,7 @@
 
 import math
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -293,7 +294,7 @@ def test_swipe_splines_and_published_medians():
 @pytest.mark.parametrize("size", [160, 700, 5000])
 def test_live_frames_do_not_depend_on_chunks(spark, tmp_path, size):
     x = harmonic(150, 8_000).astype("f4")
-    rows = [("s", i, 8_000, x[i : i + size].tolist()) for i in range(0, len(x), size)]
+    rows = [("s", i, 8_000, x[i : i + size].tolist(), datetime(2024, 1, 1) + timedelta(seconds=i / 8_000), False) for i in range(0, len(x), size)]
     for k, part in enumerate((rows[1::2], rows[::2])):  # the second file brings what the first one lacks
         if part:
             spark.createDataFrame(part, live.CHUNK).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
