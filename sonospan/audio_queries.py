@@ -1,4 +1,4 @@
-"""Queries over kernels that SQL cannot express; recordings are synthesised on the executors, or are embeddings read as frames."""
+"""Queries over kernels; recordings are the embeddings of a label strung together over a tone, or single embeddings read as frames."""
 
 from __future__ import annotations
 
@@ -7,31 +7,73 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonospan.functions import align, clinical, dsp, frames
 from sonospan.plans import projections as view
 
 RATE = 16_000
-#: Pieces that recordings are cut into for kernels without memory.
-CHUNK_SECONDS = 10.0
+HOP_SECONDS = 0.010
+#: Samples that a vector becomes, and vectors of a piece for kernels without memory: 9 s.
+EACH, PIECE = 2400, 60
+#: Pitch methods that look at one frame at a time.
+LOCAL = ("autocorrelation",)
 FRAMES = "t double, hz double, voicing double"
 
 
-def tones(spark: SparkSession, n: int, seconds: float, rate: int = RATE) -> DataFrame:
-    """n recordings of harmonic tones with a little deterministic noise, each of its own pitch."""
+def strung(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings of each label strung together: bundle_id, k, embedding, in order of vec_id."""
+    rows = view.table(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.coalesce("label", F.lit(-1)).cast("long").alias("bundle_id"), "vec_id", "embedding")
+    return rows.select("bundle_id", (F.row_number().over(Window.partitionBy("bundle_id").orderBy("vec_id")) - 1).alias("k"), "embedding")
+
+
+def voiced(f0: float, first: int, rate: int, values: np.ndarray) -> np.ndarray:
+    """A harmonic tone of f0 hertz, and the values, joined by lines over ``EACH`` samples a row, on top of it."""
+    t = np.arange(rate) / rate  # whole hertz repeat every second
+    second = sum(np.sin(2 * np.pi * f0 * h * t) / h for h in range(1, 16)) * 0.1
+    at = np.arange(EACH) * (values.shape[1] - 1) / (EACH - 1)
+    i = np.minimum(at.astype(int), values.shape[1] - 2)
+    lines = values[:, i] * (1 - (at - i)) + values[:, i + 1] * (at - i)
+    return np.resize(np.roll(second, -(first % rate)), EACH * len(values)) + 0.02 * lines.reshape(-1)
+
+
+def sounded(rows: DataFrame, rate: int) -> DataFrame:
+    """``rows`` (bundle_id, k, values: array<struct<k, embedding>> in order) as samples; ``first`` is where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                t = np.arange(rate) / rate  # whole hertz repeat every second
-                f0 = 100 + 17 * (b % 12)
-                x = sum(np.sin(2 * np.pi * f0 * k * t) / k for k in range(1, 16)) * 0.1 + np.random.default_rng(b).normal(0, 0.002, len(t))
-                x = np.resize(x, int(seconds * rate))
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([rate], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], ["bundle_id", "sample_rate", "samples"])
+            for b, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = values.values
+                vectors = np.asarray(own.field("embedding").flatten(), dtype=float).reshape(len(own), -1)
+                first = own.field("k")[0].as_py() * EACH
+                x = voiced(100 + 17 * (b % 12), first, rate, vectors)
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([rate], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)), pa.array([first], pa.int64())], ["bundle_id", "sample_rate", "samples", "first"])
+
+    return rows.select("bundle_id", "values").mapInArrow(run, "bundle_id long, sample_rate int, samples array<double>, first long")
+
+
+def in_order() -> Column:
+    return F.array_sort(F.collect_list(F.struct("k", "embedding"))).alias("values")
 
-    return spark.range(n).mapInArrow(run, "bundle_id long, sample_rate int, samples array<double>")
+
+def recordings(spark: SparkSession, sf_dir: str, rate: int = RATE) -> DataFrame:
+    """A recording of each label of the embeddings, ``EACH`` samples a vector: 300 s in all at the scale of the bench."""
+    return sounded(strung(spark, sf_dir).groupBy("bundle_id").agg(in_order()), rate).drop("first")
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same recordings in pieces of ``PIECE`` vectors for kernels that look at one frame at a time; a piece goes on into the next vector, so that every frame that begins in it is whole."""
+    own = F.floor(F.col("k") / PIECE)
+    touched = F.when((F.col("k") % PIECE == 0) & (F.col("k") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return sounded(strung(spark, sf_dir).withColumn("piece", F.explode(touched)).groupBy("bundle_id", "piece").agg(in_order()), RATE)
+
+
+def begun(made: dict, rate: int) -> dict:
+    """Frames that begin in a piece itself: it holds ``PIECE`` vectors and one of the next, which is left to that piece."""
+    n = len(next(iter(made.values())))
+    most = PIECE * EACH // round(HOP_SECONDS * rate)
+    return made if n <= most else {c: v[:most] if not isinstance(v, pa.Array) else v.slice(0, most) for c, v in made.items()}
 
 
 def lists(rows: np.ndarray) -> pa.Array:
@@ -39,37 +81,87 @@ def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows, dtype=np.float64).reshape(-1)))
 
 
-def _pitch(method: str, n: int = 4, seconds: float = 1.0):
+def _pitch(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        audio = tones(spark, n, seconds)
-        if method == "autocorrelation":  # frame by frame, so a recording is cut
-            audio = frames.chunked(audio, CHUNK_SECONDS, 0.030, 0.010)
-        return frames.analysed(audio, lambda x, r: dsp.pitch(x, r, method), FRAMES)
+        if method in LOCAL:
+            return frames.analysed(pieces(spark, sf_dir), lambda x, r: begun(dsp.pitch(x, r, method), r), FRAMES)
+        return frames.analysed(recordings(spark, sf_dir), lambda x, r: dsp.pitch(x, r, method), FRAMES)
 
     return query
 
 
-def _mfcc(method: str, n: int = 4, seconds: float = 1.0):
-    def kernel(x: np.ndarray, rate: int) -> dict:
-        c = dsp.mfcc(x, rate, method=method)
-        return {"frame": np.arange(len(c)), "coefficients": lists(c)}
+def pitch_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many semitones each method's median of voiced frames is off the true pitch, octaves apart, and whether nine of ten frames are voiced.
 
+    Methods without a path may take a multiple of the period for it.
+    """
+    out: DataFrame | None = None
+    for method in dsp.PITCH:
+        rows = _pitch(method)(spark, sf_dir).withColumn("f0", 100 + 17 * F.pmod("bundle_id", F.lit(12)))
+        voiced_ = F.when(F.col("voicing") >= 0.3, F.col("hz"))
+        octaves = F.log2(F.col("hz") / F.col("f0"))
+        of_bundle = rows.groupBy("bundle_id", "f0").agg(F.median(voiced_).alias("hz"), (F.count(voiced_) >= 0.9 * F.count("*")).alias("voiced"))
+        part = of_bundle.select(F.lit(method).alias("method"), "bundle_id", F.round(12 * F.abs(octaves - F.round(octaves))).cast("long").alias("semitones_off"), "voiced")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: A bundle's true pitch is known, so the medians of all methods are.
+PITCH_MEDIANS_SQL = f"""SELECT method, bundle_id, 0::BIGINT AS semitones_off, true AS voiced FROM (SELECT DISTINCT coalesce(label, -1)::BIGINT AS bundle_id FROM embeddings WHERE embedding IS NOT NULL) CROSS JOIN (SELECT unnest({list(dsp.PITCH)}) AS method)"""
+
+
+def _mfcc(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frames.analysed(tones(spark, n, seconds), kernel, "frame long, coefficients array<double>")
+        size, hop = dsp.sizes(RATE, 0.025, HOP_SECONDS)
+
+        def cepstra(x: np.ndarray, rate: int) -> dict:
+            c = dsp.mfcc(x, rate, method=method)
+            return begun({"t": np.arange(len(c)) * hop / rate, "coefficients": lists(c)}, rate)
+
+        def levels(x: np.ndarray, rate: int) -> dict:
+            db = dsp.mel_db(x, rate)
+            return begun({"t": np.arange(len(db)) * hop / rate, "db": lists(db)}, rate)
+
+        if method != "librosa":
+            made = frames.analysed(pieces(spark, sf_dir), cepstra, "t double, coefficients array<double>")
+        else:  # levels are cut 80 dB below the recording's greatest: pieces tell theirs first
+            made = frames.analysed(pieces(spark, sf_dir), levels, "t double, db array<double>")
+            loudest = F.max(F.array_max("db")).over(Window.partitionBy("bundle_id"))
+            made = dsp_cepstra(made.withColumn("loudest", loudest))
+        return made.select("bundle_id", F.round(F.col("t") * RATE / hop).cast("long").alias("frame"), "coefficients")
 
     return query
 
 
-def formants(spark: SparkSession, sf_dir: str, n: int = 4, seconds: float = 1.0) -> DataFrame:
-    return frames.analysed(frames.chunked(tones(spark, n, seconds), CHUNK_SECONDS, 0.025, 0.010), dsp.formants, "t double, frequencies array<double>, bandwidths array<double>")
+def dsp_cepstra(levels: DataFrame) -> DataFrame:
+    """bundle_id, t, coefficients from mel levels in dB and the greatest of their recording."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                db = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(dsp.cepstra(db, batch.column(3).to_numpy()))], ["bundle_id", "t", "coefficients"])
+
+    return levels.select("bundle_id", "t", "db", "loudest").mapInArrow(run, "bundle_id long, t double, coefficients array<double>")
 
-def formants_300s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formants(spark, sf_dir, 1, 300.0)
+
+def formants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.analysed(pieces(spark, sf_dir), lambda x, r: begun(dsp.formants(x, r), r), "t double, frequencies array<double>, bandwidths array<double>")
 
 
 def intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.analysed(tones(spark, 4, 1.0), dsp.intensity, "t double, rms double, db double")
+    made = frames.analysed(pieces(spark, sf_dir), lambda x, r: begun(dsp.intensity(x, r), r), "t double, rms double, db double")
+    return made.select("bundle_id", *[F.round(c, 6).alias(c) for c in ("t", "rms", "db")])
+
+
+SECOND_SQL = "list_sum(list_transform(range(1, 16), lambda h: sin(2 * pi() * (100 + 17 * (bundle_id % 12)) * h * ((n % 16000) / 16000)) / h)) * 0.1"
+INTENSITY_SQL = f"""WITH v AS (SELECT coalesce(label, -1)::BIGINT AS bundle_id, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) - 1 AS k, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
+tone AS (SELECT bundle_id, n, {SECOND_SQL} AS tone FROM (SELECT DISTINCT bundle_id FROM v), range(16000) r(n)),
+s AS (SELECT bundle_id, k * 2400 + m AS n, e, m * 63 / 2399 AS w FROM v, range(2400) r(m)),
+x AS (SELECT s.bundle_id, s.n, tone + 0.02 * (e[least(floor(w), 62)::INT + 1]::DOUBLE * (1 - (w - least(floor(w), 62))) + e[least(floor(w), 62)::INT + 2]::DOUBLE * (w - least(floor(w), 62))) AS x FROM s JOIN tone ON tone.bundle_id = s.bundle_id AND tone.n = s.n % 16000),
+b AS (SELECT bundle_id, n // 80 AS b, sum(x * x) AS e FROM x GROUP BY 1, 2),
+f AS (SELECT bundle_id, b, sum(e) OVER (PARTITION BY bundle_id ORDER BY b ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS e, count(*) OVER (PARTITION BY bundle_id ORDER BY b ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS parts FROM b)
+SELECT bundle_id, round(b * 80 / 16000 + 0.0125, 6) AS t, round(sqrt(e / 400), 6) AS rms, round(20 * log10(sqrt(e / 400)), 6) AS db FROM f WHERE b % 2 = 0 AND parts = 5"""
 
 
 def ltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +169,7 @@ def ltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         centres, power = dsp.ltas(x, rate)
         return {"hz": centres, "db": 10 * np.log10(np.maximum(power, 1e-30))}
 
-    return frames.analysed(tones(spark, 4, 1.0), kernel, "hz double, db double")
+    return frames.analysed(recordings(spark, sf_dir), kernel, "hz double, db double")
 
 
 def whisper_log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +177,14 @@ def whisper_log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = dsp.log_mel_whisper(x, rate)
         return {"frame": np.arange(len(m)), "mel": lists(m)}
 
-    return frames.analysed(tones(spark, 4, 1.0), kernel, "frame long, mel array<double>")
+    return frames.analysed(recordings(spark, sf_dir), kernel, "frame long, mel array<double>")
 
 
 MEASURES = "jitter_local jitter_rap jitter_ppq5 shimmer_local shimmer_local_db shimmer_apq3 shimmer_apq5 period_sd f0 n_pulses hnr_db cpps_db h1_h2_db gne hfno_db hnr_d_db ltas_slope_db ltas_tilt".split()
 
 
 def clinical_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.analysed(tones(spark, 3, 1.0, 22_050), clinical.measures, ", ".join(f"{m} double" for m in MEASURES))
+    return frames.analysed(recordings(spark, sf_dir, 22_050), clinical.measures, ", ".join(f"{m} double" for m in MEASURES))
 
 
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +243,7 @@ def align_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m) for m in ("librosa", "kaldi", "praat")} | {
     "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc, "align_tiers": align_tiers,
-    "mfcc_300s": _mfcc("librosa", 1, 300.0), "formants_300s": formants_300s, "pitch_300s": _pitch("autocorrelation", 1, 300.0),
+    # at the scale of the bench the recordings last 300 s in all
+    "mfcc_300s": _mfcc("librosa"), "formants_300s": formants, "pitch_300s": _pitch("autocorrelation"), "pitch_medians": pitch_medians,
 }
+ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL}

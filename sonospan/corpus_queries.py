@@ -367,12 +367,19 @@ def label_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 I0 = "list_sum(list_transform(range(0, 30), lambda k: pow({x} / 2, 2 * k) / pow(gamma(k + 1), 2)))"
 
 
-@register(f"""SELECT i::INT AS i, round(0.54 - 0.46 * cos(2 * pi() * i / 63), 6) + 0.0 AS hamming, round(0.42 - 0.5 * cos(2 * pi() * i / 63) + 0.08 * cos(4 * pi() * i / 63), 6) + 0.0 AS blackman, round(exp(-0.5 * pow((i - 31.5) / 10, 2)), 6) AS gaussian,
-round({I0.format(x='(6 * sqrt(1 - pow(2 * i / 63 - 1, 2)))')} / {I0.format(x='6')}, 6) AS kaiser FROM range(64) r(i)""")
+WINDOWS_SQL = {
+    "hamming": "0.54 - 0.46 * cos(2 * pi() * i / 63)", "blackman": "0.42 - 0.5 * cos(2 * pi() * i / 63) + 0.08 * cos(4 * pi() * i / 63)", "gaussian": "exp(-0.5 * pow((i - 31.5) / 10, 2))",
+    "kaiser": f"{I0.format(x='(6 * sqrt(1 - pow(2 * i / 63 - 1, 2)))')} / {I0.format(x='6')}",
+}
+
+
+@register(f"+ w AS (SELECT i, {', '.join(f'{e} AS {n}' for n, e in WINDOWS_SQL.items())} FROM range(64) r(i)), x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i)) SELECT vec_id, {', '.join(f'round(sum(x * {n}), 6) AS {n}' for n in WINDOWS_SQL)} FROM x JOIN w USING (i) GROUP BY 1")
 def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four windows of 64 samples; Kaiser's through the series of the Bessel function."""
-    made = spark.range(1).select(*[fn.window_column(w).alias(n) for n, w in (("hamming", fn.hamming(64)), ("blackman", fn.blackman(64)), ("gaussian", fn.gaussian(64, 10.0)), ("kaiser", fn.kaiser(64, 6.0)))])
-    return rounded(made.select(F.posexplode(F.arrays_zip("hamming", "blackman", "gaussian", "kaiser")).alias("i", "w")).select("i", "w.*"))
+    """Sums of the embeddings under four windows of 64 samples; Kaiser's comes through the series of the Bessel function."""
+    made = (("hamming", fn.hamming(64)), ("blackman", fn.blackman(64)), ("gaussian", fn.gaussian(64, 10.0)), ("kaiser", fn.kaiser(64, 6.0)))
+    total = lambda w: F.aggregate(fn.windowed(F.col("x"), w), F.lit(0.0), lambda s, v: s + v)
+    rows = view.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(rows.select("vec_id", *[total(w).alias(n) for n, w in made]))
 
 
 @register("""+ e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, unnest(range(0, 7)) AS k FROM embeddings), r AS (SELECT vec_id, k, sqrt(list_sum(list_transform(x[8 * k + 1:8 * k + 16], lambda v: v * v)) / 16) AS rms FROM e)

@@ -74,23 +74,48 @@ def runs(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def likeliest_path(log_probs: np.ndarray, targets: list[int], blank: int) -> np.ndarray:
-    """State of every frame: 2k + 1 is target k, 2k the blank before it."""
-    frames = len(log_probs)
+#: The score of what cannot be reached.
+NEVER = np.int64(-(1 << 62))
+
+
+def fixed(log_probs: np.ndarray) -> np.ndarray:
+    """Log probabilities, cut at -1000, in whole numbers of 2 ** -32: their sums do not depend on the order of adding."""
+    return np.rint(np.maximum(log_probs, -1000.0) * float(1 << 32)).astype(np.int64)
+
+
+def lattice(targets: list[int], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the states, and the states that can be reached over the blank before them."""
     states = np.full(2 * len(targets) + 1, blank)
     states[1::2] = targets
     may_skip = np.zeros(len(states), dtype=bool)
     may_skip[3::2] = states[3::2] != states[1:-2:2]
-    score = np.full(len(states), -np.inf)
-    score[:2] = log_probs[0, states[:2]]
-    back = np.zeros((frames, len(states)), dtype=np.int8)
-    for t in range(1, frames):
-        ways = np.stack([score, np.concatenate([[-np.inf], score[:-1]]), np.where(may_skip, np.concatenate([[-np.inf] * 2, score[:-2]]), -np.inf)])
+    return states, may_skip
+
+
+def advanced(score: np.ndarray | None, e: np.ndarray, may_skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores after the frames ``e`` (by states) from those before them (None: the recording begins), and how many states each came by."""
+    frames, n = e.shape
+    back = np.zeros((frames, n), dtype=np.int8)
+    begin = 0
+    if score is None:
+        score, begin = np.full(n, NEVER), 1
+        score[:2] = e[0, :2]
+    gap = np.full(2, NEVER)
+    for t in range(begin, frames):
+        ways = np.stack([score, np.concatenate([gap[:1], score[:-1]]), np.where(may_skip, np.concatenate([gap, score[:-2]])[:n], NEVER)])
         back[t] = ways.argmax(axis=0)  # staying wins ties, then one step
-        score = ways.max(axis=0) + log_probs[t, states]
+        best = ways.max(axis=0)
+        score = np.where(best > NEVER, np.maximum(best + e[t], NEVER), NEVER)
+    return score, back
+
+
+def likeliest_path(log_probs: np.ndarray, targets: list[int], blank: int) -> np.ndarray:
+    """State of every frame: 2k + 1 is target k, 2k the blank before it."""
+    states, may_skip = lattice(targets, blank)
+    score, back = advanced(None, fixed(log_probs)[:, states], may_skip)
     at = len(states) - 1 if score[-1] >= score[-2] else len(states) - 2
-    path = np.zeros(frames, dtype=int)
-    for t in range(frames - 1, -1, -1):
+    path = np.zeros(len(back), dtype=int)
+    for t in range(len(back) - 1, -1, -1):
         path[t] = at
         at -= back[t, at]
     return path

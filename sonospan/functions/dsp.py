@@ -183,13 +183,23 @@ def mel_power(x: np.ndarray, rate: int, n_fft: int, hop: int, n_mels: int, f_min
     return power @ bank.T
 
 
+def mel_db(x: np.ndarray, rate: int, frame_seconds: float = 0.025, hop_seconds: float = 0.010, n_mels: int = 40, f_min: float = 0.0, f_max: float | None = None) -> np.ndarray:
+    """Mel levels in dB, a row for each frame."""
+    return 10 * np.log10(np.maximum(mel_power(x, rate, *sizes(rate, frame_seconds, hop_seconds), n_mels, f_min, f_max or rate / 2), 1e-10))
+
+
+def cepstra(db: np.ndarray, loudest: float | np.ndarray, n_mfcc: int = 13) -> np.ndarray:
+    """Cepstra of mel levels, which are cut 80 dB below the greatest level of their recording."""
+    return np.maximum(db, np.reshape(loudest, (-1, 1)) - 80) @ dct(n_mfcc, db.shape[1]).T
+
+
 def mfcc(x: np.ndarray, rate: int, frame_seconds: float = 0.025, hop_seconds: float = 0.010, n_mels: int = 40, n_mfcc: int = 13, f_min: float = 0.0, f_max: float | None = None, method: str = "librosa") -> np.ndarray:
     """Cepstra, a row for each frame."""
     size, hop = sizes(rate, frame_seconds, hop_seconds)
     f_max = f_max or rate / 2
     if method == "librosa":
-        db = 10 * np.log10(np.maximum(mel_power(x, rate, size, hop, n_mels, f_min, f_max), 1e-10))
-        return np.maximum(db, db.max(initial=-np.inf) - 80) @ dct(n_mfcc, n_mels).T if len(db) else np.zeros((0, n_mfcc))
+        db = mel_db(x, rate, frame_seconds, hop_seconds, n_mels, f_min, f_max)
+        return cepstra(db, db.max(), n_mfcc) if len(db) else np.zeros((0, n_mfcc))
     if method == "kaldi":
         f = framed(x, size, hop)
         f = f - f.mean(axis=1, keepdims=True)

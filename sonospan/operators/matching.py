@@ -16,7 +16,6 @@ order of places.  So places that cannot see each other are matched apart:
 from __future__ import annotations
 
 import heapq
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonospan.checkpoints import settled
 from sonospan.operators.sweep import SLICE_ROWS, carried, overlapped, slice_of, sliced, spans
 
 #: Rounds of vectors before a heap takes over, for chains that free one pair a round.
 ROUNDS = 40
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the checkpoint folder that the cluster names; a local session may use a folder of its machine."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) for every i and every j from lo[i] to hi[i] - 1."""
     n = np.maximum(hi - lo, 0)

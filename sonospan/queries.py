@@ -425,6 +425,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 from sonospan import audio_queries  # noqa: E402
 
 QUERIES |= audio_queries.QUERIES
+ORACLES |= audio_queries.ORACLES
 
 from sonospan import corpus_queries  # noqa: E402, F401
 from sonospan import live_queries  # noqa: E402, F401
