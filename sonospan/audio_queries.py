@@ -241,9 +241,31 @@ def align_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(utterances, {"b": 1, "a": 2}, min_silence_frames=2)
 
 
+def criterion_on_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule over the pitch and the level of stored recordings: vectors louder than their recording, where its tone is above 200 Hz."""
+    from sonospan import workflow
+    from sonospan.corpus_queries import new_corpus
+
+    c = new_corpus(spark)
+    workflow.add_recordings(c, recordings(spark, sf_dir).select(F.col("bundle_id").cast("string").alias("name"), "sample_rate", F.lit(1).alias("channels"), F.col("samples").cast("array<float>").alias("samples")))
+    known = c.table("bundle").select(F.col("id").alias("bundle"), F.col("name").cast("long").alias("bundle_id"))
+    spans = strung(spark, sf_dir).join(known, "bundle_id").select(F.col("bundle").alias("bundle_id"), F.lit("vectors").alias("tier"), F.lit("interval").alias("kind"), (F.col("k") * EACH / RATE).alias("start"), ((F.col("k") + 1) * EACH / RATE).alias("end"), F.concat(F.lit("v"), "k").alias("label"))
+    workflow.import_tiers(c, spans, "import")
+    rule = {"select": {"tier": "vectors"}, "where": "mean(f0) > 200 and mean(intensity) > mean(intensity, file)", "emit": {"kind": "span"}}
+    workflow.run_criterion(c, workflow.set_criterion(c, "loud", rule, "hits"))
+    found = c.timeline(["hits (auto)"]).join(known.withColumnsRenamed({"bundle_id": "voice", "bundle": "bundle_id"}), "bundle_id")
+    return found.select(F.col("voice").alias("bundle_id"), "label", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+CRITERION_SQL = INTENSITY_SQL.rpartition("SELECT bundle_id, round(b * 80")[0].rstrip() + """, l AS (SELECT bundle_id, b * 80 / 16000 + 0.0125 AS t, 20 * log10(sqrt(e / 400)) AS db FROM f WHERE b % 2 = 0 AND parts = 5),
+i AS (SELECT bundle_id, k, k * 2400 / 16000 AS s, (k + 1) * 2400 / 16000 AS e FROM v WHERE 100 + 17 * (bundle_id % 12) > 200),
+m AS (SELECT i.bundle_id, k, s, i.e, avg(db) AS db FROM i JOIN l ON l.bundle_id = i.bundle_id AND l.t BETWEEN i.s AND i.e GROUP BY ALL), w AS (SELECT bundle_id, avg(db) AS db FROM l GROUP BY 1)
+SELECT m.bundle_id, 'v' || k AS label, round(s, 6) AS "start", round(m.e, 6) AS "end" FROM m JOIN w USING (bundle_id) WHERE m.db > w.db"""
+
+
 QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m) for m in ("librosa", "kaldi", "praat")} | {
     "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc, "align_tiers": align_tiers,
     # at the scale of the bench the recordings last 300 s in all
-    "mfcc_300s": _mfcc("librosa"), "formants_300s": formants, "pitch_300s": _pitch("autocorrelation"), "pitch_medians": pitch_medians,
+    "mfcc_300s": _mfcc("librosa"), "formants_300s": formants, "pitch_300s": _pitch("autocorrelation"), "pitch_medians": pitch_medians, "criterion_on_audio": criterion_on_audio,
 }
-ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL}
+ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL, "criterion_on_audio": CRITERION_SQL}

@@ -112,6 +112,45 @@ def import_eaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(other.timeline().join(parents, "tier_id").select("bundle_id", "tier", "parent", "start", "end", "label"))
 
 
+@register(f"""+ a AS (SELECT i.*, w.s AS ws, w.label AS wlabel FROM iv i LEFT JOIN wd w ON w.bundle_id = i.bundle_id AND i.s >= w.s AND i.e <= w.e WHERE i.bundle_id IN (SELECT bundle_id FROM wd))
+SELECT bundle_id, 'ref ' || label AS label, CASE WHEN id % 3 = 0 THEN '{{"n":' || id || '}}' END AS extra, {MS.format('ws')} AS parent_start, wlabel AS parent_label, {MS.format('s')} AS target_start, label AS target_label FROM a""")
+def eaf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to phones that hang on words, exported as ELAN documents and imported under new ids: each still hangs on its word and points to its phone; phones outside words have none to hang on."""
+    c, other = loaded(spark, sf_dir), new_corpus(spark)
+    tiers, rows = c.table("tier"), c.table("annotation_interval")
+    words = tiers.filter("name = 'words'").select("bundle_id", F.col("id").alias("parent_id"))
+    made = words.select((F.col("bundle_id") * 2 + 1_000_001).alias("id"), "bundle_id", F.lit("links").alias("name"), F.lit("reference").alias("type"), "parent_id", F.lit("one_to_many").alias("cardinality"), F.lit(None).cast("string").alias("extra"))
+    of_tier = lambda name, *cols: rows.join(tiers.filter(F.col("name") == name).select(F.col("id").alias("tier_id"), "bundle_id"), "tier_id").select("bundle_id", *cols)
+    phones = of_tier("phones", F.col("id").alias("target_id"), "start_seconds", "end_seconds", "label")
+    spans = of_tier("words", F.col("id").alias("parent_annotation_id"), F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"))
+    met = phones.join(spans, "bundle_id").filter("start_seconds >= s and end_seconds <= e").select("bundle_id", "target_id", "parent_annotation_id")
+    number = F.floor(F.col("target_id") / 2)
+    links = phones.join(met, ["bundle_id", "target_id"], "left").join(made.select("bundle_id", F.col("id").alias("tier_id")), "bundle_id").select(
+        F.col("target_id").alias("id"), "tier_id", F.lit("interval").alias("target_kind"), "target_id", F.concat(F.lit("ref "), "label").alias("label"), "parent_annotation_id", F.when(number % 3 == 0, F.concat(F.lit('{"n":'), number.cast("long"), F.lit("}"))).alias("extra")
+    )
+    c.commit([("tier", "insert", made), ("annotation_reference", "insert", links)])
+    other.commit([("bundle", "insert", c.table("bundle"))])
+    workflow.import_tiers(other, readers.parsed_texts(workflow.export_eafs(c).join(words.select("bundle_id"), "bundle_id", "left_semi"), formats.parse_eaf, readers.EAF), "import:eaf")
+    known = other.table("annotation_interval")
+    at = lambda name: known.select(F.col("id").alias(f"{name}_id"), F.col("start_seconds").alias(f"{name}_start"), F.col("label").alias(f"{name}_label"))
+    back = other.table("annotation_reference").withColumnRenamed("parent_annotation_id", "parent_id").join(other.table("tier").select(F.col("id").alias("tier_id"), "bundle_id"), "tier_id")
+    return rounded(back.join(at("parent"), "parent_id", "left").join(at("target"), "target_id", "left").select("bundle_id", "label", "extra", "parent_start", "parent_label", "target_start", "target_label"))
+
+
+@register("""SELECT bundle_id, tier, round(s, 6) AS "start", round(e, 6) AS "end", label, CASE WHEN id % 5 = 0 THEN '{"n":' || id || '}' WHEN id % 5 = 1 THEN 'plain "text"' END AS extra, CASE WHEN id % 4 = 0 THEN 'seen' END AS note
+FROM (SELECT *, 'words' AS tier FROM wd UNION ALL BY NAME SELECT *, 'phones' AS tier FROM iv)""")
+def import_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bundle exported as a structured document, read back and imported into another corpus, with notes and what labels carry."""
+    c, other = loaded(spark, sf_dir), new_corpus(spark)
+    number = F.floor(F.col("id") / 2).cast("long")
+    extra = F.when(number % 5 == 0, F.concat(F.lit('{"n":'), number, F.lit("}"))).when(number % 5 == 1, F.lit('plain "text"'))
+    c.replace("annotation_interval", c.table("annotation_interval").withColumns({"extra": extra, "note": F.when(number % 4 == 0, "seen")}))
+    other.commit([("bundle", "insert", c.table("bundle"))])
+    workflow.import_json(other, workflow.export_json(c))
+    rows = other.table("annotation_interval").join(other.table("tier").select(F.col("id").alias("tier_id"), "bundle_id", F.col("name").alias("tier")), "tier_id")
+    return rounded(rows.select("bundle_id", "tier", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "label", "extra", "note"))
+
+
 RULE = {"select": {"tier": "phones", "label_any": ["click", "purchase"]}, "where": "mean(x) > 1.2 * mean(x, file)", "emit": {"kind": "point", "at": 0.5}}
 
 

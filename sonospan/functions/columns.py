@@ -136,6 +136,12 @@ def decode_label(text: Column) -> Column:
     return F.struct(F.when(has, F.substring(text, F.lit(1), at - 1)).otherwise(text).alias("label"), F.when(has, F.substring(text, at + 7, F.length(text) - at - 7)).alias("extra"))
 
 
+def reference_payload(extra: Column) -> Column:
+    """What the label of a reference carries behind its sentinel: target_kind, target_id, target (the document's name of it), placeholder and extra."""
+    at = lambda path: F.get_json_object(extra, path)
+    return F.struct(F.coalesce(at("$.target_kind"), F.lit("annotation")).alias("target_kind"), F.coalesce(at("$.target_id").cast("long"), F.lit(0).cast("long")).alias("target_id"), at("$.target").alias("target"), F.coalesce(at("$.placeholder") == "true", F.lit(False)).alias("placeholder"), at("$.extra").alias("extra"))
+
+
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_")
 

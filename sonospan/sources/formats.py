@@ -131,7 +131,11 @@ def write_textgrid(tiers: list[tuple[str, str, list[tuple[float, float, str]]]],
 
 
 def parse_eaf(text: str) -> list[dict]:
-    """Rows (tier, parent, kind, position, start, end, label, ref) of an ELAN document, tiers parents first."""
+    """Rows (tier, parent, kind, position, start, end, label, annotation, ref) of an ELAN document, tiers parents first.
+
+    ``annotation`` is the document's name of an annotation, ``ref`` that of the one
+    it hangs on.
+    """
     root = ET.fromstring(text)
     slots = {s.get("TIME_SLOT_ID"): int(s.get("TIME_VALUE")) / 1000 for s in root.iter("TIME_SLOT") if s.get("TIME_VALUE") is not None}
     constraint = {t.get("LINGUISTIC_TYPE_ID"): t.get("CONSTRAINTS") for t in root.iter("LINGUISTIC_TYPE")}
@@ -154,32 +158,44 @@ def parse_eaf(text: str) -> list[dict]:
         tier = tiers[name]
         found = []
         for a in tier.iter("ALIGNABLE_ANNOTATION"):
-            found.append((slots.get(a.get("TIME_SLOT_REF1")), slots.get(a.get("TIME_SLOT_REF2")), a.findtext("ANNOTATION_VALUE") or "", None))
+            found.append((slots.get(a.get("TIME_SLOT_REF1")), slots.get(a.get("TIME_SLOT_REF2")), a.findtext("ANNOTATION_VALUE") or "", a.get("ANNOTATION_ID"), None))
         for a in tier.iter("REF_ANNOTATION"):
-            found.append((None, None, a.findtext("ANNOTATION_VALUE") or "", a.get("ANNOTATION_REF")))
+            found.append((None, None, a.findtext("ANNOTATION_VALUE") or "", a.get("ANNOTATION_ID"), a.get("ANNOTATION_REF") or None))
         timed = [f for f in found if f[0] is not None and f[1] is not None]
         if constraint.get(tier.get("LINGUISTIC_TYPE_REF")) == "Symbolic_Association" or (found and not timed):
             kind = "reference"
         else:
-            kind = "point" if timed and all(e - s <= 0.002 for s, e, _, _ in timed) else "interval"
-        rows += [{"tier": name, "parent": tier.get("PARENT_REF"), "kind": kind, "position": i, "start": s, "end": e, "label": label, "ref": ref} for i, (s, e, label, ref) in enumerate(found)]
+            kind = "point" if timed and all(e - s <= 0.002 for s, e, *_ in timed) else "interval"
+        rows += [{"tier": name, "parent": tier.get("PARENT_REF"), "kind": kind, "position": i, "start": s, "end": e, "label": label, "annotation": name_, "ref": ref} for i, (s, e, label, name_, ref) in enumerate(found)]
     return rows
 
 
-def write_eaf(tiers: list[tuple[str, str | None, list[tuple[float, float, str]]]]) -> str:
-    """An ELAN document of (name, parent, rows) tiers; points last one millisecond."""
+def write_eaf(tiers: list[tuple[str, str | None, list[tuple]]]) -> str:
+    """An ELAN document of (name, parent, rows) tiers; points last one millisecond.
+
+    Rows are (start, end, label); those of a reference tier are (None, None, label,
+    annotation it hangs on).  Annotations are named a1, a2, ... in order.
+    """
     root = ET.Element("ANNOTATION_DOCUMENT", {"AUTHOR": "", "DATE": "1970-01-01T00:00:00+00:00", "FORMAT": "2.8", "VERSION": "2.8"})
     ET.SubElement(root, "HEADER", {"MEDIA_FILE": "", "TIME_UNITS": "milliseconds"})
-    order, made, n = ET.SubElement(root, "TIME_ORDER"), [], 0
+    order, made, n, symbolic = ET.SubElement(root, "TIME_ORDER"), [], 0, False
     for name, parent, rows in tiers:
-        tier = ET.Element("TIER", {"LINGUISTIC_TYPE_REF": "default", "TIER_ID": name} | ({"PARENT_REF": parent} if parent else {}))
-        for start, end, label in rows:
+        references = any(len(r) == 4 for r in rows)
+        symbolic |= references
+        tier = ET.Element("TIER", {"LINGUISTIC_TYPE_REF": "symbolic" if references else "default", "TIER_ID": name} | ({"PARENT_REF": parent} if parent else {}))
+        for row in rows:
             n += 1
-            for k, t in ((2 * n - 1, start), (2 * n, end if end > start else start + 0.001)):
-                ET.SubElement(order, "TIME_SLOT", {"TIME_SLOT_ID": f"ts{k}", "TIME_VALUE": str(int(round(t * 1000)))})
-            a = ET.SubElement(ET.SubElement(tier, "ANNOTATION"), "ALIGNABLE_ANNOTATION", {"ANNOTATION_ID": f"a{n}", "TIME_SLOT_REF1": f"ts{2 * n - 1}", "TIME_SLOT_REF2": f"ts{2 * n}"})
-            ET.SubElement(a, "ANNOTATION_VALUE").text = label
+            if references:
+                a = ET.SubElement(ET.SubElement(tier, "ANNOTATION"), "REF_ANNOTATION", {"ANNOTATION_ID": f"a{n}", "ANNOTATION_REF": row[3] or ""})
+            else:
+                start, end = row[:2]
+                for k, t in ((2 * n - 1, start), (2 * n, end if end > start else start + 0.001)):
+                    ET.SubElement(order, "TIME_SLOT", {"TIME_SLOT_ID": f"ts{k}", "TIME_VALUE": str(int(round(t * 1000)))})
+                a = ET.SubElement(ET.SubElement(tier, "ANNOTATION"), "ALIGNABLE_ANNOTATION", {"ANNOTATION_ID": f"a{n}", "TIME_SLOT_REF1": f"ts{2 * n - 1}", "TIME_SLOT_REF2": f"ts{2 * n}"})
+            ET.SubElement(a, "ANNOTATION_VALUE").text = row[2]
         made.append(tier)
     root.extend(made)
     ET.SubElement(root, "LINGUISTIC_TYPE", {"LINGUISTIC_TYPE_ID": "default", "TIME_ALIGNABLE": "true"})
+    if symbolic:
+        ET.SubElement(root, "LINGUISTIC_TYPE", {"LINGUISTIC_TYPE_ID": "symbolic", "TIME_ALIGNABLE": "false", "CONSTRAINTS": "Symbolic_Association"})
     return ET.tostring(root, encoding="unicode")

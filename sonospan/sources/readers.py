@@ -17,7 +17,7 @@ CSV_COLUMNS = (
 ).split()
 CSV_SCHEMA = ", ".join(f"{c} {'double' if c.endswith('seconds') else 'long' if c.endswith('_id') else 'string'}" for c in CSV_COLUMNS)
 TEXTGRID = "path string, tier string, kind string, position int, start double, end double, label string"
-EAF = "path string, tier string, parent string, kind string, position int, start double, end double, label string, ref string"
+EAF = "path string, tier string, parent string, kind string, position int, start double, end double, label string, annotation string, ref string"
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -124,20 +124,60 @@ def write_annotations_csv(rows: DataFrame, path: str) -> None:
     full.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').mode("overwrite").csv(path)
 
 
-def read_annotations_json(spark: SparkSession, path: str) -> DataFrame:
-    """tier_name, tier_type, start, end, label from documents with ``tiers`` of ``intervals`` or ``points``."""
-    item = "array<struct<start_seconds: double, end_seconds: double, time_seconds: double, label: string>>"
-    docs = spark.read.schema(f"bundle struct<name: string>, tiers array<struct<name: string, tier_type: string, intervals: {item}, points: {item}>>").option("multiLine", True).json(path)
-    tiers = docs.select("bundle.name", F.explode("tiers").alias("t"))
-    rows = tiers.select(F.col("name").alias("bundle_name"), F.col("t.name").alias("tier_name"), F.col("t.tier_type").alias("tier_type"), F.explode(F.coalesce("t.intervals", "t.points")).alias("a"))
-    return rows.select("bundle_name", "tier_name", "tier_type", F.coalesce("a.start_seconds", "a.time_seconds").alias("start"), F.coalesce("a.end_seconds", "a.time_seconds").alias("end"), "a.label")
-
-
-def tiers_json(rows: DataFrame) -> DataFrame:
-    """One JSON document a bundle, tiers and annotations in order, nulls kept."""
-    item = F.struct("start", "end", "label")
-    tiers = rows.groupBy("bundle_name", "tier_name", "tier_type").agg(F.sort_array(F.collect_list(item)).alias("annotations"))
-    return tiers.groupBy("bundle_name").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("tier_name", "tier_type", "annotations"))).alias("tiers")), {"ignoreNullFields": "false"}).alias("json"))
+# The documents of the structured exchange format.
+JSON_ROWS = {
+    "interval": ("intervals", "id start_seconds end_seconds label parent_annotation_id status note processing_run_id extra".split()),
+    "point": ("points", "id time_seconds label parent_annotation_id status note processing_run_id extra".split()),
+    "reference": ("references", "id target_kind target_id label parent_annotation_id extra".split()),
+}
+
+
+def tiers_json(rows: DataFrame, bundles: DataFrame) -> DataFrame:
+    """(bundle_id, json): a document of each bundle's sparse tiers, nulls kept.
+
+    ``rows``: the columns of the tabular format; ``bundles``: bundle_id, name,
+    sample_rate, n_frames.  ``extra`` is embedded as JSON where it is JSON, else as
+    a text.
+    """
+    text = F.to_json(F.array("extra"))
+    extra = F.when(F.col("extra").isNotNull(), F.coalesce(F.try_parse_json("extra"), F.parse_json(F.substr(text, F.lit(2), F.length(text) - 2))))
+    tiers: DataFrame | None = None
+    for kind, (name, columns) in JSON_ROWS.items():
+        made = rows.filter(F.col("tier_type") == kind).withColumn("extra", extra).withColumn("id", F.col("annotation_id"))
+        begin = F.coalesce("start_seconds", "time_seconds", F.lit(0.0))
+        item = F.struct(*[F.col(c) for c in columns])
+        # a variant has no order, so rows are sorted by their keys and the items fetched after them
+        grouped = made.groupBy("bundle_id", "tier_id", "tier_name").agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), F.col("id").alias("row"), F.to_json(item, {"ignoreNullFields": "false"}).alias("item")))).alias("items"))
+        body = F.concat(F.lit('{"id":'), F.col("tier_id").cast("string"), F.lit(',"name":'), _quoted("tier_name"), F.lit(f',"type":"{kind}","{name}":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
+        part = grouped.select("bundle_id", "tier_id", body.alias("tier"))
+        tiers = part if tiers is None else tiers.unionByName(part)
+    listed = tiers.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("tier_id", "tier"))).alias("tiers"))
+    about = F.struct(F.col("bundle_id").alias("id"), "name", "sample_rate", "n_frames", (F.col("n_frames") / F.col("sample_rate")).alias("duration_seconds"))
+    head = F.to_json(about, {"ignoreNullFields": "false"})
+    all_tiers = F.array_join(F.transform(F.coalesce("tiers", F.array().cast("array<struct<tier_id: bigint, tier: string>>")), lambda x: x["tier"]), ",")
+    return bundles.join(listed, "bundle_id", "left").select("bundle_id", F.concat(F.lit('{"bundle":'), head, F.lit(',"tiers":['), all_tiers, F.lit("]}")).alias("json"))
+
+
+def _quoted(column: str):
+    text = F.to_json(F.array(F.coalesce(column, F.lit(""))))
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def parsed_json(documents: DataFrame) -> DataFrame:
+    """Interval and point rows of documents (bundle_id, json): bundle_id, tier, kind, start, end, label, note, extra.
+
+    Reference, dense and unknown tiers are skipped; a document without tiers or a
+    row without its times is an error.  An ``extra`` object becomes its text.
+    """
+    row = "array<struct<start_seconds: double, end_seconds: double, time_seconds: double, label: string, note: string, extra: variant>>"
+    read = F.from_json("json", f"struct<tiers: array<struct<name: string, type: string, intervals: {row}, points: {row}>>>")
+    tiers = F.coalesce(read["tiers"], F.raise_error(F.lit("JSON missing a `tiers` array")).cast(f"array<struct<name: string, type: string, intervals: {row}, points: {row}>>"))
+    each = documents.select("bundle_id", F.explode(tiers).alias("t")).filter(F.col("t.type").isin("interval", "point"))
+    is_interval = F.col("t.type") == "interval"
+    rows = each.select("bundle_id", F.coalesce("t.name", F.lit("")).alias("tier"), F.col("t.type").alias("kind"), F.explode(F.when(is_interval, F.col("t.intervals")).otherwise(F.col("t.points"))).alias("a"))
+    begin, end = (F.when(F.col("kind") == "interval", F.col(c)).otherwise(F.col("a.time_seconds")) for c in ("a.start_seconds", "a.end_seconds"))
+    sure = lambda c: F.coalesce(c, F.raise_error(F.lit("a row lacks its times")).cast("double"))
+    return rows.select("bundle_id", "tier", "kind", sure(begin).alias("start"), sure(end).alias("end"), "a.label", "a.note", F.variant_get("a.extra", "$", "string").alias("extra"))
 
 
 def write_dense(samples: DataFrame, path: str, n_dims: int | None = None) -> None:

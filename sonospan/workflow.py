@@ -13,8 +13,10 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonospan import signals
+from sonospan.checkpoints import settled
 from sonospan.operators import agreement
-from sonospan.plans import rules
+from sonospan.plans import expr, rules
 from sonospan.store import Corpus, StoreError
 
 SPARSE = ("interval", "point", "reference")
@@ -23,28 +25,58 @@ SPARSE = ("interval", "point", "reference")
 # ---- imports and exports
 
 
+OPTIONAL = {"position": "int", "parent": "string", "extra": "string", "note": "string", "annotation": "string", "ref": "string"}
+
+
 def import_tiers(corpus: Corpus, rows: DataFrame, processor: str, parameters: Column | None = None) -> int:
     """Land parsed annotations as new tiers with a processing run for each bundle; returns the number of tiers.
 
     ``rows``: bundle_id, tier, kind, start, end, label, and where known position,
-    parent (a tier's name) and extra.  Parent tiers keep their link, with
-    cardinality "none"; tiers are numbered parents first.
+    parent (a tier's name), extra, note, annotation and ref.  ``annotation`` is a
+    document's name of a row and ``ref`` that of the row it hangs on: ids are given
+    first, then one join puts stored ids for names, whatever the order or depth.  A
+    ``ref`` that no row has is left out.  What a reference's label carries (see
+    ``columns.reference_payload``) becomes its target; a target in the same document
+    gets its new id.  Parent tiers keep their link; a tier with links has
+    cardinality "one_to_many", others "none".
     """
+    from sonospan.functions.columns import decode_label, reference_payload
+
     have = set(rows.columns)
-    full = corpus.staged(rows.select("bundle_id", "tier", "kind", "start", "end", "label", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("position", "int"), ("parent", "string"), ("extra", "string"))]))
+    full = rows.select("bundle_id", "tier", "kind", "start", "end", "label", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()])
+    if "annotation" in have:  # labels as documents keep them
+        full = full.withColumn("_l", decode_label(F.col("label"))).withColumns({"label": F.col("_l.label"), "extra": F.coalesce("extra", "_l.extra")}).drop("_l")
+    full = corpus.staged(full)
     runs = corpus.numbered("processing_run", full.select("bundle_id").distinct().select("bundle_id", F.lit("import").alias("kind"), F.lit(processor).alias("processor_id"), (parameters if parameters is not None else F.lit(None)).cast("string").alias("parameters"), F.lit("done").alias("status"), F.lit(None).cast("long").alias("recipe_run_id")))
     runs = corpus.staged(runs)
-    named = corpus.numbered("tier", full.groupBy("bundle_id", F.col("tier").alias("name")).agg(F.max("kind").alias("type"), F.max("parent").alias("parent")))
+    linked = F.max(F.col("ref").isNotNull()).alias("linked")
+    named = corpus.numbered("tier", full.groupBy("bundle_id", F.col("tier").alias("name")).agg(F.max("kind").alias("type"), F.max("parent").alias("parent"), linked))
     named = corpus.staged(named)
     parents = named.select("bundle_id", F.col("name").alias("parent"), F.col("id").alias("parent_id"))
-    tiers = named.join(parents, ["bundle_id", "parent"], "left").select("id", "bundle_id", "name", "type", "parent_id", F.lit("none").alias("cardinality"), F.lit(None).cast("string").alias("extra"))
+    cardinality = F.when(F.col("linked") & F.col("parent_id").isNotNull(), "one_to_many").otherwise("none")
+    tiers = named.join(parents, ["bundle_id", "parent"], "left").select("id", "bundle_id", "name", "type", "parent_id", cardinality.alias("cardinality"), F.lit(None).cast("string").alias("extra"))
     corpus._checked("tier", tiers)
     ids = named.select("bundle_id", F.col("name").alias("tier"), F.col("id").alias("tier_id")).join(runs.select("bundle_id", F.col("id").alias("processing_run_id")), "bundle_id")
-    placed = full.join(ids, ["bundle_id", "tier"]).withColumnsRenamed({"start": "start_seconds", "end": "end_seconds"}).withColumns({c: F.lit(None).cast(t) for c, t in (("parent_annotation_id", "long"), ("status", "string"), ("note", "string"))})
-    intervals = corpus.numbered("annotation_interval", placed.filter("kind = 'interval'"))
-    points = corpus.numbered("annotation_point", placed.filter("kind = 'point'").withColumnRenamed("start_seconds", "time_seconds"))
-    references = corpus.numbered("annotation_reference", placed.filter("kind = 'reference'").withColumns({"target_kind": F.lit("label"), "target_id": F.lit(None).cast("long")}))
-    corpus.commit([("processing_run", "insert", runs), ("tier", "insert", tiers), ("annotation_interval", "insert", intervals), ("annotation_point", "insert", points), ("annotation_reference", "insert", references)])
+    placed = full.join(ids, ["bundle_id", "tier"]).withColumnsRenamed({"start": "start_seconds", "end": "end_seconds"}).withColumn("status", F.lit(None).cast("string"))
+    made = {kind: corpus.numbered(f"annotation_{kind}", placed.filter(F.col("kind") == kind)) for kind in SPARSE}
+    if "annotation" in have:
+        made = {kind: corpus.staged(part) for kind, part in made.items()}
+    known: DataFrame | None = None
+    for kind, part in made.items():
+        part = part.filter("annotation is not null").select("bundle_id", F.lit(kind).alias("_kind"), F.col("annotation").alias("_name"), F.col("id").alias("_id"))
+        known = part if known is None else known.unionByName(part)
+
+    def link(part: DataFrame, name: str, to: str) -> DataFrame:
+        """The stored id of the row that the document calls ``name``."""
+        if "annotation" not in have:
+            return part.withColumn(to, F.lit(None).cast("long"))
+        return part.join(known.select("bundle_id", F.col("_name").alias(name), F.col("_id").alias(to), F.col("_kind").alias(f"{to}_kind")), ["bundle_id", name], "left")
+
+    intervals, points, references = (link(made[kind], "ref", "parent_annotation_id") for kind in SPARSE)
+    carried = references.withColumn("_p", reference_payload(F.col("extra"))).withColumns({"target": F.col("_p.target"), "extra": F.col("_p.extra"), "parent_annotation_id": F.when(~F.col("_p.placeholder"), F.col("parent_annotation_id"))})
+    pointed = link(carried, "target", "_target_id").withColumns({"target_kind": F.col("_p.target_kind"), "target_id": F.coalesce("_target_id", "_p.target_id")})
+    points = points.withColumnRenamed("start_seconds", "time_seconds")
+    corpus.commit([("processing_run", "insert", runs), ("tier", "insert", tiers), ("annotation_interval", "insert", intervals), ("annotation_point", "insert", points), ("annotation_reference", "insert", pointed)])
     return named.count()
 
 
@@ -75,41 +107,86 @@ def export_textgrids(corpus: Corpus, durations: DataFrame, tier_names: list[str]
 
 
 def export_eafs(corpus: Corpus, tier_names: list[str] | None = None) -> DataFrame:
-    """(bundle_id, text): an ELAN document of each bundle's interval and point tiers, with the tiers' hierarchy."""
+    """(bundle_id, text): an ELAN document of each bundle's sparse tiers, with the tiers' hierarchy and what references hang on.
+
+    A reference without a parent annotation hangs on the first one of its parent
+    tier, as the format wants one, and its label says so; its label also carries its
+    target, by the document's name where the target is in the document.
+    """
     import pandas as pd
 
     from sonospan.sources import formats
 
     tiers = corpus.table("tier")
-    parents = tiers.select("bundle_id", F.col("name").alias("tier_name"), "parent_id").join(tiers.select(F.col("id").alias("parent_id"), F.col("name").alias("parent")), "parent_id", "left").drop("parent_id")
-    rows = export_rows(corpus, tier_names).filter("tier_type <> 'reference'").join(parents, ["bundle_id", "tier_name"], "left")
-    rows = rows.select("bundle_id", "tier_id", "tier_name", "parent", F.coalesce("start_seconds", "time_seconds").alias("start"), F.coalesce("end_seconds", "time_seconds").alias("end"), F.coalesce("label", F.lit("")).alias("label"))
+    parents = tiers.select("bundle_id", F.col("name").alias("tier_name"), "parent_id").join(tiers.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"), F.col("type").alias("parent_type")), "parent_id", "left").drop("parent_id")
+    rows = export_rows(corpus, tier_names).join(parents, ["bundle_id", "tier_name"], "left")
+    start, end = F.coalesce("start_seconds", "time_seconds"), F.coalesce("end_seconds", "time_seconds")
+    rows = rows.select("bundle_id", "tier_id", "tier_name", "tier_type", "parent", "parent_type", "annotation_id", start.alias("start"), end.alias("end"), F.coalesce("label", F.lit("")).alias("label"), "extra", "parent_annotation_id", "target_kind", "target_id")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = [(str(name), part["parent"].iloc[0] or None, list(zip(part["start"], part["end"], part["label"], strict=True))) for (_, name), part in pdf.sort_values(["tier_id", "start", "end"]).groupby(["tier_id", "tier_name"])]
+        pdf = pdf.sort_values(["tier_id", "start", "end", "annotation_id"])
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        name = {(r.tier_type, r.annotation_id): f"a{n}" for n, r in enumerate(pdf.itertuples(), 1)}
+        first: dict[str, str] = {}
+        for r in pdf.itertuples():
+            first.setdefault(r.tier_name, name[r.tier_type, r.annotation_id])
+        made = []
+        for _, part in pdf.groupby("tier_id", sort=True):
+            rows = []
+            for r in part.itertuples():
+                if r.tier_type != "reference":
+                    rows.append((r.start, r.end, formats.encode_label(r.label, r.extra)))
+                    continue
+                own = name.get((r.parent_type, r.parent_annotation_id)) if r.parent_annotation_id is not None else None
+                told = {"target_kind": r.target_kind, "target_id": int(r.target_id) if r.target_id is not None else 0}
+                if (r.target_kind, r.target_id) in name:
+                    told["target"] = name[r.target_kind, r.target_id]
+                if own is None:
+                    told["placeholder"] = True
+                payload = json.dumps(told, separators=(",", ":"))
+                if r.extra is not None:
+                    payload = f'{payload[:-1]},"extra":{r.extra}}}'
+                rows.append((None, None, formats.encode_label(r.label, payload), own or first.get(r.parent, "")))
+            made.append((str(part["tier_name"].iloc[0]), part["parent"].iloc[0], rows))
         return pd.DataFrame({"bundle_id": [pdf["bundle_id"].iloc[0]], "text": [formats.write_eaf(made)]})
 
     return rows.groupBy("bundle_id").applyInPandas(write, "bundle_id long, text string")
 
 
+def export_json(corpus: Corpus, tier_names: list[str] | None = None) -> DataFrame:
+    """(bundle_id, json): the structured document of each bundle's sparse tiers."""
+    from sonospan.sources.readers import tiers_json
+
+    return tiers_json(export_rows(corpus, tier_names), corpus.table("bundle").select(F.col("id").alias("bundle_id"), "name", "sample_rate", "n_frames"))
+
+
+def import_json(corpus: Corpus, documents: DataFrame, processor: str = "import:json") -> int:
+    """New tiers of bundles from structured documents (bundle_id, json)."""
+    from sonospan.sources.readers import parsed_json
+
+    return import_tiers(corpus, parsed_json(documents), processor)
+
+
 def parents_first(tiers: DataFrame) -> DataFrame:
-    """``tiers`` (id, parent_id and others) with ``level``: 0 for roots, a child one more than its parent; levels by joins, as deep as the forest.
+    """``tiers`` (id, parent_id and others) with ``level``: 0 for roots, a child one more than its parent.
 
-    A tier that never gets a level has a missing parent or is its own ancestor: an error.
+    Every row knows an ancestor and how far it is; a round doubles that distance by
+    one join, so a forest of depth d takes log d rounds.  Missing parents and rows
+    that are their own ancestors are errors, and told apart.
     """
-    left = tiers.select("id", "parent_id")
-    done = left.filter("parent_id is null").select("id", F.lit(0).alias("level"))
-    placed, depth = done, 0
-    while not done.isEmpty():
-        depth += 1
-        done = left.join(done.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.lit(depth).alias("level"))
-        placed = placed.unionByName(done)
-        if depth > 100:
-            break
-    out = tiers.join(placed, "id", "left")
-    if not out.filter("level is null").isEmpty():
-        raise StoreError("a tier has a missing parent or is its own ancestor")
-    return out
+    rows = tiers.select("id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("level"))
+    if not rows.filter("up is not null").select(F.col("up").alias("id")).join(rows, "id", "left_anti").isEmpty():
+        raise StoreError("a tier has a missing parent")
+    rows = settled(rows)
+    rounds, most = 0, max(1, rows.count()).bit_length() + 1
+    while not rows.filter("up is not null").isEmpty():
+        rounds += 1
+        if rounds > most:  # longer than any path without a repeat
+            raise StoreError("a tier is its own ancestor")
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        going = rows.filter("up is not null").join(above, "up").select("id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        rows = settled(rows.filter("up is null").unionByName(going))
+    return tiers.join(rows.select("id", "level"), "id")
 
 
 def copy_tiers(source: Corpus, target: Corpus, pairs: DataFrame, suffix: str = "") -> dict[str, int]:
@@ -152,8 +229,20 @@ def set_criterion(corpus: Corpus, name: str, body: dict | str, target_tier: str,
     return old["id"]
 
 
+def rule_signals(corpus: Corpus, rule: rules.Rule, tiers: DataFrame, computed: dict[str, DataFrame] | None = None) -> DataFrame | None:
+    """The signals that a rule names: given ones, ``f0`` and ``intensity`` from the audio that its matches touch, and dense tiers."""
+    names = rule.referenced_signals()
+    if not names:
+        return None
+    computed = dict(computed or {})
+    for name in set(names) & set(signals.BUILT_IN) - set(computed):
+        whole = any(r.scope == "file" for n in [*rule.anchors(), *([rule.where] if rule.where else [])] for r in expr.reductions(n) if r.signal == name)
+        computed[name] = signals.computed(corpus, name, rules.select_rois(rule, tiers), whole)
+    return signal_set(corpus, names, computed)
+
+
 def signal_set(corpus: Corpus, wanted: list[str], computed: dict[str, DataFrame] | None = None) -> DataFrame:
-    """bundle_id, signal, t, v of named signals: computed ones (f0, intensity), else dense tiers of one number at i / rate.  An unknown name is an error."""
+    """bundle_id, signal, t, v of named signals: computed ones, else dense tiers of one number at i / rate.  An unknown name is an error."""
     computed = computed or {}
     out: DataFrame | None = None
     for name in wanted:
@@ -250,8 +339,7 @@ def run_criterion(corpus: Corpus, criterion_id: int, computed: dict[str, DataFra
     bundles = bundles if bundles is not None else corpus.table("bundle").select(F.col("id").alias("bundle_id"))
     wanted = [s.tier for s in (rule.select, rule.within, rule.overlaps) if s is not None]
     tiers = corpus.timeline(wanted).join(bundles, "bundle_id", "left_semi").select("bundle_id", "tier", "id", "start", "end", "label")
-    signals = signal_set(corpus, rule.referenced_signals(), computed) if rule.referenced_signals() else None
-    found = rules.evaluate(rule, tiers, signals, bucket_seconds)
+    found = rules.evaluate(rule, tiers, rule_signals(corpus, rule, tiers, computed), bucket_seconds)
     runs = record_criterion_run(corpus, criterion_id, bundles)
     return set_proposals(corpus, row["target_tier"], found.join(runs, "bundle_id"), bundles)
 
@@ -292,8 +380,7 @@ def generate_targets(corpus: Corpus, criterion_id: int, computed: dict[str, Data
     bundles = bundles if bundles is not None else corpus.table("bundle").select(F.col("id").alias("bundle_id"))
     wanted = [s.tier for s in (rule.select, rule.within, rule.overlaps) if s is not None]
     tiers = corpus.timeline(wanted).join(bundles, "bundle_id", "left_semi").select("bundle_id", "tier", "id", "start", "end", "label")
-    signals = signal_set(corpus, rule.referenced_signals(), computed) if rule.referenced_signals() else None
-    rois = rules.evaluate(rules.Rule(rule.select, {"kind": "span"}, rule.within, rule.overlaps, rule.where, None), tiers, signals)
+    rois = rules.evaluate(rules.Rule(rule.select, {"kind": "span"}, rule.within, rule.overlaps, rule.where, None), tiers, rule_signals(corpus, rule, tiers, computed))
     made = corpus.numbered("target", rois.select("bundle_id", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), "label", F.lit("unassigned").alias("status"), F.lit(None).cast("string").alias("note"), F.lit(criterion_id).cast("long").alias("criterion_id")))
     made = corpus.staged(made)
     old = corpus.staged(corpus.table("target").filter(F.col("criterion_id") == criterion_id).join(bundles, "bundle_id", "left_semi"))
