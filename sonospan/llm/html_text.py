@@ -16,7 +16,11 @@ blocks with their place.
    its gaps are the slots.  A slot is article text unless its place says
    otherwise: menus, headers, footers, sidebars, notices, adverts, forms, comments
    and the like, and everything outside ``article`` or ``main`` where a page has
-   one.
+   one that holds as much text as its other slots.
+
+A class or id marks a region only if all words of one of its names are words of
+regions: ``site-footer`` is one, ``no-sidebar`` and ``related-work`` are none.  Where
+regions that only such names mark hold all of a page's text, they mark nothing.
 
 Inside articles a class is boilerplate only if it and the more frequent ones make
 up less than half of the article blocks of the pages that have it: pages that
@@ -68,6 +72,7 @@ NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
 #: Elements whose end tags are often left out; they never hold a region.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption html body h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav header footer aside form button select dialog menu object canvas audio video map fieldset head".split())
@@ -98,6 +103,8 @@ class Block:
     inside: bool
     outside: bool
     in_form: bool
+    #: left out by names alone
+    named: bool = False
     parts: list[str] = field(default_factory=list)
     text: str = ""
     token: int = 0
@@ -129,30 +136,28 @@ def name_words(found: dict[str, str]) -> list[set[str]]:
     return [{w.lower() for w in NAME_PART.findall(name)} for value in (found.get("class", ""), found.get("id", "")) for name in value.split()]
 
 
-def region(name: str, found: dict[str, str], in_article: bool) -> str:
-    """The kind of region an element opens outside the article: "", "outside", "form", "aside" or "comments".
-
-    Inside an article a name must be that of a region and nothing else: related-links is one, related-work is none.
-    """
+def region(name: str, found: dict[str, str]) -> str:
+    """The kind of region an element opens: "", "outside", "named" (by its class or id alone), "form", "aside" or "comments"."""
     names = name_words(found) if found else []
-    words = set().union(*names)
     if name in ("html", "body", "main"):
         return ""
-    if words & COMMENT_NAMES:
+
+    def named(of: frozenset[str]) -> bool:
+        return any(w & of and all(x in of or x in OUTSIDE_NAMES or x in PLAIN_NAMES or x.isdigit() for x in w) for w in names)
+
+    if named(COMMENT_NAMES):
         return "comments"
     if name == "article":
         return ""
     if name == "aside":
         return "aside"
-    if in_article:
-        named = any(w & OUTSIDE_NAMES and all(x in OUTSIDE_NAMES or x in PLAIN_NAMES or x.isdigit() for x in w) for w in names)
-    else:
-        named = bool(words & OUTSIDE_NAMES)
-    if named or hidden(found) or found.get("role", "").lower() in OUTSIDE_ROLES:
+    if hidden(found) or found.get("role", "").lower() in OUTSIDE_ROLES:
         return "outside"
     if name == "form":
-        return "form"
-    return "outside" if name in OUTSIDE else ""
+        return "outside" if named(OUTSIDE_NAMES) else "form"
+    if name in OUTSIDE:
+        return "outside"
+    return "named" if named(OUTSIDE_NAMES) else ""
 
 
 def parsed(source: str) -> Page:
@@ -180,7 +185,7 @@ def parsed(source: str) -> Page:
             if part.isspace():
                 return
             kinds = {s[1] for s in stack} - {""}
-            block = Block(tuple(s[0] for s in stack[-6:]), any(s[2] for s in stack), bool(kinds), kinds == {"form"})
+            block = Block(tuple(s[0] for s in stack[-6:]), any(s[2] for s in stack), bool(kinds), kinds == {"form"}, bool(kinds) and kinds <= {"named", "comments"})
         block.parts.append(part)
 
     at, end, markup = 0, len(source), MARKUP
@@ -236,7 +241,9 @@ def parsed(source: str) -> Page:
                 stack.clear()
             continue
         found = attributes(source_of)
-        kind = region(name, found, any(s[2] for s in stack))
+        kind = region(name, found)
+        if stack and stack[-1][0].split(".")[0] == "head" and name not in IN_HEAD:  # its end tag was left out
+            stack.pop()
         label = ".".join([name, *sorted(found.get("class", "").split())[:3]])
         page.add(0, tuple(s[0] for s in stack[-6:]), label)
         if name in LOOSE:
@@ -301,15 +308,18 @@ def main_text(page: Page, template: np.ndarray, within: np.ndarray) -> str:
         tokens = np.array([b.token for b in blocks], dtype=np.uint64)
         return [b for b, go in zip(blocks, np.isin(tokens, gone).tolist(), strict=True) if not go]
 
-    inside = [b for b in page.blocks if b.inside and not b.outside]
-    if inside:
-        kept = slots(inside, within)
-    else:
-        open_ = [b for b in page.blocks if not b.outside]
-        formed = [b for b in page.blocks if b.in_form]
-        if sum(len(b.text) for b in formed) > 4 * sum(len(b.text) for b in open_):  # the whole page is in a form
-            open_ = [b for b in page.blocks if not b.outside or b.in_form]
-        kept = slots(open_, template) or open_
+    size = lambda blocks: sum(len(b.text) for b in blocks)
+    inside = slots([b for b in page.blocks if b.inside and not b.outside], within)
+    open_ = [b for b in page.blocks if not b.outside]
+    formed = [b for b in page.blocks if b.in_form]
+    if size(formed) > 4 * size(open_):  # the whole page is in a form
+        open_ = [b for b in page.blocks if not b.outside or b.in_form]
+    if not open_:  # names alone leave nothing
+        open_ = [b for b in page.blocks if b.named]
+    kept = slots(open_, template) or open_
+    if any(b.inside and not b.outside for b in page.blocks):
+        beside, own = [b for b in kept if not b.inside], {id(b) for b in inside}
+        kept = inside if size(inside) >= size(beside) else [b for b in kept if not b.inside or id(b) in own]
     return " ".join(b.text for b in kept)
 
 
