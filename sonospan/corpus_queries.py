@@ -430,3 +430,28 @@ def intensity_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     audio = view.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bundle_id"), F.lit(1000).alias("sample_rate"), F.col("embedding").cast("array<double>").alias("samples"))
     made = frames.analysed(audio, lambda x, r: dsp.intensity(x, r, 0.016, 0.008), "t double, rms double, db double")
     return made.select(F.col("bundle_id").alias("vec_id"), F.round("t", 6).alias("t"), F.round("rms", 6).alias("rms"), F.round("db", 5).alias("db"))
+
+
+@register("""SELECT 'installed' AS stage, l_returnflag AS flag, count(*) AS n, count(DISTINCT l_suppkey) AS n_speakers, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 2
+UNION ALL SELECT 'refused', NULL, NULL, (SELECT min(n) FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag)), NULL""")
+def refdist_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distribution packed, checked, installed and read back; one that asks for more speakers in each subgroup than there are is refused, with the least number there is."""
+    from sonospan import refdists
+    from sonospan.store import StoreError
+
+    root = new_corpus(spark).root
+    data = view.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("speaker_id"), F.col("l_quantity").alias("value"))
+    about = {"version": "1.0.0", "title": "Quantities", "license": "CC0-1.0", "measure": {"kind": "observed_distribution", "parameters": ["F1"]}, "population": {"language": "eng"}}
+    privacy = {"shareability": "raw_samples", "min_n_per_subgroup": 2, "subgroups": ["flag"]}
+    refdists.scaffold(spark, f"{root}/src/one", about | {"id": "quantities", "privacy": privacy}, "From the line items.", data)
+    refdists.scaffold(spark, f"{root}/src/two", about | {"id": "crowded", "privacy": privacy | {"min_n_per_subgroup": 1 << 40}}, "", data)
+    refdists.install(spark, f"{root}/store", f"{root}/src/one", refdists.CURATED)
+    least = 0
+    try:
+        refdists.install(spark, f"{root}/store", f"{root}/src/two", refdists.CURATED)
+    except StoreError as e:
+        least = int(str(e).rpartition(": ")[2].split()[0])
+    paths = [r["path"] for r in refdists.found(refdists.installed(spark, f"{root}/store"), language="ENG", parameter="f1").collect()]  # one package
+    kept = spark.read.parquet(*[f"{p}/data.parquet" for p in paths])
+    rows = kept.groupBy("flag").agg(F.count("*").alias("n"), F.countDistinct("speaker_id").alias("n_speakers"), F.round(F.avg("value"), 6).alias("mean")).select(F.lit("installed").alias("stage"), "flag", "n", "n_speakers", "mean")
+    return rows.unionByName(spark.range(1).select(F.lit("refused").alias("stage"), *[F.lit(None).cast(t).alias(c) for c, t in (("flag", "string"), ("n", "long"))], F.lit(least).cast("long").alias("n_speakers"), F.lit(None).cast("double").alias("mean")))
