@@ -45,7 +45,7 @@ MEETINGS = 64
 #: What single-precision scaling of an exact integer product, and rounding of bounds, can add.
 SLACK = 2e-6
 
-BLOCK = "block long, n int, dim int, nodes binary, weights binary, cells binary, scales binary, errors binary, units binary, centre binary, angle double"
+BLOCK = "block long, n int, dim int, nodes binary, weights binary, cells binary, scales binary, errors binary, kind string, exact binary, centre binary, angle double"
 
 
 def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,13 +58,18 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def packed(table: pa.Table, block: int) -> pa.RecordBatch:
-    u = units(matrix(table["v"].combine_chunks()))
+    x = matrix(table["v"].combine_chunks())
+    u = units(x)
+    # single precision where it holds the values as they are; lengths are divided out again where they are read
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    kind, exact = ("<f4", small) if (small == x).all() else ("<f8", x)
     cells, scale, error = quantised(u)
     centre = units(u.sum(axis=0)[None])[0]
     angle = float(np.arccos(np.clip((u @ centre).min(), -1, 1))) if centre.any() else math.pi
     nodes, weights = (table[c].to_numpy().astype("<i8") for c in ("node", "n"))
-    row = [block, len(u), u.shape[1], *(x.tobytes() for x in (nodes, weights, cells, scale, error, u, centre)), angle]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 7, pa.float64()]
+    row = [block, len(u), u.shape[1], *(y.tobytes() for y in (nodes, weights, cells, scale, error)), kind, exact.tobytes(), centre.tobytes(), angle]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.string(), pa.binary(), pa.binary(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
 
@@ -77,7 +82,7 @@ class Block:
         self.block, self.n, self.dim = row["block"], n, dim
         self.nodes, self.weights = read("nodes", "<i8"), read("weights", "<i8")
         self.cells = read("cells", np.int8).reshape(n, dim).astype(np.float32 if dim * 127 * 127 < 1 << 24 else np.float64)
-        self.scales, self.errors, self.units = read("scales"), read("errors"), read("units").reshape(n, dim)
+        self.scales, self.errors, self.units = read("scales"), read("errors"), units(read("exact", row["kind"]).reshape(n, dim).astype(np.float64))
 
     def widened(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         return padded(self.cells, dim), padded(self.units, dim)
