@@ -294,12 +294,11 @@ def corpus_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = {"start_seconds": F.lit(0.0), "end_seconds": F.lit(1.0), "label": F.col("st"), "status": F.lit("unassigned")}
     c.commit([("bundle", "insert", bundles_of(o)), ("target", "insert", o.withColumns(fixed | none(note="string", criterion_id="long")))])
     c.append("assignment", o.filter("left(pr, 1) = '1'").select(F.col("id").alias("target_id"), F.lit("ann").alias("annotator"), F.lit("assigned").alias("status")))
-    gone = F.col("target_id").isin([r["id"] for r in o.filter("left(pr, 1) = '1' and st = 'F'").select("id").limit(0).collect()])
     finished = c.assignments().join(o.filter("st = 'F'").select(F.col("id").alias("target_id")), "target_id", "left_semi").select("id")
     c.update("assignment", F.lit(True), {"annotator": F.lit("bob"), "role": F.lit("second")})
     marked = c.table("assignment").join(finished, "id", "left_semi").withColumn("status", F.lit("gone"))
     c.replace("assignment", marked)
-    c.delete("assignment", gone | (F.col("status") == "gone"))
+    c.delete("assignment", F.col("status") == "gone")
     c.update("target", F.col("label") == "P", {"status": F.lit("done"), "note": F.lit("n")})
     who = c.assignments().select(F.col("target_id").alias("id"), "annotator")
     return c.table("target").join(who, "id", "left").select("id", "bundle_id", "status", "annotator")

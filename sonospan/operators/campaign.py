@@ -54,7 +54,7 @@ def rubric_impact(before: DataFrame, after: DataFrame, annotations: DataFrame) -
 def citations(runs: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Processors of each bundle that have a citation, in the order of their first run."""
     first = runs.groupBy(*keys, "processor").agg(F.min("id").alias("first_run"))
-    return first.join(F.broadcast(known), "processor").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("first_run"))).withColumn("weblink", F.coalesce("url", F.concat(F.lit("https://doi.org/"), F.col("doi"))))
+    return first.join(known, "processor").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("first_run"))).withColumn("weblink", F.coalesce("url", F.concat(F.lit("https://doi.org/"), F.col("doi"))))
 
 
 def shuffled(items: list, seed: int) -> list:

@@ -28,9 +28,7 @@ def import_package(corpus: Corpus, package: Corpus, annotator: str) -> dict[str,
     ours = corpus.table("bundle").select(F.col("id").alias("to_bundle"), "name")
     pairs = corpus.staged(package.table("bundle").select(F.col("id").alias("from_bundle"), "name").join(ours, "name").select("from_bundle", "to_bundle"))
     landed = package.table("tier").join(pairs.withColumnRenamed("from_bundle", "bundle_id"), "bundle_id").select(F.col("to_bundle").alias("bundle_id"), F.concat("name", F.lit(f" [{annotator}]")).alias("name"))
-    old = corpus.table("tier").join(landed, ["bundle_id", "name"], "left_semi").select("id").collect()  # tiers of one annotator's package
-    if old:
-        corpus.delete("tier", F.col("id").isin(*[r["id"] for r in old]))
+    corpus.delete("tier", corpus.table("tier").join(landed, ["bundle_id", "name"], "left_semi").select("id"))
     counts = copy_tiers(package, corpus, pairs, f" [{annotator}]")
     corpus.update("assignment", F.col("annotator") == annotator, {"status": F.lit("done")})
     return {"bundles": pairs.count(), **counts}

@@ -20,7 +20,7 @@ class Preset:
 BUILT_IN = [
     *(Preset(m, "mfcc", based_on=m, params={"method": m}) for m in ("librosa", "kaldi", "praat")),
     *(Preset(f"formants-{m}", "formants", based_on=m, params={"method": m}) for m in ("burg", "autocorrelation")),
-    *(Preset(m, "pitch", based_on=m, params={"method": m}) for m in ("boersma", "autocorrelation", "windowed", "yin", "pyin")),
+    *(Preset(m, "pitch", based_on=m, params={"method": m}) for m in ("boersma", "autocorrelation", "windowed", "yin", "pyin", "swipe")),
 ]
 
 

@@ -344,9 +344,10 @@ class Corpus:
             out += self.doomed(child, self.table(child).join(gone.select(F.col("id").alias(column)), column, "left_semi"))
         return [*out, (name, "delete", gone)]
 
-    def delete(self, name: str, where: Column) -> int:
-        """Delete rows and all that hangs on them, in one commit; a tier with child tiers is refused."""
-        gone = self.staged(self.table(name).filter(where))
+    def delete(self, name: str, where: Column | DataFrame) -> int:
+        """Delete rows, by a condition or by ids (a frame of ``id``), and all that hangs on them, in one commit; a tier with child tiers that stay is refused."""
+        rows = self.table(name)
+        gone = self.staged(rows.join(where.select("id").distinct(), "id", "left_semi").select(*names(name)) if isinstance(where, DataFrame) else rows.filter(where))
         n = gone.count()
         if not n:
             return 0
