@@ -263,9 +263,42 @@ m AS (SELECT i.bundle_id, k, s, i.e, avg(db) AS db FROM i JOIN l ON l.bundle_id
 SELECT m.bundle_id, 'v' || k AS label, round(s, 6) AS "start", round(m.e, 6) AS "end" FROM m JOIN w USING (bundle_id) WHERE m.db > w.db"""
 
 
+TARGETS = [1, 2, 3, 2, 2, 1]
+
+
+def align_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of each label as one long utterance, 16 frames of 4 emissions a vector and a block, aligned to six targets; blanks of three frames are silence."""
+    from sonospan.operators import paths
+
+    frame = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.slice("embedding", i * 4 + 1, 4), lambda x: 10 * x.cast("double")))
+    blocks = strung(spark, sf_dir).select("bundle_id", F.col("k").cast("int").alias("block"), (F.col("k") * 16).cast("long").alias("first"), frame.alias("emissions"))
+    targets = blocks.select("bundle_id").distinct().withColumn("targets", F.array(*map(F.lit, TARGETS)))
+    spans = paths.forced_align_cut(blocks, targets, min_silence_frames=3)
+    return spans.select("bundle_id", "token", "first", "end", F.round("score", 6).alias("score"))
+
+
+STATES = [0] + [x for t in TARGETS for x in (t, 0)]
+SKIPS = [k > 2 and k % 2 == 1 and STATES[k] != STATES[k - 2] for k in range(len(STATES))]
+WAYS = f"s[j], s[j - 1], CASE WHEN {SKIPS}[j] THEN s[j - 2] END"
+BEST = f"list_transform(range(1, {len(STATES) + 1}), lambda j: greatest({WAYS}))"
+#: The same search frame by frame over whole utterances: scores and ways forward, then the path back.
+ALIGN_CUT_SQL = f"""WITH RECURSIVE v AS (SELECT coalesce(label, -1)::BIGINT AS bundle_id, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) - 1 AS k, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
+fr AS (SELECT bundle_id, k * 16 + i AS t, list_transform(e[4 * i + 1:4 * i + 4], lambda x: 10 * x::DOUBLE) AS x FROM v, range(16) r(i)),
+fi AS (SELECT bundle_id, t, list_transform({STATES}, lambda c: round_even(x[c + 1] * 4294967296, 0)::BIGINT) AS x FROM fr),
+fw AS (SELECT bundle_id, t, list_transform(range(1, {len(STATES) + 1}), lambda j: CASE WHEN j < 3 THEN x[j] END) AS s, list_transform(range(1, {len(STATES) + 1}), lambda j: 0) AS b FROM fi WHERE t = 0
+UNION ALL SELECT bundle_id, t, list_transform(range(1, {len(STATES) + 1}), lambda j: best[j] + x[j]), list_transform(range(1, {len(STATES) + 1}), lambda j: CASE WHEN s[j] = best[j] THEN 0 WHEN s[j - 1] = best[j] THEN 1 ELSE 2 END)
+FROM (SELECT fi.bundle_id, fi.t, fi.x, s, {BEST} AS best FROM fw JOIN fi ON fi.bundle_id = fw.bundle_id AND fi.t = fw.t + 1)),
+bw AS (SELECT bundle_id, t, CASE WHEN coalesce(s[{len(STATES)}] >= s[{len(STATES) - 1}], s[{len(STATES)}] IS NOT NULL) THEN {len(STATES)} ELSE {len(STATES) - 1} END AS at_ FROM fw WHERE (bundle_id, t) IN (SELECT bundle_id, max(t) FROM fw GROUP BY 1)
+UNION ALL SELECT bw.bundle_id, bw.t - 1, bw.at_ - fw.b[bw.at_] FROM bw JOIN fw ON fw.bundle_id = bw.bundle_id AND fw.t = bw.t WHERE bw.t > 0),
+p AS (SELECT bundle_id, t, at_ - 1 AS state, greatest(at_ // 2 - 1, 0) AS owner, x, count(*) OVER (PARTITION BY bundle_id, at_) AS n FROM bw JOIN fr USING (bundle_id, t)),
+o AS (SELECT *, state % 2 = 0 AND n >= 3 AS silent FROM p)
+SELECT bundle_id, CASE WHEN silent THEN -1 ELSE owner END::INT AS token, min(t)::BIGINT AS "first", max(t) + 1 AS "end", round(avg(CASE WHEN silent THEN x[1] ELSE x[{TARGETS}[owner + 1] + 1] END), 6) AS score
+FROM o GROUP BY bundle_id, silent, owner, CASE WHEN silent THEN state ELSE owner END"""
+
+
 QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m) for m in ("librosa", "kaldi", "praat")} | {
-    "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc, "align_tiers": align_tiers,
+    "formants": formants, "intensity_frames": intensity, "ltas": ltas, "whisper_log_mel": whisper_log_mel, "clinical_measures": clinical_measures, "syllables": syllables, "align_ctc": align_ctc, "align_tiers": align_tiers, "align_cut": align_cut,
     # at the scale of the bench the recordings last 300 s in all
     "mfcc_300s": _mfcc("librosa"), "formants_300s": formants, "pitch_300s": _pitch("autocorrelation"), "pitch_medians": pitch_medians, "criterion_on_audio": criterion_on_audio,
 }
-ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL, "criterion_on_audio": CRITERION_SQL}
+ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL, "criterion_on_audio": CRITERION_SQL, "align_cut": ALIGN_CUT_SQL}
