@@ -228,7 +228,8 @@ def align_ctc(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows += [(v, i, *s[:4]) for i, s in enumerate(align.forced_align(e, [1, 2, 2]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["vec_id", "position", "target", "first", "end", "score"])
 
-    return view.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, position int, target int, first int, end int, score double")
+    made = view.table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id long, position int, target int, first int, end int, score double")
+    return made.withColumn("score", F.round("score", 6))
 
 
 def align_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,23 +278,30 @@ def align_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("bundle_id", "token", "first", "end", F.round("score", 6).alias("score"))
 
 
-STATES = [0] + [x for t in TARGETS for x in (t, 0)]
-SKIPS = [k > 2 and k % 2 == 1 and STATES[k] != STATES[k - 2] for k in range(len(STATES))]
-WAYS = f"s[j], s[j - 1], CASE WHEN {SKIPS}[j] THEN s[j - 2] END"
-BEST = f"list_transform(range(1, {len(STATES) + 1}), lambda j: greatest({WAYS}))"
-#: The same search frame by frame over whole utterances: scores and ways forward, then the path back.
-ALIGN_CUT_SQL = f"""WITH RECURSIVE v AS (SELECT coalesce(label, -1)::BIGINT AS bundle_id, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) - 1 AS k, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
-fr AS (SELECT bundle_id, k * 16 + i AS t, list_transform(e[4 * i + 1:4 * i + 4], lambda x: 10 * x::DOUBLE) AS x FROM v, range(16) r(i)),
-fi AS (SELECT bundle_id, t, list_transform({STATES}, lambda c: round_even(x[c + 1] * 4294967296, 0)::BIGINT) AS x FROM fr),
-fw AS (SELECT bundle_id, t, list_transform(range(1, {len(STATES) + 1}), lambda j: CASE WHEN j < 3 THEN x[j] END) AS s, list_transform(range(1, {len(STATES) + 1}), lambda j: 0) AS b FROM fi WHERE t = 0
-UNION ALL SELECT bundle_id, t, list_transform(range(1, {len(STATES) + 1}), lambda j: best[j] + x[j]), list_transform(range(1, {len(STATES) + 1}), lambda j: CASE WHEN s[j] = best[j] THEN 0 WHEN s[j - 1] = best[j] THEN 1 ELSE 2 END)
-FROM (SELECT fi.bundle_id, fi.t, fi.x, s, {BEST} AS best FROM fw JOIN fi ON fi.bundle_id = fw.bundle_id AND fi.t = fw.t + 1)),
-bw AS (SELECT bundle_id, t, CASE WHEN coalesce(s[{len(STATES)}] >= s[{len(STATES) - 1}], s[{len(STATES)}] IS NOT NULL) THEN {len(STATES)} ELSE {len(STATES) - 1} END AS at_ FROM fw WHERE (bundle_id, t) IN (SELECT bundle_id, max(t) FROM fw GROUP BY 1)
-UNION ALL SELECT bw.bundle_id, bw.t - 1, bw.at_ - fw.b[bw.at_] FROM bw JOIN fw ON fw.bundle_id = bw.bundle_id AND fw.t = bw.t WHERE bw.t > 0),
-p AS (SELECT bundle_id, t, at_ - 1 AS state, greatest(at_ // 2 - 1, 0) AS owner, x, count(*) OVER (PARTITION BY bundle_id, at_) AS n FROM bw JOIN fr USING (bundle_id, t)),
-o AS (SELECT *, state % 2 = 0 AND n >= 3 AS silent FROM p)
+def path_sql(key: str, frames: str, targets: list[int]) -> str:
+    """The same search frame by frame over whole utterances: scores and ways forward, then the path back.  ``frames``: tables that end in fr (key, t, x); gives p (key, t, state, owner, x, n)."""
+    states = [0] + [x for t in targets for x in (t, 0)]
+    n = len(states)
+    skips = [k > 2 and k % 2 == 1 and states[k] != states[k - 2] for k in range(n)]
+    each = lambda e: f"list_transform(range(1, {n + 1}), lambda j: {e})"
+    return f"""WITH RECURSIVE {frames},
+fi AS (SELECT {key}, t, list_transform({states}, lambda c: round_even(greatest(x[c + 1], -1000) * 4294967296, 0)::BIGINT) AS x FROM fr),
+fw AS (SELECT {key}, t, {each("CASE WHEN j < 3 THEN x[j] END")} AS s, {each("0")} AS b FROM fi WHERE t = 0
+UNION ALL SELECT {key}, t, {each("best[j] + x[j]")}, {each("CASE WHEN s[j] = best[j] THEN 0 WHEN s[j - 1] = best[j] THEN 1 ELSE 2 END")}
+FROM (SELECT fi.{key}, fi.t, fi.x, s, {each(f"greatest(s[j], s[j - 1], CASE WHEN {skips}[j] THEN s[j - 2] END)")} AS best FROM fw JOIN fi ON fi.{key} = fw.{key} AND fi.t = fw.t + 1)),
+bw AS (SELECT {key}, t, CASE WHEN coalesce(s[{n}] >= s[{n - 1}], s[{n}] IS NOT NULL) THEN {n} ELSE {n - 1} END AS at_ FROM fw WHERE ({key}, t) IN (SELECT {key}, max(t) FROM fw GROUP BY 1)
+UNION ALL SELECT bw.{key}, bw.t - 1, bw.at_ - fw.b[bw.at_] FROM bw JOIN fw ON fw.{key} = bw.{key} AND fw.t = bw.t WHERE bw.t > 0),
+p AS (SELECT {key}, t, at_ - 1 AS state, greatest(at_ // 2 - 1, 0) AS owner, x, count(*) OVER (PARTITION BY {key}, at_) AS n FROM bw JOIN fr USING ({key}, t))"""
+
+
+STRUNG_SQL = """v AS (SELECT coalesce(label, -1)::BIGINT AS bundle_id, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) - 1 AS k, embedding AS e FROM embeddings WHERE embedding IS NOT NULL),
+fr AS (SELECT bundle_id, k * 16 + i AS t, list_transform(e[4 * i + 1:4 * i + 4], lambda x: 10 * x::DOUBLE) AS x FROM v, range(16) r(i))"""
+ALIGN_CUT_SQL = path_sql("bundle_id", STRUNG_SQL, TARGETS) + f""", o AS (SELECT *, state % 2 = 0 AND n >= 3 AS silent FROM p)
 SELECT bundle_id, CASE WHEN silent THEN -1 ELSE owner END::INT AS token, min(t)::BIGINT AS "first", max(t) + 1 AS "end", round(avg(CASE WHEN silent THEN x[1] ELSE x[{TARGETS}[owner + 1] + 1] END), 6) AS score
 FROM o GROUP BY bundle_id, silent, owner, CASE WHEN silent THEN state ELSE owner END"""
+CTC_SQL = path_sql("vec_id", """ex AS (SELECT vec_id, i AS t, list_transform(embedding[4 * i + 1:4 * i + 4], lambda x: 8 * x::DOUBLE) AS x FROM embeddings, range(16) r(i) WHERE embedding IS NOT NULL),
+fr AS (SELECT vec_id, t, list_transform(x, lambda y: y - ln(list_sum(list_transform(x, lambda z: exp(z))))) AS x FROM ex)""", [1, 2, 2]) + """
+SELECT vec_id, owner::INT AS position, [1, 2, 2][owner + 1]::INT AS target, min(t)::INT AS "first", (max(t) + 1)::INT AS "end", round(avg(x[[1, 2, 2][owner + 1] + 1]), 6) AS score FROM p GROUP BY vec_id, owner"""
 
 
 QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m) for m in ("librosa", "kaldi", "praat")} | {
@@ -301,4 +309,4 @@ QUERIES = {f"pitch_{m}": _pitch(m) for m in dsp.PITCH} | {f"mfcc_{m}": _mfcc(m)
     # at the scale of the bench the recordings last 300 s in all
     "mfcc_300s": _mfcc("librosa"), "formants_300s": formants, "pitch_300s": _pitch("autocorrelation"), "pitch_medians": pitch_medians, "criterion_on_audio": criterion_on_audio,
 }
-ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL, "criterion_on_audio": CRITERION_SQL, "align_cut": ALIGN_CUT_SQL}
+ORACLES = {"pitch_medians": PITCH_MEDIANS_SQL, "intensity_frames": INTENSITY_SQL, "criterion_on_audio": CRITERION_SQL, "align_cut": ALIGN_CUT_SQL, "align_ctc": CTC_SQL}
