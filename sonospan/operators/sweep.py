@@ -133,19 +133,34 @@ def with_samples(intervals: DataFrame, samples: DataFrame, cut: DataFrame) -> Da
 REDUCERS = ("mean", "max", "min", "range", "median", "std", "argmax", "argmin")
 
 
-def measures(t: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: list[str]) -> dict[str, np.ndarray]:
+def crossed(times: np.ndarray, values: np.ndarray, of: np.ndarray, at: np.ndarray, which: str, direction: str | None, threshold: float) -> np.ndarray:
+    """Where the values of each run first or last cross a threshold, on the line between two samples; NaN where they do not."""
+    a, b, t0, t1 = values[:-1], values[1:], times[:-1], times[1:]
+    up, down = (a < threshold) & (b >= threshold), (a > threshold) & (b <= threshold)
+    hit = (of[:-1] == of[1:]) & {"rising": up, "falling": down, None: up | down}[direction]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        where = t0 + (threshold - a) / (b - a) * (t1 - t0)
+    none = np.inf if which == "first_crossing" else -np.inf
+    best = (np.minimum if which == "first_crossing" else np.maximum).reduceat(np.append(np.where(hit, where, none), none), at)
+    return np.where(np.isfinite(best), best, np.nan)
+
+
+def measures(t: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: list[str | tuple]) -> dict[str | tuple, np.ndarray]:
     """Reductions of samples ``lo`` to ``hi`` of each interval, which holds one at least; t ascends, and v where t is equal.
 
-    NaN makes a mean, a median's upper part and a deviation NaN, and never wins an
-    extreme; ties go to the earliest time.
+    NaN makes a mean, a median's upper part and a deviation NaN, never wins an
+    extreme and crosses nothing; ties go to the earliest time.  A crossing is
+    (which, direction, threshold).
     """
     n = hi - lo
     at = np.concatenate([[0], np.cumsum(n)[:-1]])
     take = np.arange(n.sum()) - np.repeat(at - lo, n)
     values, times, of = v[take], t[take], np.repeat(np.arange(len(n)), n)
-    out: dict[str, np.ndarray] = {}
+    out: dict[str | tuple, np.ndarray] = {}
     mean = np.add.reduceat(values, at) / n
     out["mean"] = mean
+    for crossing in (r for r in wanted if isinstance(r, tuple)):
+        out[crossing] = crossed(times, values, of, at, *crossing)
     if "std" in wanted:
         off = values - mean[of]
         out["std"] = np.sqrt(np.add.reduceat(off * off, at) / n)
@@ -169,7 +184,7 @@ def measures(t: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, wante
 class Sweep:
     """Intervals and samples of one (bundle, slice) in order of time: an interval is reduced when time has passed its end."""
 
-    def __init__(self, wanted: list[tuple[str, str]]):
+    def __init__(self, wanted: list[tuple[str, str | tuple]]):
         self.wanted = wanted  # (output column, reducer); "samples" gives the (t, v) themselves
         self.open: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
         self.t, self.v = np.zeros(0), np.zeros(0)
@@ -219,7 +234,9 @@ class Sweep:
             whole, null = np.zeros(len(lo)), ~some
             if some.any():
                 whole[some] = found[reducer]
-                if reducer in ("max", "min", "range", "argmax", "argmin"):
+                if isinstance(reducer, tuple):
+                    null |= np.isnan(whole)
+                elif reducer in ("max", "min", "range", "argmax", "argmin"):
                     null[np.flatnonzero(some)[found["_none"]]] = True
             cols.append(pa.array(whole, mask=null))
         return pa.RecordBatch.from_arrays(cols, [*rows.schema.names, *[c for c, _ in self.wanted]])
@@ -251,7 +268,7 @@ def swept(batches: Iterator[pa.RecordBatch], wanted: list[tuple[str, str]]) -> I
     yield from sweep.close(np.inf)
 
 
-def reduced_in(intervals: DataFrame, samples: DataFrame, wanted: list[tuple[str, str]], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def reduced_in(intervals: DataFrame, samples: DataFrame, wanted: list[tuple[str, str | tuple]], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``intervals`` (bundle_id, start, end and more) with a column for each (name, reducer) over the samples (bundle_id, t, v) in their closed span.
 
     An interval without a sample gets nulls.  ``samples`` as a reducer gives the

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonospan.operators.intervals import EPS, overlapping, within
@@ -102,6 +102,33 @@ def aggregate(r: expr.Reduction, name: str) -> Column:
     return F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("t", "v")))).alias(name)
 
 
+def constant(node: expr.Node | None) -> float | None:
+    """The value of a plain number, negative ones included."""
+    if node is not None and node.kind == "unary" and node.value == "-":
+        inner = constant(node.args[0])
+        return None if inner is None else -inner
+    return float(node.value) if node is not None and node.kind == "number" else None
+
+
+def reducer(r: expr.Reduction) -> str | tuple:
+    """What a sweep computes: a crossing of a plain number where it is, else the samples themselves."""
+    if r.func in REDUCERS:
+        return r.func
+    threshold = constant(r.threshold)
+    return "samples" if threshold is None else (r.func, r.direction, threshold)
+
+
+def crossing_in_file(samples: DataFrame, r: expr.Reduction, name: str) -> DataFrame:
+    """bundle_id and where the samples (_b, t, v) of a file first or last cross a plain number: pairs of neighbours, no array of samples."""
+    w = Window.partitionBy("_b").orderBy("t", "v")
+    threshold = F.lit(constant(r.threshold))
+    pairs = samples.filter("v is not null and t is not null").select("_b", "t", "v", F.lead("t").over(w).alias("t1"), F.lead("v").over(w).alias("v1")).filter("v1 is not null and not isnan(v) and not isnan(v1)")
+    up, down = (F.col("v") < threshold) & (F.col("v1") >= threshold), (F.col("v") > threshold) & (F.col("v1") <= threshold)
+    at = F.col("t") + (threshold - F.col("v")) / (F.col("v1") - F.col("v")) * (F.col("t1") - F.col("t"))
+    best = F.min if r.func == "first_crossing" else F.max
+    return pairs.filter({"rising": up, "falling": down, None: up | down}[r.direction]).groupBy(F.col("_b").alias("bundle_id")).agg(best(at).alias(name))
+
+
 def reduced(intervals: DataFrame, signals: DataFrame, wanted: list[expr.Reduction]) -> DataFrame:
     """``intervals`` with a column ``_r<i>`` for each reduction.  ``signals``: bundle_id, signal, t, v.
 
@@ -112,9 +139,12 @@ def reduced(intervals: DataFrame, signals: DataFrame, wanted: list[expr.Reductio
     for signal in sorted({r.signal for r in wanted}):
         own = signals.filter(F.col("signal") == signal).select(F.col("bundle_id").alias("_b"), "t", "v")
         some = [(i, r) for i, r in enumerate(wanted) if r.signal == signal]
-        if here := [(f"_r{i}", r.func if r.func in REDUCERS else "samples") for i, r in some if r.scope == "interval"]:
+        if here := [(f"_r{i}", reducer(r)) for i, r in some if r.scope == "interval"]:
             out = reduced_in(out, own.withColumnRenamed("_b", "bundle_id"), here)
-        if whole := [aggregate(r, f"_r{i}") for i, r in some if r.scope == "file"]:
+        for i, r in some:
+            if r.scope == "file" and isinstance(reducer(r), tuple):
+                out = out.join(crossing_in_file(own, r, f"_r{i}"), "bundle_id", "left")
+        if whole := [aggregate(r, f"_r{i}") for i, r in some if r.scope == "file" and not isinstance(reducer(r), tuple)]:
             out = out.join(own.groupBy(F.col("_b").alias("bundle_id")).agg(*whole), "bundle_id", "left")
     return out
 
@@ -123,7 +153,7 @@ def values(wanted: list[expr.Reduction], start: Column, end: Column) -> dict[exp
     found: dict[expr.Reduction, Column] = {}
     for i, r in enumerate(wanted):
         c = F.col(f"_r{i}")
-        found[r] = crossing(c, expr.column(r.threshold, found, start, end), r) if "crossing" in r.func else c
+        found[r] = crossing(c, expr.column(r.threshold, found, start, end), r) if reducer(r) == "samples" else c
     return found
 
 

@@ -162,3 +162,22 @@ def test_kappa_from_margins(spark):
         assert x.kappa == pytest.approx(1.0 if pe == 1 else (po - pe) / (1 - pe))
     weighted = spark.createDataFrame(pairs, "k long, a string, b string").groupBy("k", "a", "b").agg(F.count("*").alias("w"))
     assert {x.k: (x.n, pytest.approx(x.kappa)) for x in agreement.cohen_kappa(weighted, ["k"], weight="w").collect()} == {k: (x.n, x.kappa) for k, x in got.items()}
+
+
+@pytest.mark.parametrize("scope", ["", ", file"])
+def test_crossings_of_numbers_and_of_expressions_agree(spark, scope):
+    """A plain number is found in the sweep, any other threshold in an array of samples."""
+    from sonospan.plans import expr, rules
+
+    r = random.Random(2)
+    samples = [(b, "x", float(t), float(r.choice([r.randint(-3, 3), r.gauss(0, 2)]))) for b in (1, 2) for t in range(60)] + [(1, "x", 7.0, None)]
+    spans = [(b, i, float(s), float(s + r.randint(0, 20))) for i, (b, s) in enumerate((r.choice([1, 2, 3]), r.randint(0, 60)) for _ in range(25))]
+    for which in ("first", "last"):
+        for direction in ("", ", rising", ", falling"):
+            plain, other = (expr.parse(f"{which}_crossing(x, {threshold}{scope}{direction})") for threshold in ("-1", "0 - 1"))
+            wanted = [*expr.reductions(plain), *expr.reductions(other)]
+            made = rules.reduced(spark.createDataFrame(spans, "bundle_id long, id long, start double, end double"), spark.createDataFrame(samples, "bundle_id long, signal string, t double, v double"), wanted)
+            found = rules.values(wanted, F.col("start"), F.col("end"))
+            got = made.select(*[expr.column(n, found, F.col("start"), F.col("end")).alias(c) for c, n in (("a", plain), ("b", other))]).collect()
+            assert len(got) == 25 and any(x.a is not None for x in got)
+            assert [x.a for x in got] == pytest.approx([x.b for x in got])
