@@ -15,8 +15,8 @@ from sonospan.plans import projections as view
 
 RATE = 16_000
 HOP_SECONDS = 0.010
-#: Samples that a vector becomes, and vectors of a piece for kernels without memory: 9 s.
-EACH, PIECE = 2400, 60
+#: Samples that a vector becomes, and vectors of a piece for kernels without memory: 3 s.
+EACH, PIECE = 2400, 20
 #: Pitch methods that look at one frame at a time.
 LOCAL = ("autocorrelation",)
 FRAMES = "t double, hz double, voicing double"
@@ -66,7 +66,10 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same recordings in pieces of ``PIECE`` vectors for kernels that look at one frame at a time; a piece goes on into the next vector, so that every frame that begins in it is whole."""
     own = F.floor(F.col("k") / PIECE)
     touched = F.when((F.col("k") % PIECE == 0) & (F.col("k") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    return sounded(strung(spark, sf_dir).withColumn("piece", F.explode(touched)).groupBy("bundle_id", "piece").agg(in_order()), RATE)
+    # few bytes become many samples: a number of partitions of its own, which is not put together by size
+    parts = 4 * spark.sparkContext.defaultParallelism
+    dealt = strung(spark, sf_dir).withColumn("piece", F.explode(touched)).repartition(parts, "bundle_id", "piece")
+    return sounded(dealt.groupBy("bundle_id", "piece").agg(in_order()), RATE)
 
 
 def begun(made: dict, rate: int) -> dict:
