@@ -183,3 +183,44 @@ def forced_align_cut(blocks: DataFrame, targets: DataFrame, blank: int = 0, min_
     # a path keeps the order of states, so what a phone owns is in one piece
     spans = runs.groupBy(key, silent.alias("silent"), F.when(silent, F.col("state")).otherwise(owner).alias("of")).agg(F.min("first").alias("first"), F.max("end").alias("end"), F.sum(F.when(silent, F.col("blank_sum")).otherwise(F.col("own"))).alias("total"))
     return spans.select(key, F.when(F.col("silent"), -1).otherwise(F.col("of")).cast("int").alias("token"), "first", "end", (F.col("total") / (F.col("end") - F.col("first"))).alias("score"))
+
+
+def traced(frames: DataFrame, advance: Callable[[object, pa.RecordBatch], tuple[object, list[bytes], np.ndarray]], came: Callable[[bytes, int], int], key: str = "bundle_id", order: str = "frame") -> DataFrame:
+    """``frames`` (key, order, ...) with the state that each one has on its recording's cheapest path.
+
+    Two streams along the recordings, which hold a batch of frames at a time: forward, ``advance`` gets what it returned
+    for the frames before (None: a recording begins) and frames of one recording, and returns it for those to come, where
+    each frame's states came from, and the best state at each; back, ``came`` reads there the state before a state.  The steps
+    are those over a whole recording, so the path is, to the last bit.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    fields = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, carried = None, None
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                for begin in range(lo, hi, 500):
+                    part = batch.slice(begin, min(500, hi - begin))
+                    if part.num_rows:
+                        of, carried = keys[begin], carried if of == keys[begin] else None
+                        carried, back, best = advance(carried, part)
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary()), pa.array(best, pa.int32())], [*kinds, "_back", "_best"])
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = None, None
+        for batch in batches:
+            keys, path = batch.column(batch.schema.get_field_index(key)).to_pylist(), []
+            best, back = batch.column(batch.schema.get_field_index("_best")).to_pylist(), batch.column(batch.schema.get_field_index("_back"))
+            for i, k in enumerate(keys):
+                if k != of:  # the last frame of a recording comes first
+                    of, state = k, best[i]
+                path.append(state)
+                state = came(back[i].as_py(), state)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kinds))], pa.array(path, pa.int32())], [*kinds, "state"])
+
+    along = lambda df, by: df.repartition(key).sortWithinPartitions(key, by)
+    made = along(frames, order).mapInArrow(forward, f"{fields}, _back binary, _best int")
+    return along(made, F.desc(order)).mapInArrow(backward, f"{fields}, state int")
