@@ -64,3 +64,13 @@ def test_rules_name_them(spark, corpus):
         workflow.run_criterion(c, workflow.set_criterion(c, "odd", rule | {"where": "mean(loudness) > 1"}, "hits"))
     given = {"f0": spark.createDataFrame([(1, 0.7, 300.0)], "bundle_id long, t double, v double"), "intensity": spark.createDataFrame([(1, 0.7, 0.0)], "bundle_id long, t double, v double")}
     assert workflow.run_criterion(c, 1, given) == 1 and [r.label for r in c.timeline(["hits (auto)"]).collect()] == ["x"]
+
+
+def test_recordings_kept_as_floats_are_those_that_came(spark, tmp_path):
+    from sonospan import workflow
+
+    c = Corpus(spark, str(tmp_path / "c"), "x")
+    x = (np.random.default_rng(3).normal(0, 0.1, 500)).astype("<f4")
+    workflow.add_recordings(c, spark.createDataFrame([("a", RATE, 1, x.tolist())], "name string, sample_rate int, channels int, samples array<float>"), floats=True)
+    got = np.array(workflow.load_audio(c).first()["samples"], dtype="<f4")
+    assert np.array_equal(got, x)
