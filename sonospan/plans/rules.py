@@ -185,7 +185,9 @@ def evaluate(rule: Rule, tiers: DataFrame, signals: DataFrame | None = None, buc
     if e["kind"] == "point":
         lo = hi = start + share(e.get("at", 0.5)) * (end - start)
     elif e["kind"] == "span":
-        lo, hi = (start + share(e.get(k, d)) * (end - start) for k, d in (("from", 0.0), ("to", 1.0)))
+        # the whole is the interval's own end: start + (end - start) may be off it by a bit
+        place = lambda x: end if float(x) >= 1.0 else start + share(x) * (end - start)
+        lo, hi = place(e.get("from", 0.0)), place(e.get("to", 1.0))
     elif e["kind"] == "point_expr":
         lo = hi = expr.column(anchors[0], found, start, end)
     else:

@@ -36,6 +36,14 @@ def evaluated(spark, source, t=(0.0, 1.0, 2.0, 3.0), v=(10.0, 20.0, 30.0, 40.0),
     return made.select(expr.column(node, rules.values(wanted, F.col("start"), F.col("end")), F.col("start"), F.col("end"))).first()[0]
 
 
+def test_whole_spans_keep_their_ends(spark):
+    start, end = 3723.015834, 21003.701843
+    assert start + 1.0 * (end - start) != end
+    tiers = spark.createDataFrame([(1, "phones", 1, start, end, "a")], "bundle_id long, tier string, id long, start double, end double, label string")
+    for emit in ({"kind": "span"}, {"kind": "span", "from": 0, "to": 2}):
+        assert tuple(rules.evaluate(rules.Rule.from_json({"select": {"tier": "phones"}, "emit": emit}), tiers).first()) == (1, 1, start, end, "a")
+
+
 def test_reductions(spark):
     made = {s: evaluated(spark, s) for s in ("mean(x)", "max(x)", "min(x)", "range(x)", "argmax(x)", "argmin(x)", "mean(x, file)", "max(x, file)", "median(x)", "std(x)")}
     assert made == {"mean(x)": 25, "max(x)": 30, "min(x)": 20, "range(x)": 10, "argmax(x)": 2.0, "argmin(x)": 1.0, "mean(x, file)": 25, "max(x, file)": 40, "median(x)": 25, "std(x)": 5}
