@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +79,20 @@ def shuffled(items: list, seed: int) -> list:
 
 def assign_randomly(targets: DataFrame, annotators: list[str], seed: int) -> DataFrame:
     """Unassigned targets of each bundle in time order, shuffled by the seed and dealt round robin."""
-    import pandas as pd
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = shuffled(rows.sort_values(["start", "id"])["id"].tolist(), seed)
-        return pd.DataFrame({"bundle_id": rows["bundle_id"].iloc[0], "target_id": ids, "annotator": [annotators[i % len(annotators)] for i in range(len(ids))]})
 
-    return targets.filter("status = 'unassigned'").select("bundle_id", "id", "start").groupBy("bundle_id").applyInPandas(deal, "bundle_id long, target_id long, annotator string")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = lru_cache(1000)(lambda n: np.array(shuffled(range(n), seed)))  # the order hangs on the number of targets only
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            firsts = np.cumsum(sizes) - sizes
+            take = np.concatenate([a + places(int(n)) for a, n in zip(firsts, sizes, strict=True)]) if len(sizes) else np.zeros(0, dtype=int)
+            k = np.arange(len(take)) - np.repeat(firsts, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), lists.flatten().take(pa.array(take)), pa.array(annotators).take(pa.array(k % len(annotators)))], ["bundle_id", "target_id", "annotator"])
+
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("start", "id"))), lambda x: x["id"])
+    rows = targets.filter("status = 'unassigned'").select(F.col("bundle_id").cast("long").alias("bundle_id"), F.col("id").cast("long").alias("id"), "start")
+    return rows.groupBy("bundle_id").agg(ids.alias("ids")).mapInArrow(deal, "bundle_id long, target_id long, annotator string")
 
 
 def spl(db_fs: Column, reference_spl_db: Column, reference_db_fs: Column) -> Column:

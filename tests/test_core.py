@@ -36,6 +36,17 @@ def evaluated(spark, source, t=(0.0, 1.0, 2.0, 3.0), v=(10.0, 20.0, 30.0, 40.0),
     return made.select(expr.column(node, rules.values(wanted, F.col("start"), F.col("end")), F.col("start"), F.col("end"))).first()[0]
 
 
+def test_random_assignment_of_bundles_as_lists(spark):
+    rows = [(b, 10 * b + k, float(-k), "done" if k == 4 else "unassigned") for b in (1, 2, 3) for k in range(b + 2)]
+    made = campaign.assign_randomly(spark.createDataFrame(rows, "bundle_id long, id long, start double, status string"), ["x", "y"], 7)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()  # no pandas call a bundle
+    want = set()
+    for b in (1, 2, 3):
+        ids = [i for _, i in sorted((t, i) for c, i, t, status in rows if c == b and status == "unassigned")]
+        want |= {(b, i, "xy"[k % 2]) for k, i in enumerate(campaign.shuffled(ids, 7))}
+    assert set(map(tuple, made.collect())) == want
+
+
 def test_whole_spans_keep_their_ends(spark):
     start, end = 3723.015834, 21003.701843
     assert start + 1.0 * (end - start) != end
