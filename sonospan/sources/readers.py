@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -64,38 +65,60 @@ def split_chunks(audio: DataFrame, seconds: float, key: str = "path") -> DataFra
     return audio.select(key, "sample_rate", "channels", "samples", size.alias("_size"), F.posexplode(starts).alias("chunk", "_at")).select(key, "chunk", "sample_rate", "channels", F.slice("samples", F.col("_at") + 1, F.col("_size")).alias("samples"))
 
 
-def _parsed(spark: SparkSession, path: str, pattern: str, parse, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+#: Rows of small documents travel together, up to about so many.
+BATCH_ROWS = 20_000
+
+
+def _arrow_types(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}.get(t, pa.string())) for n, t in (c.split() for c in schema.split(", "))]
+
+
+def _documents_parsed(rows: DataFrame, read, parse, schema: str) -> DataFrame:
+    """``parse(read(content))``, lists by column, of each row (key, content): the key, the first column of ``schema``, and the parsed ones."""
+    (key, key_type), *types = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in (key, *(n for n, _ in types))}
+
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(held[n], t) for n, t in ((key, key_type), *types)], list(held))
+            for values in held.values():
+                values.clear()
+            return made
+
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                content = data.as_py()
-                text = content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
-                rows = [{"path": p, **r} for r in parse(text)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, {"int": pa.int32(), "double": pa.float64()}.get(c.split()[1], pa.string())) for n, c in zip(names, schema.split(", "), strict=True)]))
+            for k, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = parse(read(content.as_py()))
+                n = len(found[types[0][0]])
+                held[key] += [k] * n
+                for name, _ in types:
+                    held[name] += found[name]
+                if len(held[key]) >= BATCH_ROWS:
+                    yield taken()
+        if held[key]:
+            yield taken()
 
-    return files(spark, path, pattern).select("path", "content").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _parsed(spark: SparkSession, path: str, pattern: str, parse, schema: str) -> DataFrame:
+    read = lambda content: content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+    return _documents_parsed(files(spark, path, pattern).select("path", "content"), read, parse, schema)
 
 
 def parsed_texts(rows: DataFrame, parse, schema: str) -> DataFrame:
     """Annotations of documents given as rows (bundle_id, text): bundle_id and the parser's columns."""
-    fields = [c.split() for c in schema.split(", ") if not c.startswith("path ")]
-    types = pa.schema([("bundle_id", pa.int64()), *((n, {"int": pa.int32(), "double": pa.float64()}.get(t, pa.string())) for n, t in fields)])
+    schema, known = schema.replace("path string", "bundle_id long", 1), {formats.parse_eaf: formats.eaf_columns, formats.parse_textgrid: formats.textgrid_columns}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bundle, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [{"bundle_id": bundle, **r} for r in parse(text.as_py())]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, types)
+    def listed(text: str) -> dict[str, list]:
+        found = parse(text)
+        return {n: [r.get(n) for r in found] for n, _ in _arrow_types(schema)}
 
-    return rows.select("bundle_id", "text").mapInArrow(run, ", ".join(["bundle_id long", *(" ".join(f) for f in fields)]))
+    return _documents_parsed(rows.select("bundle_id", "text"), str, known.get(parse, listed), schema)
 
 
 def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
-    rows = _parsed(spark, path, "*.TextGrid", formats.parse_textgrid, TEXTGRID)
+    rows = _parsed(spark, path, "*.TextGrid", formats.textgrid_columns, TEXTGRID)
     return rows.withColumn("_l", _decoded(F.col("label"))).withColumns({"label": F.col("_l.label"), "extra": F.col("_l.extra")}).drop("_l")
 
 
@@ -106,7 +129,7 @@ def _decoded(label):
 
 
 def read_eaf(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, "*.eaf", formats.parse_eaf, EAF)
+    return _parsed(spark, path, "*.eaf", formats.eaf_columns, EAF)
 
 
 def read_annotations_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -200,13 +223,13 @@ def read_dense(spark: SparkSession, path: str, rate: float) -> DataFrame:
 def write_textgrids(rows: DataFrame, durations: DataFrame) -> DataFrame:
     """bundle_id and the text of its TextGrid; one bundle's rows meet in one task."""
 
-    def write(pdf):
-        import pandas as pd
-
-        tiers = [(str(name), str(kind), [(a, b, c or "") for a, b, c in zip(part["start"], part["end"], part["label"], strict=True)]) for (_, name, kind), part in pdf.sort_values(["tier_id", "start"]).groupby(["tier_id", "tier", "kind"])]
-        return pd.DataFrame({"bundle_id": [pdf["bundle_id"].iloc[0]], "text": [formats.write_textgrid(tiers, float(pdf["duration"].iloc[0]))]})
+    def write(table: pa.Table) -> pa.Table:
+        each = table.select(["tier_id", "tier", "kind", "start", "end", "label"]).to_pydict().values()
+        each = sorted(zip(*each, strict=True), key=lambda r: (r[0], r[3]))
+        tiers = [(name, kind, [(a, b, c or "") for *_, a, b, c in part]) for (_, name, kind), part in groupby(each, key=lambda r: r[:3])]
+        return pa.table({"bundle_id": table["bundle_id"][:1], "text": pa.array([formats.write_textgrid(tiers, table["duration"][0].as_py())])})
 
-    return rows.join(durations, "bundle_id").groupBy("bundle_id").applyInPandas(write, "bundle_id long, text string")
+    return rows.join(durations, "bundle_id").groupBy("bundle_id").applyInArrow(write, "bundle_id long, text string")
 
 
 def concat_wavs(audio: DataFrame, key: str, order: str) -> DataFrame:

@@ -82,6 +82,11 @@ def names(table: str) -> list[str]:
     return [c.split()[0] for c in TABLES[table].split(", ")]
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, which the optimizer knows: joins with them need no job and no Python."""
+    return spark.range(0).filter(F.lit(False)).select(*[F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in schema.split(", "))])
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, root: str, user: str = "unknown", clock=None):
         self.spark, self.root, self.user = spark, root.rstrip("/"), user
@@ -147,7 +152,7 @@ class Corpus:
         """The current rows; an empty frame before the first."""
         found, changed = self._batches(name)
         if not found:
-            return self.spark.createDataFrame([], TABLES[name])
+            return empty(self.spark, TABLES[name])
         reader = self.spark.read.schema(f"{TABLES[name]}, _deleted boolean, batch long").option("basePath", f"{self.root}/{name}")
         rows = reader.parquet(*[f"{self.root}/{name}/{path}" for path in found]).drop("attempt")
         if not changed:
@@ -282,7 +287,7 @@ class Corpus:
                 closed = own.join(self.table("rubric_tier").filter("closed_vocabulary").select("tier_name"), "tier_name").filter("coalesce(label, '') <> ''")
                 broken(closed.join(self.table("vocabulary").select("tier_name", F.col("value").alias("label")), ["tier_name", "label"], "left_anti"), "vocabulary")
                 broken(rows.filter("status is not null").join(self.table("rubric_status").select(F.col("name").alias("status")), "status", "left_anti"), "status")
-        out = self.spark.createDataFrame([], "id long, rule string")
+        out = empty(self.spark, "id long, rule string")
         for found in bad:
             out = out.unionByName(found)
         return out

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import namedtuple
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,7 +115,7 @@ def export_eafs(corpus: Corpus, tier_names: list[str] | None = None) -> DataFram
     tier, as the format wants one, and its label says so; its label also carries its
     target, by the document's name where the target is in the document.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     from sonospan.sources import formats
 
@@ -123,34 +125,39 @@ def export_eafs(corpus: Corpus, tier_names: list[str] | None = None) -> DataFram
     start, end = F.coalesce("start_seconds", "time_seconds"), F.coalesce("end_seconds", "time_seconds")
     rows = rows.select("bundle_id", "tier_id", "tier_name", "tier_type", "parent", "parent_type", "annotation_id", start.alias("start"), end.alias("end"), F.coalesce("label", F.lit("")).alias("label"), "extra", "parent_annotation_id", "target_kind", "target_id")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tier_id", "start", "end", "annotation_id"])
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        name = {(r.tier_type, r.annotation_id): f"a{n}" for n, r in enumerate(pdf.itertuples(), 1)}
+    columns, tell = rows.columns, json.JSONEncoder(separators=(",", ":")).encode
+    Row = namedtuple("Row", columns)
+
+    def write(table: pa.Table) -> pa.Table:
+        last = lambda x: (x is None, x or 0.0)
+        found = [Row(*values) for values in zip(*(table[c].to_pylist() for c in columns), strict=True)]
+        found.sort(key=lambda r: (r.tier_id, last(r.start), last(r.end), r.annotation_id))
+        name = {(r.tier_type, r.annotation_id): f"a{n}" for n, r in enumerate(found, 1)}
         first: dict[str, str] = {}
-        for r in pdf.itertuples():
-            first.setdefault(r.tier_name, name[r.tier_type, r.annotation_id])
+        for r in found:
+            if r.tier_name not in first:
+                first[r.tier_name] = name[r.tier_type, r.annotation_id]
         made = []
-        for _, part in pdf.groupby("tier_id", sort=True):
-            rows = []
-            for r in part.itertuples():
+        for _, part in groupby(found, key=lambda r: r.tier_id):
+            rows, part = [], list(part)
+            for r in part:
                 if r.tier_type != "reference":
                     rows.append((r.start, r.end, formats.encode_label(r.label, r.extra)))
                     continue
                 own = name.get((r.parent_type, r.parent_annotation_id)) if r.parent_annotation_id is not None else None
-                told = {"target_kind": r.target_kind, "target_id": int(r.target_id) if r.target_id is not None else 0}
+                told = {"target_kind": r.target_kind, "target_id": r.target_id if r.target_id is not None else 0}
                 if (r.target_kind, r.target_id) in name:
                     told["target"] = name[r.target_kind, r.target_id]
                 if own is None:
                     told["placeholder"] = True
-                payload = json.dumps(told, separators=(",", ":"))
+                payload = tell(told)
                 if r.extra is not None:
                     payload = f'{payload[:-1]},"extra":{r.extra}}}'
                 rows.append((None, None, formats.encode_label(r.label, payload), own or first.get(r.parent, "")))
-            made.append((str(part["tier_name"].iloc[0]), part["parent"].iloc[0], rows))
-        return pd.DataFrame({"bundle_id": [pdf["bundle_id"].iloc[0]], "text": [formats.write_eaf(made)]})
+            made.append((part[0].tier_name, part[0].parent, rows))
+        return pa.table({"bundle_id": table["bundle_id"][:1], "text": pa.array([formats.write_eaf(made)])})
 
-    return rows.groupBy("bundle_id").applyInPandas(write, "bundle_id long, text string")
+    return rows.groupBy("bundle_id").applyInArrow(write, "bundle_id long, text string")
 
 
 def export_json(corpus: Corpus, tier_names: list[str] | None = None) -> DataFrame:

@@ -106,3 +106,35 @@ def test_a_deep_forest_is_ordered_in_few_rounds(spark):
 def test_forests_that_are_none(spark, rows, why):
     with pytest.raises(StoreError, match=why):
         workflow.parents_first(spark.createDataFrame(rows, "id long, parent_id long"))
+
+
+def test_links_between_ids_that_doubles_cannot_tell_apart(spark, tmp_path):
+    c, big = corpus(spark, tmp_path, "one"), (1 << 53) + 1
+    b = c.add("bundle", [{"name": "one", "audio_relative_path": "a.wav"}])[0]
+    words = c.add("tier", [{"bundle_id": b, "name": "words", "type": "interval"}])[0]
+    notes = c.add("tier", [{"bundle_id": b, "name": "notes", "type": "reference", "parent_id": words, "cardinality": "one_to_many"}])[0]
+    c.commit([("annotation_interval", "insert", c.frame("annotation_interval", [{"id": big + i, "tier_id": words, "start_seconds": i * 1.0, "end_seconds": i + 1.0, "label": f"w{i}"} for i in range(3)]))])
+    rows = [{"id": 7, "tier_id": notes, "target_kind": "interval", "target_id": big, "label": "n"}, {"id": 8, "tier_id": notes, "target_kind": "interval", "target_id": big + 2, "parent_annotation_id": big + 1, "label": "m"}]
+    c.commit([("annotation_reference", "insert", c.frame("annotation_reference", rows))])
+    found = {r["label"].split(" {json")[0]: r for r in formats.parse_eaf(workflow.export_eafs(c).first().text)}
+    told = {k: json.loads(formats.decode_label(found[k]["label"])[1]) for k in "nm"}
+    assert told["n"]["target"] == found["w0"]["annotation"] and told["m"]["target"] == found["w2"]["annotation"]
+    assert found["m"]["ref"] == found["w1"]["annotation"] and "placeholder" not in told["m"]
+
+
+def test_small_documents_travel_together(spark):
+    text = formats.write_textgrid([("t", "interval", [(0.0, 1.0, "a")])], 1.0)
+    texts = spark.range(40).coalesce(1).select(F.col("id").alias("bundle_id"), F.lit(text).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    assert [r.n for r in readers.parsed_texts(texts, formats.parse_textgrid, readers.TEXTGRID).mapInArrow(sizes, "n long").collect()] == [40]
+
+
+def test_a_table_without_rows_needs_no_job(spark, tmp_path):
+    empty = corpus(spark, tmp_path, "none").table("annotation_point")
+    assert empty.columns[0] == "id" and empty.isEmpty() and "LocalTableScan <empty>" in empty._jdf.queryExecution().executedPlan().toString()
