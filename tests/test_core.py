@@ -377,3 +377,16 @@ def test_syllables_of_every_word(spark):
     docs = spark.createDataFrame([(1, "Katapult 12 st, BANANA"), (2, None), (3, " 7 ")], "doc_id long, text string")
     got = sorted(map(tuple, audio_queries.syllables_of(docs).collect()))
     assert got == [(1, 0, 0, 0, 2, "ka"), (1, 0, 1, 2, 4, "ta"), (1, 0, 2, 4, 8, "pult"), (1, 1, 0, 0, 2, "st"), (1, 2, 0, 0, 2, "ba"), (1, 2, 1, 2, 4, "na"), (1, 2, 2, 4, 6, "na")]
+
+
+def test_syllables_of_words_put_end_to_end():
+    import random
+
+    from sonospan.functions import align
+
+    chance, known = random.Random(7), np.full(0x110000, -1, dtype=np.int8)
+    for _ in range(200):
+        words = ["".join(chance.choice("abeiounrstklmpwyéßøʌθʒ日ʰ") for _ in range(chance.randint(1, 9))) for _ in range(chance.randint(1, 8))]
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        want = [int(at) + a for at, w in zip(starts, words, strict=True) for a, _ in align.syllabify(list(w))]
+        assert align.syllable_cuts(np.array([ord(c) for w in words for c in w]), starts, known).tolist() == want
