@@ -71,5 +71,5 @@ def live_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of the frames that a stream makes as chunks arrive; frames that lost samples touch are left out."""
     c = new_corpus(spark)
     sink = live.FrameTable(c, "levels")
-    replayed(c, sf_dir, SHAPE, 1000, lambda chunks: live.start(live.hop_frames(chunks, idle_seconds=LONG), sink, f"{c.root}/_streams/levels"))
+    replayed(c, sf_dir, SHAPE, 1000, lambda chunks: live.start(live.hop_frames(chunks, idle_seconds=LONG, measures=("level",)), sink, f"{c.root}/_streams/levels"))
     return rounded(sink.read().select("session_id", "t", "rms", "db"))

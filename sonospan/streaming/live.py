@@ -12,7 +12,7 @@ with ``last`` ends a session at its end; so does silence of ``idle_seconds``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,13 +42,30 @@ def meter(chunks: DataFrame, seconds: float = 0.1) -> DataFrame:
     return rows.groupBy("session_id", slot.alias("slot")).agg(F.max(F.abs("x")).alias("peak"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.count("*").alias("n"))
 
 
+#: What frames tell, and their columns.
+MEASURES = {"level": ("rms", "db"), "pitch": ("hz", "voicing", "voiced"), "formants": ("frequencies", "bandwidths")}
+
+
+def window_frames(windows: np.ndarray, begins: np.ndarray, rate: int, lo: float, hi: float, measures: Collection[str] = tuple(MEASURES)) -> pd.DataFrame:
+    """Measures of windows (a row each, ``begins`` their first samples), all at once; columns not asked for are null."""
+    size, n = windows.shape[1], len(windows)
+    x, alone = windows.reshape(-1), {"frame_seconds": size / rate, "hop_seconds": size / rate}  # end to end, each a frame of its own
+    made: dict = {"t": begins / rate + size / (2 * rate)} | {c: [None] * n for names in MEASURES.values() for c in names}
+    if "level" in measures:
+        made |= {c: v for c, v in dsp.intensity(x, rate, **alone).items() if c != "t"}
+    if "pitch" in measures:
+        pitch = dsp.pitch_autocorrelation(x, rate, lo, hi, **alone)
+        made |= {"hz": pitch["hz"], "voicing": pitch["voicing"], "voiced": pitch["voicing"] >= 0.45}
+    if "formants" in measures:  # pre-emphasis starts anew in each window, so that frames don't depend on where chunks end
+        made |= {c: v for c, v in dsp.window_formants(windows, rate).items() if c != "t"}
+    return pd.DataFrame(made)
+
+
 def frames_of(x: np.ndarray, first: int, rate: int, lo: float, hi: float) -> pd.DataFrame:
-    level = dsp.intensity(x, rate, WINDOW_SECONDS, HOP_SECONDS)
-    pitch = dsp.pitch_autocorrelation(x, rate, lo, hi, WINDOW_SECONDS, HOP_SECONDS)
-    # formants window by window, so that pre-emphasis starts anew in each and frames don't depend on where chunks end
-    each = [dsp.formants(w, rate, frame_seconds=WINDOW_SECONDS, hop_seconds=WINDOW_SECONDS) for w in dsp.framed(x, *dsp.sizes(rate, WINDOW_SECONDS, HOP_SECONDS))]
-    formants = {c: [list(f[c][0]) for f in each] for c in ("frequencies", "bandwidths")}
-    return pd.DataFrame({"t": level["t"] + first / rate, "rms": level["rms"], "db": level["db"], "hz": pitch["hz"], "voicing": pitch["voicing"], "voiced": pitch["voicing"] >= 0.45, **formants})
+    """All frames of samples in a row, of which ``first`` is the first."""
+    size, hop = dsp.sizes(rate, WINDOW_SECONDS, HOP_SECONDS)
+    windows = dsp.framed(x, size, hop)
+    return window_frames(windows, first + np.arange(len(windows)) * hop, rate, lo, hi)
 
 
 class Order:
@@ -157,8 +174,8 @@ def pieces(chunks: DataFrame, gap_seconds: float = GAP_SECONDS, idle_seconds: fl
     return in_order(chunks, PIECE, "", step, gap_seconds, idle_seconds, delay_seconds)
 
 
-def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS) -> DataFrame:
-    """Frames of every session as its chunks arrive; a frame that lost samples touch is left out.
+def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS, measures: Collection[str] = tuple(MEASURES)) -> DataFrame:
+    """Frames of every session as its chunks arrive, with the measures asked for; a frame that lost samples touch is left out.
 
     State per session: the samples from the next frame's start on (less than a
     window and a hop), where they begin, and chunks that came early.
@@ -166,7 +183,7 @@ def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_secon
 
     def step(session, order, runs, extra, ended):
         held, at = np.frombuffer(extra[0], dtype="<f4"), extra[1]
-        made = []
+        windows, begins = [], []
         for first, x, lost in runs:
             size, hop = dsp.sizes(order.rate, WINDOW_SECONDS, HOP_SECONDS)
             if lost:  # begin anew at the next place of the same grid
@@ -176,9 +193,11 @@ def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_secon
             held = np.concatenate([held, x])
             n = (len(held) - size) // hop + 1 if len(held) >= size else 0
             if n > 0:
-                made.append(frames_of(held[: (n - 1) * hop + size].astype(float), at, order.rate, lo, hi).assign(session_id=session))
+                windows.append(dsp.framed(held, size, hop)[:n])
+                begins.append(at + np.arange(n) * hop)
                 held, at = held[n * hop :], at + n * hop
-        return (pd.concat(made) if made else None), (held.astype("<f4").tobytes(), at)
+        made = window_frames(np.concatenate(windows).astype(float), np.concatenate(begins), order.rate, lo, hi, measures).assign(session_id=session) if windows else None
+        return made, (held.astype("<f4").tobytes(), at)
 
     return in_order(chunks, FRAME, "held binary, held_at long", step, gap_seconds, idle_seconds, delay_seconds)
 

@@ -180,3 +180,17 @@ def test_reads_at_a_version_and_tokens(spark, tmp_path):
     assert c.table("bundle").first().name == "two" and c.as_of(1).table("bundle").first().name == "one"
     with pytest.raises(StoreError, match="read only"):
         c.as_of(1).add("bundle", [{"name": "x", "audio_relative_path": "x.wav"}])
+
+
+def test_windows_are_measured_at_once():
+    from sonospan.functions import dsp
+
+    x = np.random.default_rng(3).normal(size=1000)
+    size, hop = dsp.sizes(8000, live.WINDOW_SECONDS, live.HOP_SECONDS)
+    windows = dsp.framed(x, size, hop)
+    got = live.window_frames(windows, np.arange(len(windows)) * hop, 8000, 75.0, 500.0)
+    each = [dsp.formants(w, 8000, frame_seconds=live.WINDOW_SECONDS, hop_seconds=live.WINDOW_SECONDS) for w in windows]
+    for c in ("frequencies", "bandwidths"):
+        assert all(np.allclose(a, b[c][0], rtol=1e-9) for a, b in zip(got[c], each, strict=True))
+    few = live.window_frames(windows, np.arange(len(windows)) * hop, 8000, 75.0, 500.0, ("level",))
+    assert few["rms"].equals(got["rms"]) and few["db"].equals(got["db"]) and few[["hz", "voicing", "voiced", "frequencies", "bandwidths"]].isna().all(axis=None)
