@@ -120,46 +120,92 @@ class Order:
         return min([self.latest + idle, *(due for _, due, _, _ in self.early)])
 
 
-def in_order(chunks: DataFrame, schema: str, state_schema: str, step, gap_seconds: float, idle_seconds: float, delay_seconds: float) -> DataFrame:
-    """``step(session, order, runs, extra)`` on every session that has new chunks or whose timer is due -> frames of ``schema`` and the new ``extra`` state."""
+#: Sessions meet in so many groups of the state store: a call and its frames serve a group, not a session.
+GROUPS = 1 << 13
+#: Windows that are measured together.
+WINDOWS = 1 << 12
+
+
+class Held:
+    """The sessions of one group: their order, extra state and when each is due, as one Arrow batch in the state store."""
+
+    def __init__(self, extra: list[str]):
+        types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+        fields = [c.split() for c in (*Order.STATE.split(", "), *extra)]
+        self.schema = pa.schema([("session", pa.string()), ("due", pa.int64()), *((name, types[kind]) for name, kind in fields)])
+        self.fresh = tuple({"binary": b"", "long": 0}[c.split()[1]] for c in extra)
+
+    def read(self, content: bytes | None) -> dict[str, tuple[int, tuple]]:
+        """session -> when it is due, its order's state and the extra one."""
+        if not content:
+            return {}
+        columns = pa.ipc.read_record_batch(pa.py_buffer(content), self.schema).columns
+        return {session: (due, state) for session, due, *state in zip(*(c.to_pylist() for c in columns), strict=True)}
+
+    def write(self, sessions: dict[str, tuple[int, tuple]]) -> bytes:
+        columns = list(zip(*((session, due, *state) for session, (due, state) in sessions.items()), strict=True))
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema).serialize().to_pybytes()
+
+
+def in_order(chunks: DataFrame, schema: str, state_schema: str, step, frames, gap_seconds: float, idle_seconds: float, delay_seconds: float) -> DataFrame:
+    """``step(session, order, runs, extra, ended)`` on every session that has new chunks or whose timer is due -> what it found and the new ``extra`` state.
+
+    Sessions are kept in ``GROUPS`` groups by their hash.  Every session has a timer of
+    its own; a group is due when one of its sessions is.  ``frames`` makes frames of
+    ``schema`` from what the sessions of a group found.
+    """
     columns = [c.split()[0] for c in schema.split(", ")]
     gap, idle = round(gap_seconds * 1000), round(idle_seconds * 1000)
-    extra_names = [c for c in state_schema.split(", ") if c]
-    kinds = {"binary": b"", "long": 0}
-    fresh = tuple(kinds[c.split()[1]] for c in extra_names)
+    store = Held([c for c in state_schema.split(", ") if c])
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        order = Order(held[:6]) if held else Order()
-        extra = tuple(held[6:]) if held else fresh
-        came = []
+        held = store.read(state.get[0] if state.exists else None)
+        now, found = state.getCurrentWatermarkMs(), []
+        orders: dict[str, Order] = {}
+        came: dict[str, list] = {}
         for b in batches if not state.hasTimedOut else []:
-            for first, rate, samples, at, last in zip(b["first"], b["sample_rate"], b["samples"], b["at_ms"], b["last"], strict=True):
+            for session, first, rate, samples, at, last in zip(b["session_id"], b["first"], b["sample_rate"], b["samples"], b["at_ms"], b["last"], strict=True):
+                if session not in orders:
+                    orders[session], came[session] = Order(held[session][1][:6]) if session in held else Order(), []
+                order = orders[session]
                 x = np.asarray(samples if samples is not None else [], dtype="<f4")
+                rate = 0 if pd.isna(rate) else int(rate)
                 if rate and order.rate and rate != order.rate:
-                    raise ValueError(f"session {key[0]!r} changes its rate from {order.rate} to {int(rate)}")
-                order.rate, order.latest = order.rate or int(rate or 0), max(order.latest, int(at))
-                came.append((int(first), int(at) + gap, x, False))
+                    raise ValueError(f"session {session!r} changes its rate from {order.rate} to {rate}")
+                order.rate, order.latest = order.rate or rate, max(order.latest, int(at))
+                came[session].append((int(first), int(at) + gap, x, False))
                 if last:
-                    came.append((int(first) + len(x), int(at) + gap, x[:0], True))
-        now = state.getCurrentWatermarkMs()
-        closed = order.closed
-        runs = list(order.take(came, now))
-        if state.hasTimedOut and order.latest + idle <= now:
-            if closed:  # nothing came while the ended session was remembered
-                state.remove()
-                return
-            runs += list(order.take([], 1 << 62))
-            order.closed = True
-        made, extra = step(key[0], order, runs, extra, order.closed and not closed)
-        state.update((*order.state(), *extra))
-        state.setTimeoutTimestamp(max(order.timer(idle), now + 1))
-        if made is not None and len(made):
-            yield made[columns]
+                    came[session].append((int(first) + len(x), int(at) + gap, x[:0], True))
+        for session, (due, kept) in held.items():
+            if session not in orders and due < now:
+                orders[session] = Order(kept[:6])
+        for session, order in orders.items():
+            extra = tuple(held[session][1][6:]) if session in held else store.fresh
+            closed = order.closed
+            runs = list(order.take(came.get(session, []), now))
+            if session not in came and order.latest + idle <= now:
+                if closed:  # nothing came while the ended session was remembered
+                    del held[session]
+                    continue
+                runs += list(order.take([], 1 << 62))
+                order.closed = True
+            made, extra = step(session, order, runs, extra, order.closed and not closed)
+            held[session] = max(order.timer(idle), now + 1), (*order.state(), *extra)
+            if made is not None:
+                found.append(made)
+        if held:
+            state.update((store.write(held),))
+            state.setTimeoutTimestamp(min(due for due, _ in held.values()))
+        else:
+            state.remove()
+        for made in frames(found):
+            if len(made):
+                yield made[columns]
 
     rows = chunks.withColumn("at_ms", F.unix_millis("at")).withColumn("last", F.coalesce("last", F.lit(False)))
     rows = rows.filter("session_id is not null and first is not null and at is not null").withWatermark("at", f"{round(delay_seconds * 1000)} milliseconds")
-    return rows.groupBy("session_id").applyInPandasWithState(run, schema, ", ".join([Order.STATE, *extra_names]), "append", "EventTimeTimeout")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("session_id"), F.lit(GROUPS)))
+    return rows.groupBy("group").applyInPandasWithState(run, schema, "sessions binary", "append", "EventTimeTimeout")
 
 
 def pieces(chunks: DataFrame, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS) -> DataFrame:
@@ -169,9 +215,12 @@ def pieces(chunks: DataFrame, gap_seconds: float = GAP_SECONDS, idle_seconds: fl
         rows = [(session, order.rate, first, x, lost, False) for first, x, lost in runs]
         if ended:
             rows.append((session, order.rate, order.next, np.zeros(0, dtype="<f4"), 0, True))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")]), extra
+        return rows, extra
+
+    def frames(found: list[list[tuple]]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([row for rows in found for row in rows], columns=[c.split()[0] for c in PIECE.split(", ")])
 
-    return in_order(chunks, PIECE, "", step, gap_seconds, idle_seconds, delay_seconds)
+    return in_order(chunks, PIECE, "", step, frames, gap_seconds, idle_seconds, delay_seconds)
 
 
 def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_seconds: float = GAP_SECONDS, idle_seconds: float = IDLE_SECONDS, delay_seconds: float = DELAY_SECONDS, measures: Collection[str] = tuple(MEASURES)) -> DataFrame:
@@ -196,10 +245,22 @@ def hop_frames(chunks: DataFrame, lo: float = 75.0, hi: float = 500.0, gap_secon
                 windows.append(dsp.framed(held, size, hop)[:n])
                 begins.append(at + np.arange(n) * hop)
                 held, at = held[n * hop :], at + n * hop
-        made = window_frames(np.concatenate(windows).astype(float), np.concatenate(begins), order.rate, lo, hi, measures).assign(session_id=session) if windows else None
+        made = (order.rate, session, np.concatenate(windows), np.concatenate(begins)) if windows else None
         return made, (held.astype("<f4").tobytes(), at)
 
-    return in_order(chunks, FRAME, "held binary, held_at long", step, gap_seconds, idle_seconds, delay_seconds)
+    def frames(found: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Windows of sessions with one rate are measured together, up to about ``WINDOWS``."""
+        found.sort(key=lambda f: f[0])
+        part: list[tuple] = []
+        for k, each in enumerate(found):
+            part.append(each)
+            if k + 1 == len(found) or found[k + 1][0] != each[0] or sum(len(f[3]) for f in part) >= WINDOWS:
+                _, sessions, windows, begins = zip(*part, strict=True)
+                names = np.repeat(np.array(sessions, dtype=object), [len(b) for b in begins])
+                yield window_frames(np.concatenate(windows).astype(float), np.concatenate(begins), each[0], lo, hi, measures).assign(session_id=names)
+                part = []
+
+    return in_order(chunks, FRAME, "held binary, held_at long", step, frames, gap_seconds, idle_seconds, delay_seconds)
 
 
 # ---- recording

@@ -613,17 +613,36 @@ def add_split(corpus: Corpus, audio: DataFrame, seconds: float) -> int:
     return add_recordings(corpus, pieces.withColumn("name", F.concat("name", F.lit("_"), F.lpad((F.col("chunk") + 1).cast("string"), 3, "0"))).drop("chunk"))
 
 
+#: Samples of recordings that travel together.
+AUDIO_SAMPLES = 1 << 18
+
+
 def load_audio(corpus: Corpus, bundles: DataFrame | None = None) -> DataFrame:
     """bundle_id, sample_rate, channels, samples and first_frame of the corpus's recordings; live ones come in parts, a row for each."""
+    import numpy as np
     import pyarrow as pa
 
     from sonospan.sources import formats
 
     def decode(batches):
         for batch in batches:
+            held, samples, n = [], [], 0
             for bundle, content, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                rate, channels, samples = formats.decode_wav(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples)), pa.array([first], pa.int64())], ["bundle_id", "sample_rate", "channels", "samples", "first_frame"])
+                rate, channels, x = formats.decode_wav(content.as_py())
+                held.append((bundle, rate, channels, first))
+                samples.append(x)
+                n += len(x)
+                if n >= AUDIO_SAMPLES:  # short ones travel together
+                    yield recordings(held, samples)
+                    held, samples, n = [], [], 0
+            if held:
+                yield recordings(held, samples)
+
+    def recordings(held, samples):
+        bundles, rates, channels, firsts = zip(*held, strict=True)
+        ends = np.cumsum([0, *map(len, samples)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(samples)))
+        return pa.RecordBatch.from_arrays([pa.array(bundles), pa.array(rates, pa.int32()), pa.array(channels, pa.int32()), lists, pa.array(firsts, pa.int64())], ["bundle_id", "sample_rate", "channels", "samples", "first_frame"])
 
     rows = corpus.table("audio").select("bundle_id", "content", F.coalesce("first_frame", F.lit(0)).alias("first_frame"))
     rows = rows if bundles is None else rows.join(bundles, "bundle_id", "left_semi")

@@ -92,6 +92,23 @@ def test_silence_ends_a_session(spark, tmp_path):
     assert heard(c) == {("a", 6): [(0, 0.1), (5, 0.2)]}
 
 
+def test_sessions_of_one_group_keep_their_own_order_and_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "GROUPS", 1)
+    c, query = Corpus(spark, str(tmp_path / "corpus")), None
+    batches = [
+        [chunk("quiet", 0, [0.1], 0), chunk("quiet", 5, [0.2], 1), chunk("busy", 2, [0.3, 0.4], 0, rate=200), chunk("clock", 0, [0.0], 5_000)],
+        [chunk("busy", 0, [0.5, 0.6], 5_000, rate=200), chunk("busy", 4, [0.7], 5_001, True, rate=200), chunk("clock", 1, [0.0], 5_050)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, live.CHUNK).write.parquet(str(tmp_path / f"in/{k}"))
+        source = spark.readStream.schema(live.CHUNK).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = live.record(c, source, "mic", idle_seconds=100.0, gap_seconds=10_000.0)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # a group, not a row for each session
+    made = {r["name"]: r["sample_rate"] for r in c.table("bundle").collect()}
+    assert made == {"quiet": 100, "busy": 200} and heard(c)["quiet", 6] == [(0, 0.1), (5, 0.2)]
+
+
 def test_rates_may_not_change(spark, tmp_path):
     with pytest.raises(Exception, match="changes its rate"):
         recorded(spark, tmp_path, [[chunk("a", 0, [0.1], 0), chunk("a", 1, [0.1], 0, rate=200)]])
