@@ -25,6 +25,22 @@ def test_package_round_trip(spark, tmp_path):
         export_package(c, "nobody", str(tmp_path / "other"))
 
 
+def test_a_changed_table_reads_only_what_is_asked_for(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path))
+    row = {"start_seconds": 0.0, "end_seconds": 1.0, "status": "unassigned", "label": "x"}
+    bundle = c.add("bundle", [{"name": "one", "audio_relative_path": "a"}])[0]
+    a, b, d, _ = c.add("target", [{**row, "bundle_id": bundle}] * 4)
+    c.update("target", F.col("id") != d, {"label": F.lit("y")})
+    c.update("target", F.col("id") == a, {"label": F.lit("z")})
+    c.delete("target", F.col("id") == b)
+    assert sorted((r.id, r.label) for r in c.table("target").collect()) == [(a, "z"), (d, "x"), (d + 1, "y")]
+    c.append("target", c.frame("target", [{**row, "id": b, "bundle_id": bundle}]))  # a deleted row comes back
+    assert sorted((r.id, r.label) for r in c.table("target").collect()) == [(a, "z"), (b, "x"), (d, "x"), (d + 1, "y")]
+    assert [r.label for r in c.as_of(3).table("target").filter(F.col("id") == b).collect()] == ["y"]
+    plan = c.table("target").select("id", "bundle_id")._jdf.queryExecution().executedPlan().toString()
+    assert "bundle_id" in plan and "note" not in plan and "start_seconds" not in plan and "SortAggregate" not in plan
+
+
 def test_presets(tmp_path):
     s = PresetStore(str(tmp_path), "pitch")
     s.save(Preset("low-voices", "pitch", based_on="boersma", params={"lo": 50.0}))
