@@ -220,16 +220,49 @@ def read_dense(spark: SparkSession, path: str, rate: float) -> DataFrame:
     return rows.withColumn("t", F.col("i") / rate)
 
 
+#: Characters of small documents that travel together.
+BATCH_CHARS = 1 << 20
+
+
 def write_textgrids(rows: DataFrame, durations: DataFrame) -> DataFrame:
-    """bundle_id and the text of its TextGrid; one bundle's rows meet in one task."""
+    """bundle_id and the text of its TextGrid; rows come in order, and one bundle's are held at a time."""
+    columns = ["bundle_id", "tier_id", "tier", "kind", "start", "end", "label", "duration"]
+
+    def text(part: list[tuple]) -> str:
+        tiers = [(name, kind, [(r[4], r[5], r[6] or "") for r in rows]) for (_, name, kind), rows in groupby(part, key=lambda r: r[1:4])]
+        return formats.write_textgrid(tiers, part[0][7])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made: dict[str, list] = {"bundle_id": [], "text": []}
+        chars = 0
+
+        def documents() -> Iterator[list[tuple]]:
+            nonlocal held
+            for batch in batches:
+                for bundle, part in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
+                    if held and held[0][0] != bundle:
+                        yield held
+                        held = []
+                    held += part
+            if held:
+                yield held
 
-    def write(table: pa.Table) -> pa.Table:
-        each = table.select(["tier_id", "tier", "kind", "start", "end", "label"]).to_pydict().values()
-        each = sorted(zip(*each, strict=True), key=lambda r: (r[0], r[3]))
-        tiers = [(name, kind, [(a, b, c or "") for *_, a, b, c in part]) for (_, name, kind), part in groupby(each, key=lambda r: r[:3])]
-        return pa.table({"bundle_id": table["bundle_id"][:1], "text": pa.array([formats.write_textgrid(tiers, table["duration"][0].as_py())])})
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(made["bundle_id"], pa.int64()), pa.array(made["text"], pa.string())], list(made))
+
+        for part in documents():
+            made["bundle_id"].append(part[0][0])
+            made["text"].append(text(part))
+            chars += len(made["text"][-1])
+            if chars >= BATCH_CHARS:
+                yield taken()
+                made, chars = {"bundle_id": [], "text": []}, 0
+        if made["text"]:
+            yield taken()
 
-    return rows.join(durations, "bundle_id").groupBy("bundle_id").applyInArrow(write, "bundle_id long, text string")
+    found = rows.join(durations, "bundle_id").select(*columns)
+    return found.repartition("bundle_id").sortWithinPartitions("bundle_id", "tier_id", "start").mapInArrow(write, "bundle_id long, text string")
 
 
 def concat_wavs(audio: DataFrame, key: str, order: str) -> DataFrame:

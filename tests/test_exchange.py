@@ -135,6 +135,20 @@ def test_small_documents_travel_together(spark):
     assert [r.n for r in readers.parsed_texts(texts, formats.parse_textgrid, readers.TEXTGRID).mapInArrow(sizes, "n long").collect()] == [40]
 
 
+def test_textgrids_come_from_rows_in_order(spark):
+    rows = [(b, 2 * b + k, f"t{k}", "interval", float(i), i + 1.0, f"{b} {k} {i}" if i else None) for i in (2, 0, 1) for b in range(30) for k in (1, 0)]
+    frame = spark.createDataFrame(rows, "bundle_id long, tier_id long, tier string, kind string, start double, end double, label string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # documents go over the ends of batches
+    try:
+        made = readers.write_textgrids(frame, spark.range(30).select(F.col("id").alias("bundle_id"), F.lit(3.0).alias("duration")))
+        found = {r.bundle_id: r.text for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lambda b: formats.write_textgrid([(f"t{k}", "interval", [(float(i), i + 1.0, f"{b} {k} {i}" if i else "") for i in range(3)]) for k in (0, 1)], 3.0)
+    assert found == {b: want(b) for b in range(30)}
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()  # no call for each bundle
+
+
 def test_a_table_without_rows_needs_no_job(spark, tmp_path):
     empty = corpus(spark, tmp_path, "none").table("annotation_point")
     assert empty.columns[0] == "id" and empty.isEmpty() and "LocalTableScan <empty>" in empty._jdf.queryExecution().executedPlan().toString()
