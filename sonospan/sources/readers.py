@@ -164,16 +164,15 @@ def tiers_json(rows: DataFrame, bundles: DataFrame) -> DataFrame:
     """
     text = F.to_json(F.array("extra"))
     extra = F.when(F.col("extra").isNotNull(), F.coalesce(F.try_parse_json("extra"), F.parse_json(F.substr(text, F.lit(2), F.length(text) - 2))))
-    tiers: DataFrame | None = None
-    for kind, (name, columns) in JSON_ROWS.items():
-        made = rows.filter(F.col("tier_type") == kind).withColumn("extra", extra).withColumn("id", F.col("annotation_id"))
-        begin = F.coalesce("start_seconds", "time_seconds", F.lit(0.0))
-        item = F.struct(*[F.col(c) for c in columns])
-        # a variant has no order, so rows are sorted by their keys and the items fetched after them
-        grouped = made.groupBy("bundle_id", "tier_id", "tier_name").agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), F.col("id").alias("row"), F.to_json(item, {"ignoreNullFields": "false"}).alias("item")))).alias("items"))
-        body = F.concat(F.lit('{"id":'), F.col("tier_id").cast("string"), F.lit(',"name":'), _quoted("tier_name"), F.lit(f',"type":"{kind}","{name}":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
-        part = grouped.select("bundle_id", "tier_id", body.alias("tier"))
-        tiers = part if tiers is None else tiers.unionByName(part)
+    # a bundle's rows meet once, before they are texts; its tiers and its document are made where they are
+    made = rows.filter(F.col("tier_type").isin(*JSON_ROWS)).repartition("bundle_id").withColumn("extra", extra).withColumn("id", F.col("annotation_id"))
+    begin = F.coalesce("start_seconds", "time_seconds", F.lit(0.0))
+    item = F.coalesce(*[F.when(F.col("tier_type") == kind, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})) for kind, (_, columns) in JSON_ROWS.items()])
+    listing = F.coalesce(*[F.when(F.col("tier_type") == kind, F.lit(name)) for kind, (name, _) in JSON_ROWS.items()])
+    # a variant has no order, so rows are sorted by their keys and the items fetched after them
+    grouped = made.groupBy("bundle_id", "tier_id", "tier_name", "tier_type").agg(F.array_sort(F.collect_list(F.struct(begin.alias("at"), F.col("id").alias("row"), item.alias("item")))).alias("items"))
+    body = F.concat(F.lit('{"id":'), F.col("tier_id").cast("string"), F.lit(',"name":'), _quoted("tier_name"), F.lit(',"type":"'), "tier_type", F.lit('","'), listing, F.lit('":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
+    tiers = grouped.select("bundle_id", "tier_id", body.alias("tier"))
     listed = tiers.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("tier_id", "tier"))).alias("tiers"))
     about = F.struct(F.col("bundle_id").alias("id"), "name", "sample_rate", "n_frames", (F.col("n_frames") / F.col("sample_rate")).alias("duration_seconds"))
     head = F.to_json(about, {"ignoreNullFields": "false"})

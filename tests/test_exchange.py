@@ -149,6 +149,13 @@ def test_textgrids_come_from_rows_in_order(spark):
     assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()  # no call for each bundle
 
 
+def test_rows_of_structured_documents_meet_once(spark, tmp_path):
+    c, _ = linked(spark, tmp_path)
+    plan = workflow.export_json(c)._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "hashpartitioning(bundle_id" in line]
+    assert len(met) <= 2 and not any("tier_id" in line.split("hashpartitioning(")[1].split(")")[0] for line in met)
+
+
 def test_a_table_without_rows_needs_no_job(spark, tmp_path):
     empty = corpus(spark, tmp_path, "none").table("annotation_point")
     assert empty.columns[0] == "id" and empty.isEmpty() and "LocalTableScan <empty>" in empty._jdf.queryExecution().executedPlan().toString()
