@@ -83,12 +83,27 @@ def crossing(samples: Column, threshold: Column, r: expr.Reduction) -> Column:
     return F.when(F.size(hits) > 0, t0 + (threshold - v0) / (v1 - v0) * (t1 - t0))
 
 
+#: Decimals of a mean's sum; values from ``EXACT_FROM`` to ``EXACT_TO`` in size have all their digits there, whatever their number.
+EXACT = "decimal(38,18)"
+EXACT_FROM, EXACT_TO = 1e-2, 1e9
+
+
+def mean(v: Column) -> Column:
+    """The mean from a sum of decimals, rounded once: the same in any order, so that a mean which equals a bound is never moved off it.
+
+    Where the largest value is very small or very large or one is not a number, the mean of doubles.
+    """
+    size = F.abs(v)
+    total = F.sum(F.when(size < EXACT_TO, v.cast(EXACT)))
+    return F.when((F.max(size) < EXACT_TO) & (F.max(size) >= EXACT_FROM), total.cast("double") / F.count(v)).otherwise(F.avg(v))
+
+
 def aggregate(r: expr.Reduction, name: str) -> Column:
     """The aggregate of a reduction over columns t and v; NaN never wins an extreme, and ties go to the earliest time."""
     t, v = F.col("t"), F.col("v")
     real = F.when(~F.isnan(v), v)
     made = {
-        "mean": lambda: F.avg(v),
+        "mean": lambda: mean(v),
         "max": lambda: F.max(real),
         "min": lambda: F.min(real),
         "range": lambda: F.max(real) - F.min(real),

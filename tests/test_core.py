@@ -55,6 +55,21 @@ def test_whole_spans_keep_their_ends(spark):
         assert tuple(rules.evaluate(rules.Rule.from_json({"select": {"tier": "phones"}, "emit": emit}), tiers).first()) == (1, 1, start, end, "a")
 
 
+def test_a_mean_that_equals_its_bound_is_not_above_it(spark):
+    tiers = spark.createDataFrame([(b, "phones", 1, 0.5, 1.5, "a") for b in (1, 2)], "bundle_id long, tier string, id long, start double, end double, label string")
+    rule = rules.Rule.from_json({"select": {"tier": "phones"}, "where": "mean(x) > mean(x, file)", "emit": {"kind": "span"}})
+    values = {1: [0.1] * 10, 2: [0.3, 0.2, 0.1, 0.2, 0.2]}
+    for each in (lambda v: v, lambda v: v[::-1]):
+        points = spark.createDataFrame([(b, "x", float(t), x) for b, v in values.items() for t, x in enumerate(each(v))], "bundle_id long, signal string, t double, v double").coalesce(1)
+        made = {r.bundle_id: r.m for r in points.groupBy("bundle_id").agg(rules.mean(F.col("v")).alias("m")).collect()}
+        assert made == {1: 0.1, 2: 0.2}
+        assert rules.evaluate(rule, tiers, points).count() == 0
+    odd = {1: [1e-30, 3e-30], 2: [1e300, 3e300], 3: [1.0, math.nan], 4: [None, 2.0], 5: [None]}
+    points = spark.createDataFrame([(b, x) for b, v in odd.items() for x in v], "bundle_id long, v double")
+    made = {r.bundle_id: r.m for r in points.groupBy("bundle_id").agg(rules.mean(F.col("v")).alias("m")).collect()}
+    assert math.isnan(made.pop(3)) and made == {1: pytest.approx(2e-30, rel=1e-12), 2: 2e300, 4: 2.0, 5: None}
+
+
 def test_reductions(spark):
     made = {s: evaluated(spark, s) for s in ("mean(x)", "max(x)", "min(x)", "range(x)", "argmax(x)", "argmin(x)", "mean(x, file)", "max(x, file)", "median(x)", "std(x)")}
     assert made == {"mean(x)": 25, "max(x)": 30, "min(x)": 20, "range(x)": 10, "argmax(x)": 2.0, "argmin(x)": 1.0, "mean(x, file)": 25, "max(x, file)": 40, "median(x)": 25, "std(x)": 5}
