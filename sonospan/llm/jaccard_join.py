@@ -1,7 +1,8 @@
 """Exact self-join of documents on 5-word shingle Jaccard similarity, as linked groups.
 
 1. A table of hashed shingle counts over all documents, of one size whatever
-   the input, gives one global order with frequent shingles last.
+   the input, gives one global order with frequent shingles last.  Shingles of one
+   document link nothing and are not posted.
 2. Documents with equal sets are one node (the set's fingerprint): a task writes
    a node's prefix once, and lists hold a node once.
 3. Nodes whose sets can be similar share a shingle of their prefixes.  Postings
@@ -44,8 +45,12 @@ from sonospan.llm.shingles import SIZE, fingerprint, shingle_set
 
 #: 80 of 100.
 SIMILAR = (80, 100)
-SKETCH_BITS = 24
-CHUNK_BITS = 14
+SKETCH_BITS = 26
+CHUNK_BITS = 16
+#: Least counts of the classes of shingles from 1 on; those of class 0 are in one document.
+CLASSES = np.array([2, 3, 4, 6, 8, 11, 16, 22, 32, 45, 64, 128, 512, 4096, 32768])
+#: Shingles that a task counts at a time.
+CELLS_HELD = 1 << 20
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 #: Rows of a posting list that a row is compared with.
@@ -63,7 +68,7 @@ def least_part(n):
     return -(-SIMILAR[0] * n // SIMILAR[1])
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     return n - least_part(n) + 1
 
 
@@ -76,62 +81,79 @@ def similar(overlap, n, m):
     return SIMILAR[1] * overlap >= SIMILAR[0] * (n + m - overlap)
 
 
-def count_table(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Counts of hashed shingles over all documents, in 2 ** bits cells: tasks add up tables of that size, never shingles."""
+def count_classes(docs: DataFrame, size: int, bits: int) -> np.ndarray:
+    """Classes of the counts of hashed shingles over all documents, in 2 ** bits cells, two in a byte; 0 is a count of one at most.
+
+    Tasks hand on the counts of the cells that they meet, a few bytes each, and never
+    shingles; what is collected has half a byte for each cell.
+    """
     chunk = min(CHUNK_BITS, bits)
 
-    def packed(cells: np.ndarray) -> bytes:
-        most = int(cells.max())
-        width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - (w == 8)))
-        return bytes([width]) + zstandard.compress(cells.astype(f"<u{width}").tobytes(), 1)
+    def planes(numbers: np.ndarray, kind: str) -> bytes:
+        """First bytes, then second ones: most high bytes are 0."""
+        return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+    def of_planes(raw: bytes, kind: str) -> np.ndarray:
+        return np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
 
-    def unpacked(cells: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(cells[1:]), dtype=f"<u{cells[0]}").astype(np.int64)
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        """A row for each chunk: how many cells, their places as differences, and their counts."""
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        part = cells >> chunk
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        place = (cells & ((1 << chunk) - 1)).astype(np.int64)
+        gap = np.diff(place, prepend=0)
+        gap[starts] = place[starts]
+        rows = [zstandard.compress(planes(g, "<u2") + planes(c, "<u4"), 1) for g, c in zip(np.split(gap, starts[1:]), np.split(counts, starts[1:]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(rows, pa.binary())], ["part", "cells"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, dtype=np.uint32)
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
             for text in batch.column(0):
-                cells[(shingle_set(text.as_py(), size) & np.uint64((1 << bits) - 1)).astype(np.int64)] += 1
-        some = {k: c for k, c in enumerate(cells.reshape(-1, 1 << chunk)) if c.any()}
-        if some:
-            yield parts(some)
-
-    def parts(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([packed(a) for a in arrays.values()], pa.binary())], ["part", "cells"])
+                held.append((shingle_set(text.as_py(), size) & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                n += len(held[-1])
+                if n >= CELLS_HELD:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + unpacked(cells.as_py())
-        if total:
-            yield parts(total)
+            for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = zstandard.decompress(row.as_py())
+                n = len(raw) // 6
+                cells = total.setdefault(k, np.zeros(1 << chunk, dtype=np.uint32))
+                cells[np.cumsum(of_planes(raw[: 2 * n], "<u2"), dtype=np.int64)] += of_planes(raw[2 * n :], "<u4")
+        for k, cells in total.items():
+            kinds = np.searchsorted(CLASSES, cells, "right").astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress((kinds[::2] | kinds[1::2] << 4).tobytes(), 1)], pa.binary())], ["part", "cells"])
 
     schema = "part int, cells binary"
-    rows = docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()  # 2 ** bits cells in all
-    table = np.zeros((1 << (bits - chunk), 1 << chunk), dtype=np.int64)
-    for r in rows:
-        table[r["part"]] += unpacked(r["cells"])
+    table = np.zeros((1 << (bits - chunk), 1 << (chunk - 1)), dtype=np.uint8)
+    for r in docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # 2 ** (bits - 1) bytes in all
+        table[r["part"]] = np.frombuffer(zstandard.decompress(bytes(r["cells"])), dtype=np.uint8)
     return table.reshape(-1)
 
 
-def frequency_classes(table: np.ndarray) -> np.ndarray:
-    """0 for cells near the mean, then two classes for each doubling above twice the mean."""
-    mean = max(table.mean(), 1.0)
-    out = np.empty(len(table), dtype=np.uint8)
-    for lo in range(0, len(table), 1 << 20):  # in parts: the driver's memory is small
-        out[lo : lo + (1 << 20)] = (2 * np.log2(np.maximum(table[lo : lo + (1 << 20)] / (1.4 * mean), 1))).astype(np.int64).clip(0, 200)
-    return out
+def class_of(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Classes of shingles in a table of two cells a byte."""
+    at = (shingles & np.uint64(2 * len(table) - 1)).astype(np.int64)
+    return table[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
 
 
 def with_sets(docs: DataFrame, classes, size: int) -> DataFrame:
-    """id, t (hash of the text), n, node and the prefix: hashes in global order, as bytes, where the task has not written the node's before."""
+    """id, t (hash of the text), n, node and the prefix: hashes in global order, as bytes, where the task has not written the node's before.
+
+    Shingles of no other document lead the prefix and are left out.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
-        mask = np.uint64(len(table) - 1)
         seen: set[int] = set()
         for batch in batches:
             ns, nodes, prefixes = [], [], []
@@ -145,7 +167,10 @@ def with_sets(docs: DataFrame, classes, size: int) -> DataFrame:
                     continue
                 if len(seen) < NODES_HELD:
                     seen.add(node)
-                prefixes.append(s[np.argsort(table[(s & mask).astype(np.int64)], kind="stable")][: prefix_length(len(s))].astype("<u8").tobytes())
+                kinds = class_of(table, s)
+                first = np.argsort(kinds, kind="stable")[: prefix_length(len(s))]
+                shared = first[kinds[first] > 0]
+                prefixes.append(s[shared].astype("<u8").tobytes() if len(shared) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "t", "n", "node", "prefix"])
 
     return docs.mapInArrow(run, f"id {kind}, t long, n long, node long, prefix binary")
@@ -157,8 +182,9 @@ def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.array([len(a) for a in arrays], dtype=np.int64)
         if not counts.sum():
             continue
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         n, node = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64), counts) for i in (0, 1))
+        # what is left of a prefix is its end
+        at = prefix_length(n) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts), counts)
         for lo in range(0, len(at), 200_000):
             part = slice(lo, lo + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(arrays)[part], n[part].astype(np.int32), node[part], at[part].astype(np.int32))], ["h", "n", "node", "at"])
@@ -419,7 +445,7 @@ def family_links(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def jaccard_groups(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(count_table(texts.select("text"), size, sketch_bits)))
+    classes = docs.sparkSession.sparkContext.broadcast(count_classes(texts.select("text"), size, sketch_bits))
     sets = written(with_sets(texts, classes, size))
     lists = sets.filter("prefix is not null").select("n", "node", "prefix").mapInArrow(postings, POSTING)
     found = written(lists.repartitionByRange("h", "n", "node").sortWithinPartitions("h", "n", "node").mapInArrow(candidate_edges, CANDIDATE))

@@ -601,6 +601,19 @@ def test_a_large_family_of_near_copies(spark, monkeypatch):
     assert got == naive_groups(rows)
 
 
+def test_only_shared_shingles_are_posted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard_join, "written", lambda df, f=jaccard_join.written: seen.append(f(df)) or seen[-1])
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.random()}" for _ in range(100)) for _ in range(30)]
+    # a passage in the last ten, which are no more alike than that
+    rows = [(k, t + " some words that many of these documents have" * (k >= 20)) for k, t in enumerate(texts)] + [(30, texts[0] + " more")]
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(30)} | {30: 0}
+    posted = {x.id: len(x.prefix) // 8 for x in seen[0].filter("prefix is not null").collect()}
+    assert set(posted) == {0, 30} and len(seen[1].filter("v is not null").collect()) == 1
+
+
 def test_jaccard_groups_of_no_rows(none):
     assert jaccard_join.jaccard_groups(none, sketch_bits=16).collect() == []
 
