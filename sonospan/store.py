@@ -73,6 +73,9 @@ PARENTS = {
 }
 ANNOTATIONS = ("annotation_interval", "annotation_point", "annotation_reference")
 
+#: Ids of a table and bytes of a staged frame from which its joins are shuffled: ids take few bytes in files and many in the driver's memory.
+LARGE_ROWS, LARGE_BYTES = 1 << 19, 1 << 20
+
 
 class StoreError(ValueError):
     """A change breaks a rule of the corpus."""
@@ -161,9 +164,14 @@ class Corpus:
         reader = self.spark.read.schema(f"{TABLES[name]}, _deleted boolean, batch long").option("basePath", f"{self.root}/{name}")
         rows = reader.parquet(*[f"{self.root}/{name}/{path}" for path in found]).drop("attempt")
         if not changes:
-            return rows.select(*names(name))
+            return self._met(rows.select(*names(name)), name)
+        rows = self._met(rows, name)
         last = reader.parquet(*[f"{self.root}/{name}/{path}" for path in changes]).groupBy("id").agg(F.max("batch").alias("_last"))
-        return rows.join(last, "id", "left").filter("not _deleted and (_last is null or batch >= _last)").select(*names(name))
+        return self._met(rows.join(last, "id", "left").filter("not _deleted and (_last is null or batch >= _last)").select(*names(name)), name)
+
+    def _met(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` of a table, which are never sent to all tasks through the driver where the table is large."""
+        return rows.hint("merge") if self.next_id(name) > LARGE_ROWS else rows
 
     def next_id(self, name: str) -> int:
         """One past the largest id ever given, deleted rows included."""
@@ -194,7 +202,7 @@ class Corpus:
             new = kept.select(F.col("id").alias("row_id"), F.col("_op").alias("op"), F.when(F.col("_op") == "delete", packed).alias("before"), F.when(F.col("_op") != "delete", packed).alias("after"))
             if "update" in ops:
                 old = self.table(name).join(kept.filter("_op = 'update'").select("id"), "id", "left_semi").select(F.col("id").alias("row_id"), packed.alias("_old"))
-                new = new.join(old, "row_id", "left").withColumn("before", F.coalesce("before", F.when(F.col("op") == "update", F.col("_old")))).drop("_old").filter("op <> 'update' or not (before <=> after)")
+                new = self._met(new, name).join(old, "row_id", "left").withColumn("before", F.coalesce("before", F.when(F.col("op") == "update", F.col("_old")))).drop("_old").filter("op <> 'update' or not (before <=> after)")
             new = new.withColumn("table_name", F.lit(name)).withColumn("before", F.coalesce("before", none))
             audit = new if audit is None else audit.unionByName(new)
         if audit is None:
@@ -239,22 +247,25 @@ class Corpus:
                         gone.append(f"{name}/{batch.getPath().getName()}" + f"/{at.getName()}" * (name != "_staged"))
         return sorted(gone)
 
-    def staged(self, rows: DataFrame) -> DataFrame:
-        """Rows written outside the log and read back, so that a plan is computed once."""
+    def staged(self, rows: DataFrame, met: bool = True) -> DataFrame:
+        """Rows written outside the log and read back, so that a plan is computed once.  ``met``: they will meet other rows, which is shuffled where they are many."""
         self._staged += 1
         path = f"{self.root}/_staged/{self._staged}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        kept = self.spark.read.schema(rows.schema).parquet(path)
+        at, fs = self._path(path.removeprefix(f"{self.root}/"))
+        return kept.hint("merge") if met and fs.getContentSummary(at).getLength() > LARGE_BYTES else kept
 
     def numbered(self, name: str, rows: DataFrame, column: str = "id") -> DataFrame:
         """Rows with new ids, one after another: tasks count their rows, and number them from the sum of those before."""
-        rows = self.staged(rows.drop(column)).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id() % (1 << 33)})
+        rows = self.staged(rows.drop(column), False).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id() % (1 << 33)})
         at, offsets = self.next_id(name), []
         for r in rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each task
             offsets.append((r["_part"], at))
             at += r["n"]
         starts = self.spark.createDataFrame(offsets, "_part int, _first long")
-        return rows.join(F.broadcast(starts), "_part").withColumn(column, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first")
+        made = rows.join(F.broadcast(starts), "_part").withColumn(column, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first")
+        return made.hint("merge") if at - self.next_id(name) > LARGE_ROWS else made
 
     # ---- rules
 
@@ -368,7 +379,7 @@ class Corpus:
         changes = [(t, op, self.staged(rows)) for t, op, rows in self.doomed(name, gone)]
         if name == "assignment":
             left = self.table("assignment").join(gone.select("id"), "id", "left_anti").select(F.col("target_id").alias("id"))
-            free = self.table("target").filter("status = 'assigned'").join(gone.select(F.col("target_id").alias("id")), "id", "left_semi").join(left, "id", "left_anti")
+            free = self.table("target").filter("status = 'assigned'").join(gone.select(F.col("target_id").alias("id")), "id", "left_semi").join(self._met(left, name), "id", "left_anti")
             changes.append(("target", "update", free.withColumn("status", F.lit("unassigned"))))
         self.commit(changes)
         return n
@@ -435,7 +446,7 @@ class Corpus:
     def assignments(self, bundle_id: int | None = None) -> DataFrame:
         """Assignments with their target's bundle."""
         targets = self.table("target").select(F.col("id").alias("target_id"), "bundle_id")
-        rows = self.table("assignment").join(targets, "target_id")
+        rows = self._met(self.table("assignment").join(targets, "target_id"), "assignment")
         return rows if bundle_id is None else rows.filter(F.col("bundle_id") == bundle_id)
 
     def set_proposals(self, bundle_id: int, target_tier: str, proposals: DataFrame, run_id: int | None = None) -> int:

@@ -341,6 +341,26 @@ def test_live_frames_do_not_depend_on_chunks(spark, tmp_path, size):
     assert live.meter(spark.createDataFrame(rows, live.CHUNK)).agg(F.sum("n")).first()[0] == len(x)
 
 
+def test_large_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from sonospan import store
+
+    monkeypatch.setattr(store, "LARGE_ROWS", 3, raising=False)
+    monkeypatch.setattr(store, "LARGE_BYTES", 1, raising=False)
+    c = Corpus(spark, str(tmp_path))
+    c.add("bundle", [{"name": "b", "audio_relative_path": "b.wav", "sample_rate": 1, "channels": 1, "n_frames": 1}])
+    few = c.append("target", spark.range(9).selectExpr("1L as bundle_id", "0d as start_seconds", "1d as end_seconds", "'x' as label", "'unassigned' as status"))
+    c.append("assignment", c.table("target").filter("id % 2 = 0").selectExpr("id as target_id", "'ann' as annotator", "'assigned' as status"))
+    c.update("target", F.col("id") > 6, {"note": F.lit("n")})
+    c.delete("assignment", F.col("target_id") == 8)
+    rows = c.table("target").join(c.assignments().select(F.col("target_id").alias("id"), "annotator"), "id", "left")
+    want = {k: ("n" if k > 6 else None, "assigned" if k in (2, 4, 6) else "unassigned", "ann" if k in (2, 4, 6) else None) for k in range(1, 10)}
+    assert {r.id: (r.note, r.status, r.annotator) for r in rows.collect()} == want
+    for plan in (rows, c.violations("target", few), c.violations("assignment", c.staged(c.table("assignment")))):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in text.splitlines() if "Join " in x and "_part" not in x]
+        assert joins and all("strategy=merge" in x for x in joins), text
+
+
 def test_store(spark, tmp_path):
     c = Corpus(spark, str(tmp_path), "ann", lambda: "2024-01-01T00:00:00.000Z")
     b = c.add("bundle", [{"name": "one", "audio_relative_path": "a.wav"}])[0]
