@@ -53,6 +53,26 @@ def test_pitch_is_a_path_over_the_recording(spark, corpus):
     assert [r.v for r in sorted(got, key=lambda r: r.t)] == pytest.approx(list(full["hz"][full["voicing"] >= 0.45]), abs=1e-6)
 
 
+def test_recordings_are_encoded_as_arrays():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.linspace(-1, 1, 1_000_000)
+    for kind, floats in (("float", True), ("double", True), ("double", False)):
+        samples = pa.array([x.astype("f4" if kind == "float" else "f8")], pa.list_(pa.float32() if kind == "float" else pa.float64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([8000], pa.int32()), pa.array([1], pa.int32()), samples], ["name", "sample_rate", "channels", "samples"])
+        tracemalloc.start()
+        made = list(workflow.encoded(iter([batch]), floats))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30 * len(x)
+        assert made[0].column("content")[0].as_py() == formats.encode_wav(samples[0].values.to_numpy().astype(float), 8000, 1, floats)
+        assert made[0].column("n_frames").to_pylist() == [len(x)]
+    with pytest.raises(ValueError, match="no frames"):
+        list(workflow.encoded(iter([batch.set_column(3, "samples", pa.array([None], samples.type))]), True))
+
+
 def test_rules_name_them(spark, corpus):
     c, _ = corpus
     workflow.import_tiers(c, spark.createDataFrame([(1, "w", "interval", 0.5, 1.0, "x"), (2, "w", "interval", 0.1, 0.4, "y"), (2, "w", "interval", 1.13, 1.18, "lost")], "bundle_id long, tier string, kind string, start double, end double, label string"), "import")
